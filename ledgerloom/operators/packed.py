@@ -164,9 +164,10 @@ class Model:
         p = self.kept.get(text)
         if p is None:
             n, k = self.total + 1, segment_key(text)
-            seen = float(self.counts[_slot(k)]) / n
-            form = (float(self.counts[SLOTS + _slot(shape(text))]) + 1e-6) / n
-            novel = form * 10.0 ** -min(40, sum(ch.isalnum() for ch in k))
+            of_shape = float(self.counts[SLOTS + _slot(shape(text))])
+            # a value is seen at most as often as its shape: that undoes collisions of the hash
+            seen = min(float(self.counts[_slot(k)]), of_shape) / n
+            novel = (of_shape + 1e-6) / n * 10.0 ** -min(250, sum(ch.isalnum() for ch in k))
             p = math.log(0.9 * seen + 0.1 * novel + 1e-300)
             if len(self.kept) < 200_000:
                 self.kept[text] = p
