@@ -9,10 +9,10 @@ Counts live in a hashed table of fixed size, so what is broadcast doesn't grow w
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +43,7 @@ GRAMMARS = {
     "criteria_names_extracted": Grammar(hard=";|\n\r\t", soft="", comma="quoted"),
 }
 
-SLOTS = 1 << 16
+SLOTS, ROWS = 1 << 16, 3
 LONGEST = 6  # atoms that soft boundaries may leave together in one value
 _BLANK = " \t\r\n\f\v              　﻿"
 _DIGITS = re.compile(r"\d+")
@@ -149,25 +149,26 @@ def shape(text: str) -> str:
     return "\0" + _LETTERS.sub("a", _DIGITS.sub("9", segment_key(text)))
 
 
-def _slot(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % SLOTS
+def _slots(text: str) -> list[int]:
+    """The places of a text in the counts: one in each of ROWS rows (a count-min table)."""
+    h = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4 * ROWS).digest()
+    return [r * SLOTS + int.from_bytes(h[4 * r : 4 * r + 4], "little") % SLOTS for r in range(ROWS)]
 
 
 class Model:
     """log P(segment) from the counts of values and shapes; a value never seen has its shape's share."""
 
     def __init__(self, counts: np.ndarray | None) -> None:
-        self.counts, self.total = counts, float(counts[:SLOTS].sum()) if counts is not None else 0.0
+        self.counts, self.total = counts, float(counts[:SLOTS].sum() / 2) if counts is not None else 0.0
         self.kept: dict[str, float] = {}
 
     def logp(self, text: str) -> float:
         p = self.kept.get(text)
         if p is None:
             n, k = self.total + 1, segment_key(text)
-            of_shape = float(self.counts[SLOTS + _slot(shape(text))])
-            # a value is seen at most as often as its shape: that undoes collisions of the hash
-            seen = min(float(self.counts[_slot(k)]), of_shape) / n
-            novel = (of_shape + 1e-6) / n * 10.0 ** -min(250, sum(ch.isalnum() for ch in k))
+            of_shape = float(self.counts[_slots(shape(text))].min())
+            seen = min(float(self.counts[_slots(k)].min()), of_shape) / n  # at most as often as its shape
+            novel = (of_shape + 1e-9) / n * 10.0 ** -min(250, sum(ch.isalnum() for ch in k))
             p = math.log(0.9 * seen + 0.1 * novel + 1e-300)
             if len(self.kept) < 200_000:
                 self.kept[text] = p
@@ -230,7 +231,7 @@ def learn(cells: DataFrame, grammars: dict[str, Grammar], rounds: int = 3) -> di
     """Models by field from ``field, cell, n`` (distinct cells with counts), by EM over all of them.
 
     A field whose grammar has no soft boundary needs no rounds. The counts of a field take
-    2 x SLOTS numbers on the driver (1 MB), however many values there are.
+    ROWS x SLOTS numbers on the driver (1.5 MB), however many values there are.
     """
     models: dict[str, Model | None] = {f: None for f in grammars}
     open_fields = [f for f, g in grammars.items() if g.soft]
@@ -242,22 +243,22 @@ def learn(cells: DataFrame, grammars: dict[str, Grammar], rounds: int = 3) -> di
 
         def count(batches: Iterator[pd.DataFrame], tables: dict = tables) -> Iterator[pd.DataFrame]:
             known = {f: Model(t) if t is not None else None for f, t in tables.items()}
-            sums = {f: np.zeros(2 * SLOTS) for f in open_fields}
+            sums = {f: np.zeros(ROWS * SLOTS) for f in open_fields}
             for batch in batches:
                 for field, cell, n in zip(batch["field"], batch["cell"], batch["n"], strict=True):
                     if json_list(cell) is not None:
                         continue
                     for slot in lattice(cell, grammars[field]):
                         for text, e in expected(slot, known[field]):
-                            sums[field][_slot(segment_key(text))] += n * e
-                            sums[field][SLOTS + _slot(shape(text))] += n * e
+                            sums[field][_slots(segment_key(text))] += n * e
+                            sums[field][_slots(shape(text))] += n * e
             for field, s in sums.items():
                 at = np.flatnonzero(s)
                 yield pd.DataFrame({"field": field, "slot": at.astype("int32"), "e": s[at]})
 
         counted = cells.mapInPandas(count, "field string, slot int, e double").groupBy("field", "slot").agg(F.sum("e").alias("e")).toPandas()
         for f in open_fields:
-            own, counts = counted[counted["field"] == f], np.zeros(2 * SLOTS)
+            own, counts = counted[counted["field"] == f], np.zeros(ROWS * SLOTS)
             counts[own["slot"].to_numpy(dtype=int)] = own["e"].to_numpy()
             models[f] = Model(counts)
     return models
