@@ -200,7 +200,7 @@ def expected(atoms: list[tuple[str, bool, str]], model: Model | None) -> Iterato
         bwd[i] = np.logaddexp(bwd[i], p + bwd[j])
     for i, j, t, p in spans:
         e = math.exp(fwd[i] + p + bwd[j] - fwd[-1])
-        if e > 1e-9:
+        if e > 1e-3:  # else rare whole cells would feed on themselves, round by round
             yield t, e
 
 
