@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.copies import collapse_records, copy_members
 from ledgerloom.llm.homoglyphs import regular_items
 from ledgerloom.llm.leaks import find_leaks
+from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.reading import reading_levels
 from ledgerloom.session import table
 
 
@@ -30,8 +32,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_records": p2_records, "p7_found": p7_found, "p9_found": p9_found}
+    return {
+        "p2_found": p2_found,
+        "p2_records": p2_records,
+        "p7_found": p7_found,
+        "p8_containers": p8_containers,
+        "p9_found": p9_found,
+        "p10_levels": p10_levels,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
