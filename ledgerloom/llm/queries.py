@@ -10,6 +10,7 @@ from ledgerloom.llm.homoglyphs import regular_items
 from ledgerloom.llm.leaks import find_leaks
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.reading import reading_levels
+from ledgerloom.llm.scans import repair_scans, scan_findings
 from ledgerloom.session import table
 
 
@@ -23,6 +24,14 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_findings(table(spark, sf_dir, "ocr_pages"), table(spark, sf_dir, "run_states"))
+
+
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_scans(table(spark, sf_dir, "ocr_pages"), table(spark, sf_dir, "run_states"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = regular_items(table(spark, sf_dir, "run_states"))
     return items.where("changed").drop("changed").distinct()
@@ -44,6 +53,8 @@ def queries() -> dict:
     return {
         "p2_found": p2_found,
         "p2_records": p2_records,
+        "p6_found": p6_found,
+        "p6_paragraphs": p6_paragraphs,
         "p7_found": p7_found,
         "p8_containers": p8_containers,
         "p9_found": p9_found,
