@@ -22,3 +22,22 @@ def hot_join(large: DataFrame, small: DataFrame, key: str, weight: str, total: i
         return large.join(rest.hint("merge"), key)
     cold = large.join(F.broadcast(hot.select(key)), key, "left_anti")
     return large.join(F.broadcast(hot), key).unionByName(cold.join(rest.hint("merge"), key))
+
+
+def skew_rank(df: DataFrame, keys: list[str], order: str, buckets: int = 64) -> DataFrame:
+    """``df`` plus ``rank`` (from 1, by ``order`` within ``keys``) and ``group_size``; no group meets one task.
+
+    ``order`` is a number without nulls, unique within its group. Its range is cut at global
+    quantiles into buckets that all groups share; a rank is the rows of lower buckets plus the
+    rank inside the own one.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+    bucket = sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
+    placed = df.withColumn("_bucket", bucket)
+    names = ", ".join(f"`{k}`" for k in keys)
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    sizes = sizes.selectExpr("*", f"sum(_n) OVER (PARTITION BY {names} ORDER BY _bucket) - _n AS _before", f"sum(_n) OVER (PARTITION BY {names}) AS group_size")
+    ranked = placed.selectExpr("*", f"row_number() OVER (PARTITION BY {names}, _bucket ORDER BY `{order}`) AS _own")
+    same = [ranked[k].eqNullSafe(sizes[k]) for k in keys] + [ranked["_bucket"] == sizes["_bucket"]]
+    joined = ranked.join(sizes, same)
+    return joined.select(*[ranked[c] for c in df.columns], (F.col("_own") + F.col("_before")).alias("rank"), "group_size")

@@ -35,7 +35,8 @@ def find_spans(text: Column, pattern: str) -> Column:
 
 def spans_of(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """One row per span: ``keys, hit, start, stop, text`` (the whole text, for windows)."""
-    return df.select(*keys, F.col(text).alias("text"), F.explode(find_spans(F.col(text), pattern)).alias("s")).select(*keys, "s.*", "text")
+    rows = df.select(*keys, F.col(text).alias("text"))
+    return rows.select(*keys, "text", F.explode(find_spans(F.col("text"), pattern)).alias("s")).select(*keys, "s.*", "text")
 
 
 def window_around(text: Column, start: Column, stop: Column, width: int) -> Column:
@@ -88,7 +89,7 @@ def sections(df: DataFrame, keys: list[str], text: str, heading: str) -> DataFra
     lines = lines_of(df, keys, text).withColumn("is_heading", F.trim(F.regexp_replace("line", r"\|", " ")).rlike(heading))
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     section = F.sum(F.col("is_heading").cast("int")).over(w)
-    label = F.last(F.when("is_heading", collapse(F.col("line"))), ignorenulls=True).over(w)
+    label = F.last(F.when(F.col("is_heading"), collapse(F.col("line"))), ignorenulls=True).over(w)
     return lines.select(*keys, "line_no", "line", section.cast("int").alias("section"), label.alias("heading"))
 
 

@@ -44,3 +44,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
