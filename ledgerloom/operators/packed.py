@@ -46,6 +46,7 @@ GRAMMARS = {
 SLOTS, ROWS = 1 << 16, 3
 LONGEST = 6  # atoms that soft boundaries may leave together in one value
 _BLANK = " \t\r\n\f\v              　﻿"
+_NEXT = re.compile(f"[{_BLANK}]*(.?)", re.DOTALL)
 _DIGITS = re.compile(r"\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _AROUND_DASH = re.compile(r"\s*([-–—‐‑−])\s*")
@@ -74,9 +75,12 @@ def lattice(cell: str, grammar: Grammar) -> list[list[tuple[str, bool, str]]]:
     n, i = len(cell), 0
     text: list[str] = []
     lead = ""
+    written = False  # whether text holds more than blanks
+    unclosed = False  # no quote that closes a value follows any more
 
     def flush() -> None:
-        nonlocal lead
+        nonlocal lead, written
+        written = False
         if text:
             slots[-1].append(("".join(text), False, lead))
             text.clear()
@@ -91,7 +95,7 @@ def lattice(cell: str, grammar: Grammar) -> list[list[tuple[str, bool, str]]]:
 
     while i < n:
         c = cell[i]
-        if c == '"' and not "".join(text).strip(_BLANK):
+        if c == '"' and not written and not unclosed:
             j = i + 1
             while j < n:
                 if cell[j] == '"':
@@ -106,6 +110,7 @@ def lattice(cell: str, grammar: Grammar) -> list[list[tuple[str, bool, str]]]:
                 lead = ""
                 i = j + 1
                 continue
+            unclosed = True
         split = c in grammar.hard
         if c == ",":
             before, after = cell[i - 1 : i], cell[i + 1 : i + 2]
@@ -114,13 +119,13 @@ def lattice(cell: str, grammar: Grammar) -> list[list[tuple[str, bool, str]]]:
             elif grammar.comma == "decimal":
                 split = not (before.isdigit() and after.isdigit())
             elif grammar.comma == "quoted":
-                ahead = cell[i + 1 :].lstrip(_BLANK)[:1]
-                split = bool(slots[-1]) and slots[-1][-1][1] and not "".join(text).strip(_BLANK) and ahead == '"'
+                ahead = _NEXT.match(cell, i + 1)[1]
+                split = bool(slots[-1]) and slots[-1][-1][1] and not written and ahead == '"'
         if split:
-            if text and "".join(text).strip(_BLANK):
+            if written:
                 flush()
             text.clear()
-            lead = ""
+            lead, written = "", False
             slots.append([])
         elif c in grammar.soft and (slots[-1] or text):
             j = i
@@ -135,8 +140,9 @@ def lattice(cell: str, grammar: Grammar) -> list[list[tuple[str, bool, str]]]:
             continue
         else:
             text.append(c)
+            written = written or c not in _BLANK
         i += 1
-    if "".join(text).strip(_BLANK):
+    if written:
         flush()
     return [s for s in slots if s]
 

@@ -74,10 +74,10 @@ def merge_exact(rows: DataFrame, keys: list[str], name: str, weight: str, ids: s
     Null weights are equal to each other; a null list adds no ids.
     """
     spelt = F.lower(collapse(F.col(name)))
-    found = rows.groupBy(*keys, spelt.alias("name_key"), F.col(weight)).agg(
-        F.count("*").alias("n_rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(ids), F.array().cast("array<string>")))))).alias("evidence")
-    )
-    return found
+    per_id = rows.select(*keys, spelt.alias("name_key"), F.col(weight), F.posexplode_outer(F.when(F.size(ids) > 0, F.col(ids))).alias("_pos", "_id"))
+    # ids are made distinct first, so that repeats of one criterion don't pile up in one list
+    ones = per_id.groupBy(*keys, "name_key", weight, "_id").agg(F.count(F.when(F.coalesce("_pos", F.lit(0)) == 0, 1)).alias("_n"))
+    return ones.groupBy(*keys, "name_key", weight).agg(F.sum("_n").alias("n_rows"), F.array_sort(F.collect_list("_id")).alias("evidence"))
 
 
 def scope_problem(labels: DataFrame, key: str, label: str, shared: Column) -> DataFrame:

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 
 
-def hot_join(large: DataFrame, small: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``small``; ``weight`` says how many rows of ``large`` have it.
+def hot_join(large: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join on ``key``, which is unique in ``small``; ``weight`` says how many rows of ``large`` have it.
 
     Hot keys are joined by broadcast: as weights add up to at most ``total``, there are at most
     1 / HOT_SHARE of them. All other keys are joined by shuffle, each with less than HOT_SHARE
-    of the rows. Null keys match nothing. ``small`` should be cheap to read twice.
+    of the rows. Null keys match nothing; a left join keeps them. ``small`` should be cheap to
+    read twice.
     """
-    hot = small.where(F.col(weight) >= max(1.0, total * HOT_SHARE)).drop(weight)
-    rest = small.where(F.col(weight) < max(1.0, total * HOT_SHARE)).drop(weight)
+    floor = max(1.0, total * HOT_SHARE)
+    hot = small.where(F.col(weight) >= floor).drop(weight)
+    rest = small.where(F.col(weight) < floor).drop(weight)
     if hot.isEmpty():
-        return large.join(rest.hint("merge"), key)
+        return large.join(rest.hint("merge"), key, how)
     cold = large.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return large.join(F.broadcast(hot), key).unionByName(cold.join(rest.hint("merge"), key))
+    return large.join(F.broadcast(hot), key).unionByName(cold.join(rest.hint("merge"), key, how))
 
 
 def skew_rank(df: DataFrame, keys: list[str], order: str, buckets: int = 64) -> DataFrame:

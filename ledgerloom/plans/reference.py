@@ -609,7 +609,8 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH g AS (SELECT eis_id || '/' || run_no AS run_key, row_no, md5(concat_ws('|', coalesce(main_cpv_extracted, '~'), coalesce(weights_extracted, '~'))) h FROM validation_gemma4_e4b) SELECT run_key, count(*) n, array_to_string(list_transform(list_sort(list(row_no)), lambda x: x::VARCHAR), ',') positions, count(DISTINCT h) = 1 identical FROM g GROUP BY 1 HAVING count(*) > 1"
+    "WITH g AS (SELECT eis_id || '/' || run_no AS run_key, row_no AS \"position\", md5(concat_ws('|', coalesce(main_cpv_extracted, '~'), coalesce(weights_extracted, '~'))) h FROM validation_gemma4_e4b), w AS (SELECT run_key, count(*) n, count(DISTINCT h) = 1 identical FROM g GROUP BY 1 HAVING count(*) > 1) "
+    "SELECT run_key, \"position\" AS row_no, n, identical FROM g JOIN w USING (run_key)"
 )
 def audit_duplicates(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "validation_gemma4_e4b").withColumn("run_key", F.concat_ws("/", "eis_id", "run_no"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import codes_in, url_number
+from ledgerloom.operators.skew import hot_join
+from ledgerloom.session import cut
 
 RECORD_SCHEMA = """eis_id string, source_files array<string>, attempts int, model_seconds double, lot_seconds double,
  candidates array<struct<code:string,context:string,contexts:array<string>,count:bigint>>,
@@ -51,10 +53,15 @@ def flatten_truth(truth: DataFrame) -> DataFrame:
 
 
 def duplicate_audit(df: DataFrame, key: str, position: str, fields: list[str]) -> DataFrame:
-    """``key, positions, n, identical`` of repeated keys: where they stand and whether their fields agree."""
-    content = F.xxhash64(F.to_json(F.struct(*fields)))
-    agg = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(position)), ",").alias("positions"), (F.min(content) == F.max(content)).alias("identical"))
-    return agg.where("n > 1")
+    """``key, position, n, identical``: where repeated keys stand and whether their fields agree.
+
+    One row per place, so that a key that fills the table is no list in one task.
+    """
+    content = F.xxhash64(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    rows = df.where(F.col(key).isNotNull()).select(key, position, content.alias("_h"))
+    groups = cut(rows.groupBy(key).agg(F.count("*").alias("n"), (F.min("_h") == F.max("_h")).alias("identical"), F.count("*").alias("_w")).where("n > 1"))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return hot_join(rows.drop("_h"), groups, key, "_w", total)
 
 
 def read_review_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
