@@ -163,7 +163,7 @@ def blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Itera
         yield block
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 12, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 12, block_chars: int = 400_000) -> DataFrame:
     """``doc_id, item_id, n_words``: documents that hold ``least`` or more consecutive words of an item.
 
     ``n_words`` is the longest such run. Items shorter than ``least`` words can't leak. Null and
@@ -190,7 +190,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return spark.createDataFrame([], kinds) if found is None else found
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 12, most_coverage: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
+def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 12, most_coverage: float = 0.5, block_chars: int = 400_000) -> DataFrame:
     """Documents without leaked spans, plus ``leaked_share``; mostly leaked documents leave whole.
 
     A span of at least ``least`` words is cut out with the punctuation inside it; a document of

@@ -62,5 +62,18 @@ def queries() -> dict:
     }
 
 
+_REDUCED = "regexp_replace(lower(coalesce(json_extract_string(evidence, '$.{}'), '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')"
+_KEYS = f"SELECT evidence_id, {_REDUCED.format('phase')} p, {_REDUCED.format('name')} n, {_REDUCED.format('text')} t FROM standards_evidence WHERE evidence IS NOT NULL"
+_WORDS = "regexp_extract_all(strip_accents(lower(replace({}, 'ß', 'ss'))), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "SELECT DISTINCT {0}, hash(w[i:i + 11]) g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) i FROM (SELECT {0}, {1} w FROM {2}))"
+
+#: Written apart from the operators: their statements in TESTDATA.md as plain SQL.
+ORACLES = {
+    "p2_found": f"SELECT first_id, evidence_id FROM (SELECT evidence_id, min(evidence_id) OVER (PARTITION BY p, n, t) first_id FROM ({_KEYS})) WHERE first_id < evidence_id",
+    "p2_records": f"SELECT min(evidence_id) first_id, count(*) copies FROM ({_KEYS}) GROUP BY p, n, t",
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format('doc_id', _WORDS.format('text'), 'documents')}) JOIN ({_GRAMS.format('item_id', _WORDS.format('item_text'), 'eval_items')}) USING (g)",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
