@@ -212,9 +212,9 @@ def level_table(flat: DataFrame, key: str, level: int, ordinals: Sequence[str],
     """One flat table: ``key``, one column per ordinal, one per field; absent fields are null."""
 
     def field(path: str) -> Column:
-        return F.filter("fields", lambda f: f["name"] == path)[0]["value"]
+        return F.get(F.filter("fields", lambda f: f["name"] == path), F.lit(0))["value"]
 
-    numbers = [F.col("ordinals")[i].alias(n) for i, n in enumerate(ordinals)]
+    numbers = [F.get("ordinals", F.lit(i)).alias(n) for i, n in enumerate(ordinals)]
     return flat.where(F.col("level") == level).select(key, *numbers, *[field(p).alias(n) for n, p in fields.items()], F.col("children").alias("n_children"))
 
 

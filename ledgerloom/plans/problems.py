@@ -54,7 +54,7 @@ _WORD_NUMBERS = {
 
 #: Written apart from the operators: their statements in TESTDATA.md as plain SQL.
 ORACLES = {
-    "p1_found": f"""WITH c AS (SELECT * FROM worker_criteria QUALIFY row_number() OVER (PARTITION BY criterion_id ORDER BY loaded_at DESC) = 1),
+    "p1_found": rf"""WITH c AS (SELECT * FROM worker_criteria QUALIFY row_number() OVER (PARTITION BY criterion_id ORDER BY loaded_at DESC) = 1),
  f AS (SELECT finding_id, lower(trim(weight_scale)) s FROM worker_findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY loaded_at DESC) = 1),
  t AS (SELECT *, trim(replace(lower(weight_text), chr(160), ' ')) w, lower(scope_evidence) e FROM c),
  p AS (SELECT *, CASE WHEN regexp_matches(w, '{_PARTS}') AND NOT regexp_matches(w, '[0-9]\. punkt') THEN replace(regexp_extract(w, '{_PARTS}', 2), ',', '.') END n, regexp_extract(w, '{_PARTS}', 1) a, regexp_extract(w, '{_PARTS}', 3) u, nullif(replace(regexp_extract(w, '{_PARTS}', 4), ',', '.'), '') o, regexp_extract(w, '{_PARTS}', 5) z, regexp_extract(w, '^([^ ]+) (punkti|points)$', 1) sp FROM t),
@@ -65,13 +65,13 @@ ORACLES = {
  g AS (SELECT finding_id, CASE WHEN count(*) = count(fig) AND sum(fig) IN (1, 100, 1000) THEN sum(fig) END full4 FROM x GROUP BY 1),
  y AS (SELECT criterion_id, fig, coalesce(full1, full2, full3, full4) m FROM x LEFT JOIN g USING (finding_id))
  SELECT criterion_id, CAST(round(CAST(fig AS DOUBLE) * 10000 / CAST(m AS DOUBLE), 0) AS BIGINT) centipoints FROM y WHERE fig IS NOT NULL AND m IS NOT NULL""",
-    "p3_found": """WITH m AS (SELECT eis_id, run_no, max(struct_pack(a := a, b := b, c := c, d := d)) r FROM (SELECT eis_id, run_no, coalesce(regexp_replace(regexp_replace(main_cpv_extracted, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') a, coalesce(regexp_replace(regexp_replace(main_cpv_truth, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') b,
+    "p3_found": r"""WITH m AS (SELECT eis_id, run_no, max(struct_pack(a := a, b := b, c := c, d := d)) r FROM (SELECT eis_id, run_no, coalesce(regexp_replace(regexp_replace(main_cpv_extracted, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') a, coalesce(regexp_replace(regexp_replace(main_cpv_truth, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') b,
  coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(weights_extracted, '[0-9]+(?:[.,][0-9]+)?'), lambda v: CAST(CAST(replace(v, ',', '.') AS DECIMAL(18,6)) AS VARCHAR))), ' '), '') c, coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(weights_truth, '[0-9]+(?:[.,][0-9]+)?'), lambda v: CAST(CAST(replace(v, ',', '.') AS DECIMAL(18,6)) AS VARCHAR))), ' '), '') d FROM validation_gemma4_e4b) GROUP BY 1, 2),
  o AS (SELECT eis_id, run_no, max(struct_pack(a := a, b := b, c := c, d := d)) r FROM (SELECT eis_id, run_no, coalesce(regexp_replace(regexp_replace(main_cpv_extracted, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') a, coalesce(regexp_replace(regexp_replace(main_cpv_truth, '[\s\p{Z}]', '', 'g'), '[‐‑–−]', '-', 'g'), '') b,
  coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(weights_extracted, '[0-9]+(?:[.,][0-9]+)?'), lambda v: CAST(CAST(replace(v, ',', '.') AS DECIMAL(18,6)) AS VARCHAR))), ' '), '') c, coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(weights_truth, '[0-9]+(?:[.,][0-9]+)?'), lambda v: CAST(CAST(replace(v, ',', '.') AS DECIMAL(18,6)) AS VARCHAR))), ' '), '') d FROM validation_gemma4_e4b_copy) GROUP BY 1, 2),
  j AS (SELECT coalesce(m.eis_id, o.eis_id) eis_id, coalesce(m.run_no, o.run_no) run_no, m.r x, o.r y FROM m FULL JOIN o ON m.eis_id = o.eis_id AND m.run_no = o.run_no)
  SELECT eis_id, run_no, unnest(list_filter([CASE WHEN x IS NULL THEN 'row_missing_in_main' END, CASE WHEN y IS NULL THEN 'row_missing_in_copy' END, CASE WHEN x.a <> y.a THEN 'main_cpv_extracted' END, CASE WHEN x.b <> y.b THEN 'main_cpv_truth' END, CASE WHEN x.c <> y.c THEN 'weights_extracted' END, CASE WHEN x.d <> y.d THEN 'weights_truth' END], lambda f: f IS NOT NULL)) finding FROM j""",
-    "p4_found": """WITH b AS (SELECT record_id, body::JSON j FROM reference_records WHERE json_valid(body)),
+    "p4_found": r"""WITH b AS (SELECT record_id, body::JSON j FROM reference_records WHERE json_valid(body)),
  l0 AS (SELECT record_id, coalesce(nullif(j->'$.lots', 'null'::JSON), nullif(j->'$.tenderingProcess.lots', 'null'::JSON)) l FROM b), l1 AS (SELECT record_id, CASE WHEN json_type(l) = 'VARCHAR' AND json_valid(l->>'$') THEN (l->>'$')::JSON ELSE l END l FROM l0),
  l2 AS (SELECT record_id, CASE WHEN json_type(l) = 'OBJECT' AND json_exists(l, '$.lot') THEN l->'$.lot' ELSE l END l FROM l1),
  l3 AS (SELECT record_id, CASE WHEN l IS NULL OR json_type(l) = 'NULL' THEN [] WHEN json_type(l) = 'ARRAY' THEN from_json(l, '["JSON"]') ELSE [l] END l FROM l2),
