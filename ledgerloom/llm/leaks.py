@@ -198,23 +198,28 @@ def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", ite
     unless it has no words. Null texts stay null.
     """
     spark = documents.sparkSession
-    if "leaked_share" in documents.columns:
-        raise ValueError("column name leaked_share is taken")
+    if {"leaked_share", "_cut"} & set(documents.columns):
+        raise ValueError("the column names leaked_share and _cut are taken")
     out = documents.withColumn("leaked_share", F.lit(0.0))
     for block in blocks(items, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(SuffixAutomaton([(i, normal_words(t)) for i, t in block]).compile(least))
 
-        @F.pandas_udf("text string, share double")
-        def cut_out(texts: pd.Series, shared=shared) -> pd.DataFrame:  # noqa: ANN001
-            rows = [_without(shared.value, t) if t is not None else (None, 0.0) for t in texts]
-            return pd.DataFrame(rows, columns=["text", "share"])
-
+        cut_out = _cutter(shared)
         # whole raw words are matched one by one: a raw word may hold several after folding
         out = out.withColumn("_cut", cut_out(F.col(text))).withColumn(text, F.col("_cut.text"))
         out = out.withColumn("leaked_share", F.greatest("leaked_share", "_cut.share")).drop("_cut").where(F.col("leaked_share") <= most_coverage)
     return out
 
 
+def _cutter(shared):  # noqa: ANN001, ANN202
+    @F.pandas_udf("text string, share double")
+    def cut_out(texts: pd.Series) -> pd.DataFrame:
+        rows = [_without(shared.value, t) if t is not None else (None, 0.0) for t in texts]
+        return pd.DataFrame(rows, columns=["text", "share"])
+
+    return cut_out
+
+
 def _without(matcher: Matcher, text: str) -> tuple[str, float]:
     spans = [(m.start(), m.end(), len(normal_words(m[0]))) for m in _WORDS.finditer(text)]
     spans = [s for s in spans if s[2]]
