@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import collapse, fold
+from ledgerloom.functions.text import collapse, fold, let
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -18,19 +18,21 @@ def find_spans(text: Column, pattern: str) -> Column:
     The positions are prefix sums over the pieces between the hits, so the pattern must not
     hold look-around that sees beyond a hit's own characters when split.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        hit = F.get(hits, i)
-        span = F.struct(hit.alias("hit"), start.alias("start"), (start + F.length(hit)).alias("stop"))
-        return F.struct((start + F.length(hit)).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    empty = F.lit(None).cast("array<struct<hit:string,start:int,stop:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<hit:string,start:int,stop:int>>")).alias("spans"))
-    order = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(order, zero, step)["spans"]
+    kind = "array<struct<hit:string,start:int,stop:int>>"
+
+    def build(x: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            start = state["at"] + F.length(F.get(x["gaps"], i))
+            return F.struct((start + F.length(F.get(x["hits"], i))).alias("at"), F.concat(state["starts"], F.array(start)).alias("starts"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        order = F.sequence(F.lit(0), F.size(x["hits"]) - 1)
+        starts = F.aggregate(order, zero, step)["starts"]
+        span = lambda hit, start: F.struct(hit.alias("hit"), start.alias("start"), (start + F.length(hit)).alias("stop"))
+        return F.when(F.size(x["hits"]) > 0, F.zip_with(x["hits"], starts, span)).otherwise(F.array().cast(kind))
+
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.isNotNull(), let(pieces, build))
 
 
 def spans_of(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
