@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written by ``cut`` in this process and not yet released.
+_CUTS: list[str] = []
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own."""
     return (
@@ -46,4 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
     path = f"{checkpoint_root(df.sparkSession)}/ledgerloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_cuts(spark: SparkSession) -> int:
+    """Delete all tables that ``cut`` wrote; call it when no frame built on them will run again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
