@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import reconcile, runs, scoring, spans
+from ledgerloom.operators import lots as lot_ops
+from ledgerloom.operators import reconcile, runs, scoring, shapes, spans, standards
 from ledgerloom.operators.contain import contained
+from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, flatten_records, level_table
 from ledgerloom.operators.skew import skew_rank
 from ledgerloom.session import table
 from ledgerloom.sources.records import duplicate_audit
@@ -630,3 +632,86 @@ def record_unpivot(spark: SparkSession, d: str) -> DataFrame:
 def star_rollup(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# --- standards, lots, shapes ----------------------------------------------------------------------
+
+_STANDARD_SQL = standards.STANDARD.replace("'", "''")
+
+
+@query(
+    f"WITH t AS (SELECT evidence_id, json_extract_string(evidence, '$.text') t FROM standards_evidence WHERE evidence IS NOT NULL), h AS (SELECT unnest(regexp_extract_all(t, '{_STANDARD_SQL}')) hit FROM t) SELECT upper(trim(regexp_replace(hit, '[\\s\\p{{Z}}]+', ' ', 'g'))) name, count(*) n FROM h GROUP BY 1"
+)
+def coded_standards(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "standards_evidence").select(F.get_json_object("evidence", "$.text").alias("t"))
+    hits = e.select(F.explode(F.regexp_extract_all("t", F.lit(standards.STANDARD), F.lit(0))).alias("hit"))
+    return hits.groupBy(F.upper(T.collapse(F.col("hit"))).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query()
+def standard_references(spark: SparkSession, d: str) -> DataFrame:
+    """References in whole document texts with their section, rolled up (look-around has no SQL twin; tests hold golden texts)."""
+    catalog = standards.Catalog({"Ecolabel": ["ekomarkejum", "ecolabel"], "CPV": ["cpv kods", "cpv code"]})
+    refs = standards.find_references(table(spark, d, "documents"), ["doc_id"], "text", catalog)
+    out = standards.rollup_references(refs, [], ["doc_id"])
+    return out.select("name", "category", "n", F.array_join("phases", ",").alias("phases"), F.array_join("evidence", " | ").alias("evidence"))
+
+
+@query()
+def defined_terms(spark: SparkSession, d: str) -> DataFrame:
+    return standards.defined_terms(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+@query()
+def lots_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Criteria of the workers against the ground-truth records, lot by lot (tests hold a brute-force twin)."""
+    flat = flatten_records(table(spark, d, "reference_records"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
+    eis = table(spark, d, "reference_records").groupBy("eis_id").agg(F.max("record_id").alias("record_id"))
+    lots = level_table(flat, "record_id", 1, ("lot_no",), {"lot": "sequenceNumber"})
+    crit = level_table(flat, "record_id", 2, ("lot_no", "criterion_no"), {"number": "winnerCriterionNumber"})
+    gold = crit.drop("n_children").join(lots.drop("n_children"), ["record_id", "lot_no"]).join(eis, "record_id")
+    gold = gold.withColumn("weight", F.replace(F.regexp_extract("number", "[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit(".")).try_cast("double"))
+    pred = runs.latest_per_key(table(spark, d, "worker_criteria"), ["criterion_id"], ["loaded_at"])
+    return lot_ops.compare_lots(lot_ops.lot_sets(pred, "eis_id", "lot", "weight"), lot_ops.lot_sets(gold, "eis_id", "lot", "weight"), "eis_id")
+
+
+@query(
+    "WITH e AS (SELECT name, json_extract_string(evidence, '$.phase') phase, json_extract_string(evidence, '$.text') t, evidence_id FROM standards_evidence WHERE evidence IS NOT NULL) SELECT name, phase, md5(t) text_key, count(*) n_copies, min(evidence_id) \"first\" FROM e GROUP BY 1, 2, 3"
+)
+def evidence_grouping(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "standards_evidence").where("evidence IS NOT NULL")
+    e = e.select("evidence_id", "name", F.get_json_object("evidence", "$.phase").alias("phase"), F.md5(F.get_json_object("evidence", "$.text")).alias("text_key"))
+    return shapes.evidence_copies(e, ["name", "phase", "text_key"], "evidence_id")
+
+
+@query(
+    "SELECT state_id, loaded_at, len(source_files)::BIGINT n_files, coalesce(len(candidates), 0)::BIGINT n_candidates, coalesce(list_sum(list_transform(candidates, lambda c: c.hits)), 0)::BIGINT n_hits, round(coalesce(CASE WHEN cpv_seconds >= 0 THEN cpv_seconds END, 0) + coalesce(CASE WHEN criteria_seconds >= 0 THEN criteria_seconds END, 0), 1) model_seconds FROM run_states"
+)
+def batch_summary(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    hits = F.aggregate(F.coalesce(F.transform("candidates", lambda c: F.coalesce(c["hits"].cast("long"), F.lit(0))), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    s = table(spark, d, "run_states")
+    return s.select("state_id", "loaded_at", F.size("source_files").cast("long").alias("n_files"), n("candidates").alias("n_candidates"), hits.alias("n_hits"), shapes.model_seconds(F.col("cpv_seconds"), F.col("criteria_seconds")).alias("model_seconds"))
+
+
+@query()
+def candidate_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of each state with the passages that fit the prompt's budget (a sequential spread; tests hold golden cases)."""
+    s = table(spark, d, "run_states").where("candidates IS NOT NULL")
+    c = s.select("state_id", "loaded_at", F.posexplode("candidates").alias("ord", "c")).select("state_id", "loaded_at", "ord", F.coalesce("c.code", F.lit("")).alias("code"), F.col("c.contexts").alias("contexts"))
+    out = shapes.pick_contexts(c, ["state_id", "loaded_at"])
+    return out.select("state_id", "loaded_at", "code", F.size("passages").cast("long").alias("n_passages"), "listed")
+
+
+@query(
+    "SELECT f.finding_id, coalesce(len(list_distinct(flatten(list(c.evidence_ids)))), 0)::BIGINT n_cited FROM (SELECT DISTINCT finding_id FROM worker_findings) f LEFT JOIN worker_criteria c USING (finding_id) GROUP BY 1"
+)
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    cited = table(spark, d, "worker_criteria").select("finding_id", F.explode("evidence_ids").alias("e")).distinct().groupBy("finding_id").agg(F.count("*").alias("n_cited"))
+    return table(spark, d, "worker_findings").select("finding_id").distinct().join(cited, "finding_id", "left").fillna(0, ["n_cited"])
+
+
+@query("SELECT finding_id, criterion_id FROM worker_criteria c WHERE NOT EXISTS (SELECT 1 FROM worker_findings f WHERE f.finding_id = c.finding_id AND f.status = 'completed')")
+def unfinished_criteria(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "worker_findings").where("status = 'completed'").select("finding_id")
+    return table(spark, d, "worker_criteria").join(done, "finding_id", "left_anti").select("finding_id", "criterion_id")

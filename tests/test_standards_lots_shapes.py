@@ -1,0 +1,95 @@
+import random
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import lots, shapes, standards
+
+TEXT = (
+    "Tehniskā specifikācija. Atbilst LVS EN 1090-2 un ISO/IEC  17025:2017, iso 9001. Ministru kabineta 2013. gada 8. oktobra noteikumi Nr. 1041 ir spēkā. "
+    "Vērtēšanas kritēriji: regulu (EK) Nr. 66/2010, Direktīvu 95/46/EK; (ES) 2016/7 un 12/34/EK. Ecolabel un Nordic swan."
+)
+
+
+def test_references(spark):
+    df = spark.createDataFrame([(1, TEXT), (2, None), (3, ""), (4, "Ministru kabineta lēmums. Citi noteikumi Nr. 5")], "id int, t string")
+    catalog = standards.Catalog({"Label": ["ecolabel"], "Swan": ["nordic swan"]})
+    got = sorted((r["category"], r["name"], r["phase"]) for r in standards.find_references(df, ["id"], "t", catalog).collect())
+    assert got == [
+        ("directive", "95/46", "award"), ("legal_act", "12/34", "award"), ("legal_act", "2016/7", "award"), ("regulation", "66/2010", "award"),
+        ("regulation", "MINISTRU KABINETA 2013. GADA 8. OKTOBRA NOTEIKUMI NR. 1041", "specification"),
+        ("scheme", "Label", "award"), ("scheme", "Swan", "award"), ("standard", "ISO 9001", "specification"), ("standard", "ISO/IEC 17025:2017", "specification"), ("standard", "LVS EN 1090-2", "specification"),
+    ]
+
+
+def test_rollup(spark):
+    df = spark.createDataFrame([(1, "ISO 9001 a. Vērtēšanas kritēriji ISO 9001 b"), (2, "x ISO 9001 c"), (2, "x ISO 9001 c")], "id int, t string")
+    r = standards.rollup_references(standards.find_references(df, ["id"], "t"), [], ["id"]).collect()
+    assert len(r) == 1 and r[0]["n"] == 4 and r[0]["phases"] == ["unknown", "award"] and len(r[0]["evidence"]) == 2  # equal passages are one
+
+
+def test_defined_terms(spark):
+    df = spark.createDataFrame([(1, "Pārtikas kvalitātes shēma (turpmāk - NPKS). NPKS un NPKSX, NPKS."), (2, "cits (turpmāk - ABC) ABC"), (3, None)], "id int, t string")
+    assert [tuple(r) for r in standards.defined_terms(df, ["id"], "t").collect()] == [(1, "NPKS", 3)]
+
+
+def brute(pred, gold, invalid):
+    group = lambda rows: {k: sorted(w for a, w in rows if a == k) for k in {a for a, _ in rows}}
+    p, g = group(pred), group(gold)
+
+    def match(a, b):
+        b, n = list(b), 0
+        for x in a:
+            if x in b:
+                b.remove(x)
+                n += 1
+        return n
+
+    if invalid:
+        mode, pairs = "invalid_scope", []
+    elif len(p) == len(g) == 1:
+        (a,), (b,) = p, g
+        near = a == b or "all" in (a, b)
+        mode, pairs = ("single_set", [(a, b)]) if near else ("unmatched", [])
+    elif "all" not in p and "all" not in g and (p or g):
+        mode, pairs = "by_lot_label", [(k, k) for k in p if k in g]
+    else:
+        mode, pairs = "unresolved_lot_alignment", []
+    tp = sum(match(p[a], g[b]) for a, b in pairs)
+    return mode, tp, len(pred) - tp, len(gold) - tp, len(g), sum(p[a] == g[b] for a, b in pairs)
+
+
+def test_lots_against_brute_force(spark):
+    rng, p, g, bad, want = random.Random(9), [], [], [], {}
+    for k in range(120):
+        labels = rng.choice([["all"], ["1"], ["1", "2"], ["all", "1"], ["1", "2", "3"]])
+        side = lambda ls: [(rng.choice(ls), rng.randrange(1, 4) * 10) for _ in range(rng.randrange(1, 6))]
+        a, b = side(labels), side(rng.choice([labels, labels, ["2"], ["all"]]))
+        inv = rng.random() < 0.1
+        p += [(k, x, float(w)) for x, w in a]
+        g += [(k, x, float(w)) for x, w in b]
+        bad += [(k,)] if inv else []
+        want[k] = brute(a, b, inv)
+    schema = "k int, lot string, w double"
+    sets = [lots.lot_sets(spark.createDataFrame(x, schema), "k", "lot", "w") for x in (p, g)]
+    got = {r["k"]: (r["mode"], r["tp"], r["fp"], r["fn"], r["gold_lots"], r["matched_lots"]) for r in lots.compare_lots(*sets, "k", spark.createDataFrame(bad, "k int")).collect()}
+    assert got == want
+
+
+def test_shapes(spark):
+    t = spark.createDataFrame([([["Kritērijs", "x"], ["punkti", "y"]],), ([["punkti"]],), (None,)], "r array<array<string>>")
+    assert [r[0] for r in t.select(shapes.is_scoring_table(F.col("r"), "kritērij|punkt")).collect()] == [True, False, False]
+    assert t.select(shapes.table_signature(F.col("r"))).first()[0] == "kritērijs|punkti|x|y"
+    p = spark.createDataFrame([("", False), ("x" * 10, True), ("x" * 10, False), ("x" * 60, True), (None, None)], "t string, i boolean")
+    assert [r[0] for r in p.select(shapes.is_scanned(F.col("t"), F.col("i"))).collect()] == [True, True, False, False, True]
+    w = spark.createDataFrame([(0.3, None, "fraction", None), (30.0, None, "points", "fraction"), (0.5, None, None, "fraction"), (None, 5.0, None, None)], "w double, raw double, l string, r string")
+    assert [r[0] for r in w.select(shapes.scoring_weight(F.col("w"), F.col("raw"), F.col("l"), F.col("r"))).collect()] == [30.0, 30.0, 50.0, 5.0]
+    c = spark.createDataFrame([(["a", "b"], ["a"]), (None, None)], "c array<string>, s array<string>")
+    assert [r[0] for r in c.select(shapes.unsupplied(F.col("c"), F.col("s"))).collect()] == [["b"], []]
+    assert shapes.batches_by_size(iter(["aa", "bb", "cccc"]), 4) == [["aa", "bb"], ["cccc"]]
+
+
+def test_contexts_fit_the_budget(spark):
+    rows = [(1, "11111111-1", 0, ["far text", "galvenais CPV kods"]), (1, "22222222-2", 1, ["b" * 30]), (1, "33333333-3", 2, None), (2, "4" * 100, 0, ["x"])]
+    df = spark.createDataFrame(rows, "k int, code string, ord int, contexts array<string>")
+    got = {r["code"]: (r["passages"], r["listed"]) for r in shapes.pick_contexts(df, ["k"], budget=70).collect()}
+    assert got["11111111-1"] == (["galvenais CPV kods", "far text"], True) and got["22222222-2"] == ([], True) and got["4" * 100] == ([], False)
