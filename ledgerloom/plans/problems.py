@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.compare import canonical_code, canonical_numbers, compare_copies
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, flatten_records
+from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, flatten_records, procurement_tables
 from ledgerloom.operators.packed import unpack_values
 from ledgerloom.operators.units import harmonise_weights
 from ledgerloom.session import table
@@ -42,8 +42,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack_values(table(spark, sf_dir, "validation_gemma4_e4b"), "row_no").distinct()
 
 
+def _record_table(name: str):  # noqa: ANN202
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return procurement_tables(table(spark, sf_dir, "reference_records"))[name]
+
+    return read
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {
+        "p1_found": p1_found,
+        "p1_weights": p1_weights,
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        **{f"p4_{name}": _record_table(name) for name in ("records", "lots", "criteria", "sub_criteria")},
+        "p5_found": p5_found,
+    }
 
 
 _PARTS = r"^([^0-9]*?)([0-9]+(?:[.,][0-9]+)?)\s*(%|proc[a-z]*|percent|‰|promil[a-z]*|per mille|punkt[a-zāēīū]*|points?|pts|p\.)?\s*\(?(?:(?:/|no|out of|of)\s*([0-9]+(?:[.,][0-9]+)?))?\s*\)?\s*(punkt[a-zāēīū]*|points?|pts)?[^0-9]*$"
