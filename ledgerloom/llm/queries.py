@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.copies import collapse_records, copy_members
 from ledgerloom.llm.homoglyphs import regular_items
-from ledgerloom.llm.leaks import find_leaks
+from ledgerloom.llm.leaks import find_leaks, remove_leaks
 from ledgerloom.llm.packing import pack_documents
-from ledgerloom.llm.reading import reading_levels
+from ledgerloom.llm.reading import level_profile, reading_levels
 from ledgerloom.llm.scans import repair_scans, scan_findings
 from ledgerloom.session import table
 
@@ -49,6 +49,15 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels"))
 
 
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return out.select("doc_id", "leaked_share", "text")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_profile(p10_levels(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found,
@@ -58,7 +67,9 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p8_containers": p8_containers,
         "p9_found": p9_found,
+        "p9_cleaned": p9_cleaned,
         "p10_levels": p10_levels,
+        "p10_profile": p10_profile,
     }
 
 
