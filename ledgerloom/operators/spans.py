@@ -1,7 +1,7 @@
 """Spans of patterns in text, with positions, windows, and what stands around them.
 
-Everything here is a projection of one row or a window over the rows of one document, without
-Python. Positions count characters from 0; a span is [start, stop).
+What concerns one text stays in its row: arrays and higher-order functions, no Python and no
+shuffle. Positions count characters from 0; a span is [start, stop).
 """
 
 from __future__ import annotations
@@ -77,22 +77,64 @@ def lines_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(F.col(text), "\r\n|\n|\r", -1)).alias("line_no", "line"))
 
 
-def asof_last(events: DataFrame, partition: list[str], position: list[str], label: Column) -> Column:
-    """The last label at or before each row: an as-of join without a join."""
-    w = Window.partitionBy(*partition).orderBy(*position).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(label, ignorenulls=True).over(w)
+def heading_spans(text: Column, heading: str) -> Column:
+    """Spans of whole lines that begin (after blanks and bars) with ``heading``."""
+    return find_spans(text, rf"(?md)^[ \t|]*(?:{heading.removeprefix('^')}).*$")
+
+
+def last_label(labels: Column, at: Column) -> Column:
+    """``hit`` of the last of the spans that starts at or before a position, null before the first.
+
+    An as-of join inside one row: labels and look-ups of a text never leave it.
+    """
+    listed = F.transform(F.filter(labels, lambda h: h["start"] <= at), lambda h: F.struct(h["start"].alias("start"), h["hit"].alias("hit")))
+    return F.get(F.slice(F.array_sort(listed), -1, 1), F.lit(0))["hit"]
+
+
+def line_at(text: Column, at: Column) -> Column:
+    """Number of the line, from 0, that holds a position."""
+    before = F.substring(text, F.lit(1), at)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+
+
+def labelled_hits(df: DataFrame, keys: list[str], text: str, pattern: str, heading: str, none: str = "unknown") -> DataFrame:
+    """``keys, line_no, phase``: lines with a hit, and the last heading at or before them. No shuffle."""
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_t"))
+    rows = rows.select(*keys, "_t", find_spans(F.col("_t"), pattern).alias("_s"), heading_spans(F.col("_t"), heading).alias("_h"))
+
+    def place(s: Column) -> Column:
+        return F.struct(line_at(F.col("_t"), s["start"]).alias("line_no"), F.coalesce(F.trim(last_label(F.col("_h"), s["start"])), F.lit(none)).alias("phase"))
+
+    return rows.select(*keys, F.explode(F.array_distinct(F.transform("_s", place))).alias("_p")).select(*keys, "_p.*")
 
 
 def sections(df: DataFrame, keys: list[str], text: str, heading: str) -> DataFrame:
-    """Lines with the section they stand in: ``keys, line_no, line, section, heading``.
+    """``keys, section, heading, start, stop, n_lines, n_chars``: what stands under each heading line.
 
-    A heading line opens a section; what comes before the first is section 0 without heading.
+    A heading opens a section and belongs to it; what comes before the first is section 0
+    without heading (absent if the text begins with one). Characters of line ends don't count.
+    Row-local: the text isn't cut into rows of lines.
     """
-    lines = lines_of(df, keys, text).withColumn("is_heading", F.trim(F.regexp_replace("line", r"\|", " ")).rlike(heading))
-    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.sum(F.col("is_heading").cast("int")).over(w)
-    label = F.last(F.when(F.col("is_heading"), collapse(F.col("line"))), ignorenulls=True).over(w)
-    return lines.select(*keys, "line_no", "line", section.cast("int").alias("section"), label.alias("heading"))
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_t")).select(*keys, "_t", heading_spans(F.col("_t"), heading).alias("_h"))
+
+    def build(h: Column) -> Column:
+        first = F.array(F.struct(F.lit(None).cast("string").alias("hit"), F.lit(0).alias("start"), F.lit(0).alias("stop")))
+        opened = F.when((F.size(h) > 0) & (F.get(h, F.lit(0))["start"] == 0), h).otherwise(F.concat(first, h))
+        shift = F.when((F.size(h) > 0) & (F.get(h, F.lit(0))["start"] == 0), 1).otherwise(0)
+
+        def cut(o: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                stop = F.coalesce(F.get(o, i + 1)["start"], F.length("_t"))
+                return F.struct((i + shift).alias("section"), collapse(x["hit"]).alias("heading"), x["start"].alias("start"), stop.alias("stop"), (i + 1 == F.size(o)).alias("last"))
+
+            return F.transform(o, one)
+
+        return let(opened, cut)
+
+    parts = rows.select(*keys, "_t", F.explode(let(F.col("_h"), build)).alias("_s")).select(*keys, "_t", "_s.*")
+    body = F.substring(F.col("_t"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    ends = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    return parts.select(*keys, "section", "heading", "start", "stop", (ends + F.col("last").cast("int")).alias("n_lines"), (F.col("stop") - F.col("start") - ends).alias("n_chars"))
 
 
 def line_windows(df: DataFrame, keys: list[str], text: str, pattern: str, before: int = 1, after: int = 40, longest: int = 12_000) -> DataFrame:
@@ -100,20 +142,49 @@ def line_windows(df: DataFrame, keys: list[str], text: str, pattern: str, before
 
     Each match takes lines before and after it; overlapping or touching ranges are one passage.
     Passages with the same text up to white space come once; a text whose passages together
-    exceed ``longest`` gives none.
+    exceed ``longest`` gives none. Row-local: only arrays of one text, no shuffle.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.split(F.col(text), "\n", -1).alias("_l"))
+    rows = rows.where(F.exists("_l", lambda x: F.lower(x).rlike(pattern)))
+    n = F.size("_l")
+    matches = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.lower(F.get("_l", i)).rlike(pattern))
+    ranges = F.transform(matches, lambda i: F.struct(F.greatest(F.lit(0), i - before).alias("a"), F.least(n - 1, i + after).alias("b")))
+    kind = "array<struct<a:int,b:int>>"
+
+    def merge(done: Column, r: Column) -> Column:
+        last = F.get(F.slice(done, -1, 1), F.lit(0))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))))
+        return F.when((F.size(done) > 0) & (r["a"] <= last["b"] + 1), joined).otherwise(F.concat(done, F.array(r))).cast(kind)
+
+    rows = rows.select(*keys, "_l", F.aggregate(ranges, F.array().cast(kind), merge).alias("_r"))
+    joined = lambda r: F.array_join(F.slice(F.col("_l"), r["a"] + 1, r["b"] - r["a"] + 1), "\n")
+    passages = F.transform("_r", lambda r: F.struct(r["a"].alias("first_line"), r["b"].alias("last_line"), joined(r).alias("passage"), collapse(joined(r)).alias("sig")))
+
+    def once(p: Column) -> Column:
+        return F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["sig"]), x["sig"]) == i + 1)
+
+    rows = rows.select(*keys, let(passages, once).alias("_p"))
+    rows = rows.where(F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x["passage"])) <= longest)
+    return rows.select(*keys, F.posexplode("_p").alias("_i", "_x")).select(*keys, (F.col("_i") + 1).alias("passage_no"), "_x.first_line", "_x.last_line", "_x.passage")
+
+
+def line_chunks(df: DataFrame, keys: list[str], text: str, size: int = 2400) -> DataFrame:
+    """``keys, chunk_no, first_line, last_line``: whole lines of a text packed into chunks of ``size``.
+
+    A longer line stands alone; one character counts for each line end inside a chunk. The fold
+    keeps only where chunks begin.
     """
-    lines = lines_of(df, keys, text).withColumn("match", F.lower("line").rlike(pattern).cast("int"))
-    near = F.max("match").over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(-after, before)) == 1
-    kept = lines.withColumn("near", near).where("near")
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    gap = (F.col("line_no") - F.lag("line_no").over(w) > 1).cast("int")
-    kept = kept.withColumn("island", F.sum(F.coalesce(gap, F.lit(1))).over(w))
-    passage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    found = kept.groupBy(*keys, "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), passage.alias("passage"))
-    found = found.withColumn("twin", F.row_number().over(Window.partitionBy(*keys, collapse(F.col("passage"))).orderBy("first_line"))).where("twin = 1")
-    found = found.withColumn("all_chars", F.sum(F.length("passage")).over(Window.partitionBy(*keys))).where(F.col("all_chars") <= longest)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("first_line"))
-    return found.select(*keys, number.alias("passage_no"), "first_line", "last_line", "passage")
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.transform(F.split(F.col(text), "\n", -1), F.length).alias("_n"))
+
+    def step(s: Column, x: Column) -> Column:
+        grown = s["used"] + 1 + x
+        fits = (s["used"] >= 0) & (grown <= size)
+        return F.struct((s["i"] + 1).alias("i"), F.when(fits, grown).otherwise(x).alias("used"), F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("used"), F.array().cast("array<int>").alias("starts"))
+    rows = rows.select(*keys, F.size("_n").alias("_k"), F.aggregate("_n", zero, step)["starts"].alias("_s"))
+    bounds = F.transform("_s", lambda a, i: F.struct((i + 1).alias("chunk_no"), a.alias("first_line"), (F.coalesce(F.get("_s", i + 1), F.col("_k")) - 1).alias("last_line")))
+    return rows.select(*keys, F.explode(bounds).alias("_b")).select(*keys, "_b.*")
 
 
 def overlap_anti(bare: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:

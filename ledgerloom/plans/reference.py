@@ -94,10 +94,7 @@ LINES_SQL = r"l AS (SELECT doc_id, eis_id, (i - 1)::INT line_no, line FROM (SELE
     f"SELECT doc_id, line_no, coalesce(heading, 'unknown') phase FROM h WHERE regexp_matches(line, '{CODE}')"
 )
 def phase_asof(spark: SparkSession, d: str) -> DataFrame:
-    lines = spans.lines_of(table(spark, d, "documents"), ["doc_id"], "text")
-    label = F.when(F.trim("line").rlike(HEADING), F.trim("line"))
-    rows = lines.withColumn("phase", F.coalesce(spans.asof_last(lines, ["doc_id"], ["line_no"], label), F.lit("unknown")))
-    return rows.where(F.col("line").rlike(CODE)).select("doc_id", "line_no", "phase")
+    return spans.labelled_hits(table(spark, d, "documents"), ["doc_id"], "text", CODE, HEADING)
 
 
 @query(
@@ -106,8 +103,8 @@ def phase_asof(spark: SparkSession, d: str) -> DataFrame:
     "SELECT doc_id, section, heading, count(*) n_lines, sum(length(line))::BIGINT n_chars FROM s GROUP BY ALL"
 )
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
-    s = spans.sections(table(spark, d, "documents"), ["doc_id"], "text", HEADING)
-    return s.groupBy("doc_id", "section", "heading").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    out = spans.sections(table(spark, d, "documents"), ["doc_id"], "text", HEADING)
+    return out.select("doc_id", "section", "heading", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
 @query(
@@ -138,11 +135,10 @@ def span_overlap_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH RECURSIVE {LINES_SQL}, r AS (SELECT doc_id, line_no, 1 chunk_no, length(line) used FROM l WHERE line_no = 0 UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN r.used + 1 + length(l.line) <= 400 THEN r.chunk_no ELSE r.chunk_no + 1 END, "
-    "CASE WHEN r.used + 1 + length(l.line) <= 400 THEN r.used + 1 + length(l.line) ELSE length(l.line) END FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no + 1) SELECT doc_id, line_no, chunk_no FROM r"
+    "CASE WHEN r.used + 1 + length(l.line) <= 400 THEN r.used + 1 + length(l.line) ELSE length(l.line) END FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no + 1) SELECT doc_id, chunk_no, min(line_no) first_line, max(line_no) last_line FROM r GROUP BY 1, 2"
 )
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
-    lines = spans.lines_of(table(spark, d, "documents"), ["doc_id"], "text")
-    return spans.greedy_chunks(lines, ["doc_id"], "line_no", "line", 400)
+    return spans.line_chunks(table(spark, d, "documents"), ["doc_id"], "text", 400)
 
 
 @query("SELECT page_id, lead(page_id) OVER (PARTITION BY eis_id, name ORDER BY page_no, page_id) next_page FROM ocr_pages")

@@ -53,8 +53,13 @@ def test_spans_round_trip(spark):
 
 def test_sections_chunks_windows(spark, rows):
     df = spark.createDataFrame([(1, "intro\n1. A\nx\n\n2. B\ny"), (2, None)], "id int, t string")
-    s = rows(spans.sections(df, ["id"], "t", r"^[0-9]+\. "), "line_no", "section", "heading")
-    assert s == [(0, 0, None), (1, 1, "1. A"), (2, 1, "1. A"), (3, 1, "1. A"), (4, 2, "2. B"), (5, 2, "2. B")]
+    s = rows(spans.sections(df, ["id"], "t", r"^[0-9]+\. "), "section", "heading", "n_lines", "n_chars")
+    assert s == [(0, None, 1, 5), (1, "1. A", 3, 5), (2, "2. B", 2, 5)]
+    top = spark.createDataFrame([(1, "1. A\nx"), (2, ""), (3, "no heading\n")], "id int, t string")
+    assert rows(spans.sections(top, ["id"], "t", r"^[0-9]+\. "), "id", "section", "n_lines") == [(1, 1, 2), (2, 0, 1), (3, 0, 2)]
+    assert rows(spans.labelled_hits(df, ["id"], "t", "[xy]", r"^[0-9]+\. "), "line_no", "phase") == [(2, "1. A"), (5, "2. B")]
+    sizes = spark.createDataFrame([(1, "\n".join("a" * n for n in [3, 3, 9, 1, 20])), (2, ""), (3, None)], "id int, t string")
+    assert rows(spans.line_chunks(sizes, ["id"], "t", 10)) == [(1, 1, 0, 1), (1, 2, 2, 2), (1, 3, 3, 3), (1, 4, 4, 4), (2, 1, 0, 0)]
     units = spark.createDataFrame([(1, i, "a" * n) for i, n in enumerate([3, 3, 9, 1, 20])], "id int, i int, t string")
     assert [r[2] for r in rows(spans.greedy_chunks(units, ["id"], "i", "t", 10))] == [1, 1, 2, 3, 4]
     packed = spans.budget_pack(units.withColumn("n", F.length("t")), ["id"], ["i"], "n", 8)
