@@ -96,6 +96,19 @@ ORACLES = {
  SELECT record_id, 0 lot_no, 0 criterion_no, 0 sub_no FROM l3 WHERE len(l) = 0 UNION ALL SELECT record_id, lot_no, 0, 0 FROM c2 WHERE len(c) = 0 UNION ALL SELECT record_id, lot_no, criterion_no, 0 FROM crit UNION ALL SELECT record_id, lot_no, criterion_no, unnest(range(1, len(s) + 1))::INT FROM s2""",
 }
 
+_P4_ENTRIES = ORACLES["p4_found"].partition(" SELECT record_id, 0 lot_no")[0]
+ORACLES |= {
+    "p4_lots": f"""{_P4_ENTRIES} SELECT l.record_id, l.lot_no, lot->>'$.sequenceNumber' sequence_number, lot->>'$.title' title, len(c)::INT n_children FROM lots l JOIN c2 USING (record_id, lot_no)""",
+    "p4_criteria": f"""{_P4_ENTRIES} SELECT k.record_id, k.lot_no, k.criterion_no, k->>'$.winnerCriterionName' AS name, k->>'$.winnerCriterionNumber' AS number, len(s)::INT n_children FROM crit k JOIN s2 USING (record_id, lot_no, criterion_no)""".replace("k->>", "k.k->>"),
+    "p4_sub_criteria": f"""{_P4_ENTRIES}, s3 AS (SELECT record_id, lot_no, criterion_no, unnest(s) x, generate_subscripts(s, 1)::INT sub_no FROM s2) SELECT record_id, lot_no, criterion_no, sub_no, x->>'$.winnerCriterionName' AS name, x->>'$.winnerCriterionNumber' AS number, 0 n_children FROM s3""",
+    "p4_records": f"""{_P4_ENTRIES} SELECT record_id, j->>'$.tenderingProcess.documentsURL' documents_url, j->>'$.cpvType' cpv_type, len(l)::INT n_children FROM b JOIN l3 USING (record_id)""",
+    "p5_found": r"""WITH c AS (SELECT DISTINCT row_no, unnest(['additional_cpv_extracted', 'weights_truth', 'criteria_names_extracted']) f, unnest([additional_cpv_extracted, weights_truth, criteria_names_extracted]) x FROM validation_gemma4_e4b),
+ n AS (SELECT *, list_transform(regexp_extract_all(x, '[\s\p{Z}]*(?:,[\s\p{Z}]*)?"(?:[^"]|"")*"|[^;|\n\r\t"][^;|\n\r\t]*'), lambda v: regexp_replace(v, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) k FROM c WHERE x IS NOT NULL),
+ t AS (SELECT row_no, f, CASE WHEN starts_with(trim(x), '[') AND json_valid(trim(x)) THEN from_json(trim(x)::JSON, '["VARCHAR"]') WHEN f = 'additional_cpv_extracted' THEN regexp_extract_all(x, '[0-9]{8}[‐‑–-][0-9]') WHEN f = 'weights_truth' THEN regexp_extract_all(x, '[0-9]+(?:[.,][0-9]+)?(?:[\s\p{Z}]*%)?')
+  ELSE list_filter(list_transform(k, lambda v: CASE WHEN regexp_matches(v, '^[\s,]*".*"$', 's') THEN replace(regexp_replace(v, '^[\s\p{Z},]*"|"$', '', 'g'), '""', '"') ELSE v END), lambda v: v <> '') END v FROM n),
+ u AS (SELECT row_no, f, unnest(v) v, generate_subscripts(v, 1)::INT i FROM t) SELECT row_no, f field_name, i value_pos, regexp_replace(v, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') value_text FROM u""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
