@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import lots as lot_ops
-from ledgerloom.operators import reconcile, runs, scoring, shapes, spans, standards
+from ledgerloom.operators import reconcile, reports, runs, scoring, shapes, spans, standards
 from ledgerloom.operators.contain import contained
 from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, flatten_records, level_table
 from ledgerloom.operators.skew import skew_rank
@@ -711,3 +711,27 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 def unfinished_criteria(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "worker_findings").where("status = 'completed'").select("finding_id")
     return table(spark, d, "worker_criteria").join(done, "finding_id", "left_anti").select("finding_id", "criterion_id")
+
+
+@query(
+    f"WITH n AS (SELECT eis_id, {_LOT_SQL.format('lot')} lot_key, trim(name) n, count(*) c FROM worker_criteria WHERE trim(name) <> '' GROUP BY ALL) "
+    "SELECT eis_id, lot_key, string_agg(CASE WHEN c > 1 THEN n || ' x' || c ELSE n END, ' | ' ORDER BY n) extracted_names FROM n GROUP BY 1, 2"
+)
+def name_review(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "worker_criteria")
+    return reports.name_review(c, c.limit(0), "eis_id", "lot", "name").select("eis_id", "lot_key", "extracted_names")
+
+
+@query(
+    "WITH o AS (SELECT DISTINCT eis_id FROM ocr_pages), t AS (SELECT DISTINCT eis_id FROM reference_records) SELECT s.state_id, s.loaded_at, o.eis_id IS NOT NULL has_ocr, t.eis_id IS NOT NULL has_truth, "
+    "CASE WHEN o.eis_id IS NULL AND t.eis_id IS NULL THEN 'missing: ocr, truth' WHEN o.eis_id IS NULL THEN 'missing: ocr' WHEN t.eis_id IS NULL THEN 'missing: truth' END note FROM run_states s LEFT JOIN o ON o.eis_id = s.eis_id LEFT JOIN t ON t.eis_id = s.eis_id"
+)
+def artifact_scan(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "run_states").select("eis_id", "state_id", "loaded_at")
+    out = reports.with_artifacts(s, {"ocr": table(spark, d, "ocr_pages"), "truth": table(spark, d, "reference_records")}, "eis_id")
+    return out.drop("eis_id")
+
+
+@query("SELECT eis_id worker, count(*) n_calls, count(*) FILTER (attempts > 1) n_retries, count(*) FILTER (contains(lower(feedback), 'correct')) n_corrections, round(sum(CASE WHEN cpv_seconds >= 0 THEN cpv_seconds END), 2) \"seconds\" FROM run_states GROUP BY 1")
+def correction_rows(spark: SparkSession, d: str) -> DataFrame:
+    return reports.correction_rows(table(spark, d, "run_states").withColumnRenamed("eis_id", "worker"), "worker", "feedback", "attempts", "cpv_seconds")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import codes_in, url_number
 from ledgerloom.operators.skew import hot_join
+from ledgerloom.operators.standards import SCHEME_CUES, SECTION_MARKERS, Catalog
 from ledgerloom.session import cut
 
 RECORD_SCHEMA = """eis_id string, source_files array<string>, attempts int, model_seconds double, lot_seconds double,
@@ -91,3 +94,18 @@ def parse_run_log(lines: DataFrame, source: str = "source", order: str = "line_n
     main = F.regexp_extract(text, r"main=\s*([0-9]{8}-[0-9])?", 1)
     additional = codes_in(F.regexp_extract(text, r"additional=\s*\[([^\]]*)\]", 1))
     return rows.select(source, "section", "attempt", F.when(main != "", main).alias("main"), F.array_join(additional, ",").alias("additional"), "n_revise")
+
+
+def read_ids(spark: SparkSession, path: str, given: list[str] | None = None) -> DataFrame:
+    """``eis_id, ord``: given ids, then those of a file, one per line, trimmed; each once, where it stood first."""
+    lines = spark.read.text(path).select(F.trim("value").alias("eis_id"), (F.monotonically_increasing_id() + len(given or [])).alias("ord"))
+    first = spark.createDataFrame([(x.strip(), i) for i, x in enumerate(given or [])], "eis_id string, ord long")
+    return first.unionByName(lines).where("eis_id <> ''").groupBy("eis_id").agg(F.min("ord").alias("ord"))
+
+
+def read_catalog(path: str) -> Catalog:
+    """A catalog file: ``schemes`` (name to aliases), ``section_markers`` and ``scheme_cues``; a small file of the driver."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    schemes = {name: [a for a in (x["aliases"] if isinstance(x, dict) else x)] for name, x in raw.get("schemes", {}).items()}
+    return Catalog(schemes, raw.get("section_markers", SECTION_MARKERS), raw.get("scheme_cues", SCHEME_CUES))
