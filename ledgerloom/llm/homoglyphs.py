@@ -66,8 +66,8 @@ def build_mapping() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
 PLAIN, LOOKS = build_mapping()
 #: what a text must hold to be looked at: anything but ASCII and composed Latin letters and common signs
 _SUSPECT = re.compile(f"[{INVISIBLE}{BLANKS}！-～̀-ͯͰ-ԯ\U0001d400-\U0001d7ff]|[0-9]\\s?[{DASHES}]\\s?[0-9]")
-_HIDDEN = re.compile(f"[{INVISIBLE}]")
-_CLUSTER = re.compile("[\\W\\d_]|[^\\W\\d_][̀-ͯ]*", re.UNICODE)
+#: what may still be irregular in a word once widths and invisible characters are gone
+_ODD = re.compile("[̀-ͯͰ-ԯ]")
 _WORD = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
 _DIGIT = f"[0-9{''.join(DIGIT_LOOKS)}]"
 _CODE = re.compile(f"(?<![\\w])({_DIGIT}{{8}})([-{DASHES}])({_DIGIT})(?![\\w])")
@@ -104,7 +104,7 @@ def regular_text(text: str) -> str:
         return text
     text = text.translate(_TO_PLAIN)
     text = _CODE.sub(_code, text)
-    return _WORD.sub(lambda m: regular_word(m[0]), text) if not text.isascii() else text
+    return _WORD.sub(lambda m: regular_word(m[0]), text) if _ODD.search(text) else text
 
 
 def regular_items(states: DataFrame, state_id: str = "state_id", text: str = "documents_text", candidates: str = "candidates") -> DataFrame:
