@@ -193,6 +193,12 @@ def _spans(atoms: list[tuple[str, bool, str]]) -> Iterator[tuple[int, int, str]]
             yield i, j + 1, whole
 
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def expected(atoms: list[tuple[str, bool, str]], model: Model | None) -> Iterator[tuple[str, float]]:
     """Expected number of times each segment is a value (forward-backward); at first all boundaries split."""
     if model is None or len(atoms) == 1:
@@ -201,9 +207,9 @@ def expected(atoms: list[tuple[str, bool, str]], model: Model | None) -> Iterato
     spans = [(i, j, t, model.logp(t)) for i, j, t in _spans(atoms)]
     fwd, bwd = [0.0] + [-math.inf] * len(atoms), [-math.inf] * len(atoms) + [0.0]
     for i, j, _, p in sorted(spans, key=lambda s: s[1]):
-        fwd[j] = np.logaddexp(fwd[j], fwd[i] + p)
+        fwd[j] = _log_add(fwd[j], fwd[i] + p)
     for i, j, _, p in sorted(spans, key=lambda s: -s[0]):
-        bwd[i] = np.logaddexp(bwd[i], p + bwd[j])
+        bwd[i] = _log_add(bwd[i], p + bwd[j])
     for i, j, t, p in spans:
         e = math.exp(fwd[i] + p + bwd[j] - fwd[-1])
         if e > 1e-3:  # else rare whole cells would feed on themselves, round by round
@@ -244,29 +250,39 @@ def learn(cells: DataFrame, grammars: dict[str, Grammar], rounds: int = 3) -> di
     if not open_fields:
         return models
     cells = cells.where(F.col("field").isin(open_fields))
-    for _ in range(rounds):
+    fixed = {f: np.zeros(ROWS * SLOTS) for f in open_fields}  # slots of one atom count alike in every round
+    for turn in range(rounds):
         tables = {f: m.counts if m else None for f, m in models.items()}
 
-        def count(batches: Iterator[pd.DataFrame], tables: dict = tables) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], tables: dict = tables, first: bool = turn == 0) -> Iterator[pd.DataFrame]:
             known = {f: Model(t) if t is not None else None for f, t in tables.items()}
-            sums = {f: np.zeros(ROWS * SLOTS) for f in open_fields}
+            sums = {(f, closed): np.zeros(ROWS * SLOTS) for f in open_fields for closed in (True, False)}
             for batch in batches:
+                texts: dict[tuple[str, bool, str], float] = {}
                 for field, cell, n in zip(batch["field"], batch["cell"], batch["n"], strict=True):
                     if json_list(cell) is not None:
                         continue
                     for slot in lattice(cell, grammars[field]):
-                        for text, e in expected(slot, known[field]):
-                            sums[field][_slots(segment_key(text))] += n * e
-                            sums[field][_slots(shape(text))] += n * e
-            for field, s in sums.items():
+                        closed = len(slot) == 1
+                        if first or not closed:
+                            for text, e in expected(slot, known[field]):
+                                key = field, closed, text
+                                texts[key] = texts.get(key, 0.0) + n * e
+                for (field, closed, text), e in texts.items():
+                    into = sums[field, closed]
+                    into[_slots(segment_key(text))] += e
+                    into[_slots(shape(text))] += e
+            for (field, closed), s in sums.items():
                 at = np.flatnonzero(s)
-                yield pd.DataFrame({"field": field, "slot": at.astype("int32"), "e": s[at]})
+                yield pd.DataFrame({"field": field, "closed": closed, "slot": at.astype("int32"), "e": s[at]})
 
-        counted = cells.mapInPandas(count, "field string, slot int, e double").groupBy("field", "slot").agg(F.sum("e").alias("e")).toPandas()
+        counted = cells.mapInPandas(count, "field string, closed boolean, slot int, e double").groupBy("field", "closed", "slot").agg(F.sum("e").alias("e")).toPandas()
         for f in open_fields:
-            own, counts = counted[counted["field"] == f], np.zeros(ROWS * SLOTS)
-            counts[own["slot"].to_numpy(dtype=int)] = own["e"].to_numpy()
-            models[f] = Model(counts)
+            counts = np.zeros(ROWS * SLOTS)
+            for closed, into in ((True, fixed[f]), (False, counts))[turn > 0 :]:
+                own = counted[(counted["field"] == f) & (counted["closed"] == closed)]
+                into[own["slot"].to_numpy(dtype=int)] = own["e"].to_numpy()
+            models[f] = Model(fixed[f] + counts)
     return models
 
 
