@@ -6,14 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lot_key
-from ledgerloom.operators.scoring import tolerance_match
+
+
+def distinct_records(records: DataFrame, flat: DataFrame, key: str, record: str) -> DataFrame:
+    """``key, record``: the readable records of each key; of records with equal content the first.
+
+    Content is equal if all entries and fields are (``flat`` as given by ``flatten_records``),
+    in whatever order the fields are written. No group is wider than one record.
+    """
+    entry = F.md5(F.to_json(F.struct("level", "ordinals", "children", F.array_sort("fields").alias("f"))))
+    content = flat.groupBy(record).agg(F.md5(F.array_join(F.array_sort(F.collect_list(entry)), "")).alias("_c"))
+    return records.select(key, record).join(content, record).groupBy(key, "_c").agg(F.min(record).alias(record)).drop("_c")
 
 
 def lot_sets(rows: DataFrame, key: str, lot: str, weight: str) -> DataFrame:
-    """``key, lot_key, weights``: the sorted exact weights of each lot; rows without weight make it incomplete."""
+    """``key, lot_key, weights``: the sorted exact weights of each lot with their counts; rows without weight make it incomplete.
+
+    Equal weights are counted before they are gathered, so a set is as long as its different weights.
+    """
     exact = F.col(weight).cast("decimal(18,6)")
-    agg = rows.groupBy(key, lot_key(F.col(lot)).alias("lot_key")).agg(F.array_sort(F.collect_list(exact)).alias("weights"), F.count(F.when(exact.isNull(), 1)).alias("missing"))
-    return agg.withColumn("complete", F.col("missing") == 0).drop("missing")
+    counted = rows.groupBy(key, lot_key(F.col(lot)).alias("lot_key"), exact.alias("w")).agg(F.count("*").alias("n"))
+    known = F.when(F.col("w").isNotNull(), F.struct("w", "n"))
+    return counted.groupBy(key, "lot_key").agg(F.array_sort(F.collect_list(known)).alias("weights"), F.count(F.when(F.col("w").isNull(), 1)).alias("missing")).withColumn("complete", F.col("missing") == 0).drop("missing")
+
+
+def _matched(pred: Column, gold: Column, tolerance: float) -> Column:
+    """How many weights of two counted sets can be paired one to one; greedy from the smallest, as ``tolerance_match``.
+
+    The state holds the last extracted weight that was used, and how often.
+    """
+    numbered = F.transform(pred, lambda y, j: F.struct(y["w"].alias("w"), y["n"].alias("n"), j.alias("j")))
+
+    def step(state: Column, g: Column) -> Column:
+        near = F.filter(numbered, lambda y: (y["j"] >= state["j"]) & (F.abs(y["w"] - g["w"]) <= F.lit(tolerance)))
+
+        def take(s: Column, y: Column) -> Column:
+            before = F.when(y["j"] == s["j"], s["used"]).otherwise(F.lit(0).cast("long"))
+            k = F.least(s["left"], y["n"] - before)
+            moved = k > 0
+            return F.struct(F.when(moved, y["j"]).otherwise(s["j"]).alias("j"), F.when(moved, before + k).otherwise(s["used"]).alias("used"), (s["left"] - k).alias("left"), (s["n"] + k).alias("n"))
+
+        start = F.struct(state["j"].alias("j"), state["used"].alias("used"), g["n"].alias("left"), state["n"].alias("n"))
+        return F.aggregate(near, start, take)
+
+    none = F.lit(0).cast("long")
+    zero = F.struct(F.lit(0).alias("j"), none.alias("used"), none.alias("left"), none.alias("n"))
+    return F.when(pred.isNull() | gold.isNull(), none).otherwise(F.aggregate(gold, zero, step)["n"])
 
 
 def _shape(sets: DataFrame, key: str, tag: str) -> DataFrame:
@@ -55,8 +93,8 @@ def compare_lots(pred: DataFrame, gold: DataFrame, key: str, invalid: DataFrame
     p = pred.join(modes, key).select(key, "mode", F.coalesce(pair, F.concat(F.lit("p:"), "lot_key")).alias("pair"), F.col("weights").alias("pw"), F.col("complete").alias("pc"))
     g = gold.join(modes, key).select(key, F.col("mode").alias("g_mode"), F.coalesce(pair, F.concat(F.lit("g:"), "lot_key")).alias("pair"), F.col("weights").alias("gw"), F.col("complete").alias("gc"))
     j = p.join(g, [key, "pair"], "full")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    tp = tolerance_match(F.col("pw"), F.col("gw"), tolerance)
+    size = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
+    tp = _matched(F.col("pw"), F.col("gw"), tolerance)
     j = j.select(key, F.coalesce("mode", "g_mode").alias("mode"), tp.alias("tp"), size("pw").alias("np"), size("gw").alias("ng"), F.col("gw").isNotNull().alias("is_gold"), (F.coalesce("pc", F.lit(False)) & F.coalesce("gc", F.lit(False))).alias("whole"))
     full: Column = (F.col("tp") == F.col("np")) & (F.col("tp") == F.col("ng")) & F.col("whole") & F.col("is_gold")
     return j.groupBy(key, "mode").agg(

@@ -658,14 +658,23 @@ def defined_terms(spark: SparkSession, d: str) -> DataFrame:
     return standards.defined_terms(table(spark, d, "documents"), ["doc_id"], "text")
 
 
+def _true_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """``record_id, lot_no, criterion_no, eis_id, name, number, lot`` of all records of each procurement; equal deliveries of a record count once."""
+    records = table(spark, d, "reference_records")
+    flat = flatten_records(records, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
+    lots = level_table(flat, "record_id", 1, ("lot_no",), {"lot": "sequenceNumber"})
+    crit = level_table(flat, "record_id", 2, ("lot_no", "criterion_no"), {"name": "winnerCriterionName", "number": "winnerCriterionNumber"})
+    kept = lot_ops.distinct_records(records, flat, "eis_id", "record_id")
+    return crit.drop("n_children").join(lots.drop("n_children"), ["record_id", "lot_no"]).join(kept, "record_id")
+
+
 @query()
 def lots_compared(spark: SparkSession, d: str) -> DataFrame:
-    """Criteria of the workers against the ground-truth records, lot by lot (tests hold a brute-force twin)."""
-    flat = flatten_records(table(spark, d, "reference_records"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
-    eis = table(spark, d, "reference_records").groupBy("eis_id").agg(F.max("record_id").alias("record_id"))
-    lots = level_table(flat, "record_id", 1, ("lot_no",), {"lot": "sequenceNumber"})
-    crit = level_table(flat, "record_id", 2, ("lot_no", "criterion_no"), {"number": "winnerCriterionNumber"})
-    gold = crit.drop("n_children").join(lots.drop("n_children"), ["record_id", "lot_no"]).join(eis, "record_id")
+    """Criteria of the workers against the ground-truth records, lot by lot (tests hold a brute-force twin).
+
+    The lots of all records of a procurement are its truth.
+    """
+    gold = _true_criteria(spark, d)
     gold = gold.withColumn("weight", F.replace(F.regexp_extract("number", "[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit(".")).try_cast("double"))
     pred = runs.latest_per_key(table(spark, d, "worker_criteria"), ["criterion_id"], ["loaded_at"])
     return lot_ops.compare_lots(lot_ops.lot_sets(pred, "eis_id", "lot", "weight"), lot_ops.lot_sets(gold, "eis_id", "lot", "weight"), "eis_id")

@@ -1,8 +1,10 @@
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import lots, shapes, standards
+from ledgerloom.plans.reference import lots_compared
 
 TEXT = (
     "Tehniskā specifikācija. Atbilst LVS EN 1090-2 un ISO/IEC  17025:2017, iso 9001. Ministru kabineta 2013. gada 8. oktobra noteikumi Nr. 1041 ir spēkā. "
@@ -75,6 +77,35 @@ def test_lots_against_brute_force(spark):
     assert got == want
 
 
+def test_lots_of_all_records(spark, tmp_path):
+    rng, records, workers, want, k = random.Random(4), [], [], {}, 0
+    for e in map(str, range(12)):
+        truth = []
+        for _ in range(rng.randrange(1, 5)):
+            lots_ = [(str(rng.randrange(1, 4)), [rng.randrange(1, 4) * 10 for _ in range(rng.randrange(1, 4))]) for _ in range(rng.randrange(1, 3))]
+            lots_.append((str(rng.randrange(1, 4)), [100 + k]))  # records differ
+            body = {"cpvType": "1", "lots": [{"sequenceNumber": n, "criterion": [{"winnerCriterionNumber": str(w)} for w in ws]} for n, ws in lots_]}
+            truth += [(n, w) for n, ws in lots_ for w in ws]
+            copies = [json.dumps(body), json.dumps(body, indent=1), json.dumps(dict(reversed(body.items())))]
+            for text in copies[: rng.randrange(1, 4)]:
+                records.append((k := k + 1, e, text))
+        records.append((k := k + 1, e, '{"lots": [{"seq'))  # the last delivery is cut off
+        found = rng.sample(truth, rng.randrange(1, len(truth) + 1)) + [("1", 55)]
+        workers += [(1000 * k + i, e, n, float(w)) for i, (n, w) in enumerate(found)]
+        want[e] = brute(found, truth, False)
+    records.append((k + 1, None, '{"lots": []}'))
+    spark.createDataFrame(records, "record_id long, eis_id string, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
+    spark.createDataFrame(workers, "criterion_id long, eis_id string, lot string, weight double").withColumn("loaded_at", F.current_timestamp()).write.parquet(f"{tmp_path}/worker_criteria.parquet")
+    got = {r["eis_id"]: (r["mode"], r["tp"], r["fp"], r["fn"], r["gold_lots"], r["matched_lots"]) for r in lots_compared(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_counted_weights_within_tolerance(spark):
+    for p, g, n in [([10.0, 10.01, 10.01], [10.0, 10.0, 10.01], 3), ([10.0] * 3, [10.01, 10.02], 1), ([1.0, 1.01, 1.02], [1.01] * 5, 3), ([], [1.0], 0)]:
+        sets = [lots.lot_sets(spark.createDataFrame([(1, "1", w) for w in x], "k int, lot string, w double"), "k", "lot", "w") for x in (p, g)]
+        assert [(r["tp"], r["fp"], r["fn"]) for r in lots.compare_lots(*sets, "k").collect()] == [(n, len(p) - n, len(g) - n)]
+
+
 def test_shapes(spark):
     t = spark.createDataFrame([([["Kritērijs", "x"], ["punkti", "y"]],), ([["punkti"]],), (None,)], "r array<array<string>>")
     assert [r[0] for r in t.select(shapes.is_scoring_table(F.col("r"), "kritērij|punkt")).collect()] == [True, False, False]
