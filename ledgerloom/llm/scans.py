@@ -457,10 +457,10 @@ def readable(lines: list[str], furniture: set[int], model: ScanModel) -> list[st
 
 
 def _pages(pages: DataFrame, states: DataFrame) -> DataFrame:
-    """Both tables in one shape: ``rec_table, rec_id, file, page_no, text``; null texts leave."""
+    """Both tables in one shape: ``rec_table, rec_id, file, named, page_no, text``; null texts leave."""
     file = F.xxhash64(F.coalesce(F.col("eis_id"), F.lit("")), F.coalesce(F.col("name"), F.lit("")))
-    a = pages.select(F.lit("ocr_pages").alias("rec_table"), F.col("page_id").alias("rec_id"), file.alias("file"), "page_no", "text")
-    b = states.select(F.lit("run_states").alias("rec_table"), F.col("state_id").alias("rec_id"), F.lit(None).cast("long").alias("file"), F.lit(None).cast("int").alias("page_no"), F.col("documents_text").alias("text"))
+    a = pages.select(F.lit("ocr_pages").alias("rec_table"), F.col("page_id").alias("rec_id"), file.alias("file"), (F.col("eis_id").isNotNull() & F.col("name").isNotNull()).alias("named"), "page_no", "text")
+    b = states.select(F.lit("run_states").alias("rec_table"), F.col("state_id").alias("rec_id"), F.lit(None).cast("long").alias("file"), F.lit(False).alias("named"), F.lit(None).cast("int").alias("page_no"), F.col("documents_text").alias("text"))
     return a.unionByName(b).where(F.col("text").isNotNull())
 
 
@@ -543,6 +543,65 @@ def train_scan_model(rows: DataFrame) -> ScanModel:
     return model
 
 
+def _page_numbers(bare: DataFrame) -> DataFrame:
+    """The rows of ``bare`` (``file, page_no, distance`` and more) that are page numbers: distance 0, or one that two pages of the file keep."""
+    keyed = bare.withColumn("place_key", F.xxhash64("file", "distance"))
+    kept = keyed.groupBy("place_key", "page_no").agg(F.count("*").alias("n")).groupBy("place_key").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"))
+    several = hot_join(keyed.where("distance <> 0"), cut(kept.where("n_pages > 1").select("place_key", "n")), "place_key", "n", keyed.count())
+    return bare.where("distance = 0").unionByName(several.select(bare.columns))
+
+
+def _laid_out(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """``rec_id, page_no, text, skip, before, after`` of the scanned pages.
+
+    ``skip`` holds the lines (from 0) that are furniture or page numbers; ``before`` is the last
+    body line of the page before in the same file, ``after`` the first one of the next page.
+    Where a page comes twice, its neighbours see the one with the lowest rec_id. Pages without
+    file name or page number have no neighbours.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            furniture, bare = [], []
+            for page, text in zip(batch["page_no"], batch["text"], strict=True):
+                f, b = page_findings(text.split("\n"), model)
+                furniture.append(sorted(f))
+                bare.append([] if pd.isna(page) else [{"line_no": i, "distance": n - int(page)} for i, n in b.items()])
+            yield batch.assign(page_no=batch["page_no"].astype("Int32"), furniture=furniture, bare=bare)
+
+    fields = ["rec_id", "file", "named", "page_no", "text"]
+    schema = "rec_id long, file long, named boolean, page_no int, text string, furniture array<int>, bare array<struct<line_no:int,distance:int>>"
+    looked = cut(rows.where("rec_table = 'ocr_pages'").select(fields).mapInPandas(look, schema).withColumn("body", F.xxhash64("text")))
+    bare = looked.select("rec_id", "body", "file", "page_no", F.inline("bare"))
+    own = ["rec_id", "page_no", "body"]
+    numbers = _page_numbers(bare).groupBy(*own).agg(F.collect_set("line_no").alias("numbers"))
+    placed = looked.join(numbers, own, "left").withColumn("skip", F.when(F.col("numbers").isNull(), F.col("furniture")).otherwise(F.array_union("furniture", "numbers")))
+    body = F.filter(F.split("text", "\n", -1), lambda x, i: x.rlike(r"(?U)\S") & ~F.array_contains("skip", i))
+    placed = cut(placed.withColumn("_b", body).select(*own, "file", "named", "text", "skip", F.get("_b", F.lit(0)).alias("first"), F.get("_b", F.size("_b") - 1).alias("last")))
+    edges = placed.where("named AND page_no IS NOT NULL").groupBy("file", "page_no").agg(F.count("*").alias("n"), F.min(F.struct("rec_id", "body", "first", "last")).alias("e"))
+    file = placed.where("NOT named OR page_no IS NULL").select("rec_id", "page_no", "text", "skip", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    # one row per page meets its two neighbours; copies of a page then meet that row
+    here = edges.select("file", "page_no", "n", F.col("e.first").alias("first"), F.col("e.last").alias("last"))
+    near = here.select("file", "page_no", "n")
+    near = near.join(here.select("file", (F.col("page_no") + 1).alias("page_no"), F.col("last").alias("before")), ["file", "page_no"], "left")
+    near = near.join(here.select("file", (F.col("page_no") - 1).alias("page_no"), F.col("first").alias("after")), ["file", "page_no"], "left")
+    key = F.xxhash64("file", "page_no").alias("page_key")
+    near = cut(near.select(key, "n", "before", "after"))
+    known = placed.where("named AND page_no IS NOT NULL").select("rec_id", "page_no", "text", "skip", key)
+    return hot_join(known, near, "page_key", "n", placed.count(), "left").select(file.columns).unionByName(file)
+
+
+def _carried(last: str | None, first: str | None, model: ScanModel) -> str:
+    """What the next page begins with that completes a word broken at the end of this one; '' if nothing does."""
+    if not last or not first or last.rstrip()[-1:] not in BREAK_HYPHENS:
+        return ""
+    m = _LINE_START.match(first)
+    if m is None or not (m[1][0].islower() or m[1][0].isdigit() or m[1].isupper()) or (0, "hyphen") not in body_findings([last, first], set(), model):
+        return ""
+    return first.split()[0]
+
+
 def scan_findings(pages: DataFrame, states: DataFrame) -> DataFrame:
     """``rec_table, rec_id, line_no, kind`` of all faults of scanned pages and of scanned parts of states.
 
@@ -575,12 +634,8 @@ def scan_findings(pages: DataFrame, states: DataFrame) -> DataFrame:
             yield frame.astype({"file": "Int64", "page_no": "Int32", "distance": "Int32"})
 
     found = cut(rows.mapInPandas(run, "rec_table string, rec_id long, line_no int, kind string, file long, page_no int, distance int"))
-    bare = found.where("kind = 'bare'").withColumn("place_key", F.xxhash64("file", "distance"))
-    kept = bare.groupBy("place_key", "page_no").agg(F.count("*").alias("n")).groupBy("place_key").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"))
-    total = bare.count()
-    several = hot_join(bare.where("distance <> 0"), cut(kept.where("n_pages > 1").select("place_key", "n")), "place_key", "n", total)
     columns = ["rec_table", "rec_id", "line_no", "kind"]
-    numbers = bare.where("distance = 0").select(columns).unionByName(several.select(columns)).withColumn("kind", F.lit("page_number"))
+    numbers = _page_numbers(found.where("kind = 'bare'")).select(columns).withColumn("kind", F.lit("page_number"))
     return found.where("kind <> 'bare'").select(columns).unionByName(numbers).distinct()
 
 
@@ -588,28 +643,44 @@ def repair_scans(pages: DataFrame, states: DataFrame) -> DataFrame:
     """``rec_table, rec_id, text``: the readable paragraphs of each page and state, blank lines between.
 
     Parts of a state that are no scans stay as they are, file lines included. Null texts give
-    null, empty ones ''. A bare number at a page's edge leaves if it is the page's number.
+    null, empty ones ''. The same bare numbers leave as in ``scan_findings``. A word broken at a
+    page's end is joined there, and the next page begins after it; the rest of a paragraph that
+    goes on over a page stays in the row of its page.
     """
     rows = _pages(pages, states)
     shared = pages.sparkSession.sparkContext.broadcast(train_scan_model(rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            out = []
+            for text, skip, before, after in zip(batch["text"], batch["skip"], batch["before"], batch["after"], strict=True):
+                lines, skip = text.split("\n"), set(map(int, skip))
+                body = [i for i, x in enumerate(lines) if x.strip() and i not in skip]
+                if body:
+                    first, last = lines[body[0]], lines[body[-1]]
+                    if word := _carried(last, after, model):
+                        lines.insert(body[-1] + 1, word)
+                        skip = {i + (i > body[-1]) for i in skip}
+                    if word := _carried(before, first, model):
+                        lines[body[0]] = lines[body[0]].lstrip()[len(word) :]
+                out.append("\n\n".join(readable(lines, skip, model)))
+            yield pd.DataFrame({"rec_table": "ocr_pages", "rec_id": batch["rec_id"], "text": out})
+
+    def read_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
             out = []
-            for kind, page, text in zip(batch["rec_table"], batch["page_no"], batch["text"], strict=True):
+            for text in batch["text"]:
                 lines = text.split("\n")
-                if kind == "ocr_pages":
-                    furniture, bare = page_findings(lines, model)
-                    skip = {*furniture, *(i for i, n in bare.items() if not pd.isna(page) and n == page)}
-                    out.append("\n\n".join(readable(lines, skip, model)))
-                    continue
                 done, parts = 0, []
                 for first, own in _sections(text):
                     parts += lines[done:first]
                     parts += "\n\n".join(readable(own, set(section_furniture(own, model)), model)).split("\n") if is_scan(own) else own
                     done = first + len(own)
                 out.append("\n".join([*parts, *lines[done:]]))
-            yield pd.DataFrame({"rec_table": batch["rec_table"], "rec_id": batch["rec_id"], "text": out})
+            yield pd.DataFrame({"rec_table": "run_states", "rec_id": batch["rec_id"], "text": out})
 
-    return rows.mapInPandas(run, "rec_table string, rec_id long, text string")
+    schema = "rec_table string, rec_id long, text string"
+    laid = _laid_out(rows, shared).select("rec_id", "text", "skip", "before", "after")
+    return laid.mapInPandas(read_pages, schema).unionByName(rows.where("rec_table = 'run_states'").select("rec_id", "text").mapInPandas(read_states, schema))

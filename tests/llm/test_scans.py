@@ -78,6 +78,25 @@ def test_faults_are_found(spark):
     assert "Tender KV" not in fixed[1] and "socio-economic price" in fixed[1] and "- 1 -" not in fixed[1] and fixed[9002] == ""
 
 
+def test_printed_numbers_and_words_over_pages(spark):
+    pages, _ = corpus(random.Random(8))
+    out = []
+    for pid, e, n, p, text, x in pages:
+        lines = text.split("\n")
+        lines[-1] = str(p + 4)  # the printed number is not page_no
+        lines[-3] += " guar-" if p < 5 else ""
+        lines[2] = ("antee, " if p > 1 else "") + lines[2]
+        out.append((pid, e, n, p, "\n".join(lines), x))
+    df, states = spark.createDataFrame(out, PAGES), spark.createDataFrame([], STATES)
+    found = {(r["rec_id"], r["line_no"]) for r in scan_findings(df, states).where("kind = 'page_number'").collect()}
+    fixed = {r["rec_id"]: r["text"] for r in repair_scans(df, states).collect()}
+    assert len(fixed) == len(out) and found == {(pid, len(text.split("\n"))) for pid, _, _, _, text, _ in out}
+    for pid, _, _, p, text, _ in out:
+        assert str(p + 4) not in fixed[pid].split()
+        assert p == 5 or fixed[pid].endswith(" guarantee,"), fixed[pid][-60:]
+        assert not fixed[pid].startswith("antee")
+
+
 def test_empty(spark):
     p, s = spark.createDataFrame([], PAGES), spark.createDataFrame([], STATES)
     assert scan_findings(p, s).count() == 0 and repair_scans(p, s).count() == 0
