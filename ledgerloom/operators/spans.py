@@ -138,11 +138,17 @@ def sections(df: DataFrame, keys: list[str], text: str, heading: str) -> DataFra
 
 
 def line_windows(df: DataFrame, keys: list[str], text: str, pattern: str, before: int = 1, after: int = 40, longest: int = 12_000) -> DataFrame:
-    """Passages around matching lines: ``keys, passage_no, first_line, last_line, passage``.
+    """``line_passages`` of the texts that aren't oversized, without the flag."""
+    return line_passages(df, keys, text, pattern, before, after, longest).where("NOT oversized").drop("oversized")
+
+
+def line_passages(df: DataFrame, keys: list[str], text: str, pattern: str, before: int = 1, after: int = 40, longest: int = 12_000) -> DataFrame:
+    """Passages around matching lines: ``keys, passage_no, first_line, last_line, passage, oversized``.
 
     Each match takes lines before and after it; overlapping or touching ranges are one passage.
-    Passages with the same text up to white space come once; a text whose passages together
-    exceed ``longest`` gives none. Row-local: only arrays of one text, no shuffle.
+    Passages with the same text up to white space come once. ``oversized`` tells that the
+    passages of a text together exceed ``longest``; none is left out or clipped. Row-local: only
+    arrays of one text, no shuffle.
     """
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.split(F.col(text), "\n", -1).alias("_l"))
     rows = rows.where(F.exists("_l", lambda x: F.lower(x).rlike(pattern)))
@@ -164,8 +170,8 @@ def line_windows(df: DataFrame, keys: list[str], text: str, pattern: str, before
         return F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["sig"]), x["sig"]) == i + 1)
 
     rows = rows.select(*keys, let(passages, once).alias("_p"))
-    rows = rows.where(F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x["passage"])) <= longest)
-    return rows.select(*keys, F.posexplode("_p").alias("_i", "_x")).select(*keys, (F.col("_i") + 1).alias("passage_no"), "_x.first_line", "_x.last_line", "_x.passage")
+    rows = rows.withColumn("_o", F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x["passage"])) > longest)
+    return rows.select(*keys, "_o", F.posexplode("_p").alias("_i", "_x")).select(*keys, (F.col("_i") + 1).alias("passage_no"), "_x.first_line", "_x.last_line", "_x.passage", F.col("_o").alias("oversized"))
 
 
 def line_chunks(df: DataFrame, keys: list[str], text: str, size: int = 2400) -> DataFrame:

@@ -120,6 +120,20 @@ def line_context_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("passage_no", F.col("passage_no").cast("long"))
 
 
+@query(
+    f"WITH {LINES_SQL}, n AS (SELECT *, max(CASE WHEN regexp_matches(lower(line), 'cpv') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 40 PRECEDING AND 1 FOLLOWING) near FROM l), "
+    "k AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) island FROM n WHERE near = 1), "
+    "p AS (SELECT doc_id, min(line_no) first_line, max(line_no) last_line, string_agg(line, chr(10) ORDER BY line_no) passage FROM k GROUP BY doc_id, island), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(passage, '[\\s\\p{Z}]+', ' ', 'g')) ORDER BY first_line) twin FROM p), "
+    "c AS (SELECT *, sum(length(passage)) OVER (PARTITION BY doc_id) chars FROM t WHERE twin = 1) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) passage_no, first_line, last_line, passage, chars > 12000 oversized FROM c"
+)
+def line_context_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The window of the reference, and all texts: those over its budget are marked, not left out."""
+    out = spans.line_passages(table(spark, d, "documents"), ["doc_id"], "text", "cpv")
+    return out.withColumn("passage_no", F.col("passage_no").cast("long"))
+
+
 @query(
     spans_sql("[0-9]{2,}")
     + f""", d2 AS (SELECT doc_id, string_split_regex(text, '{CODE}') g, regexp_extract_all(text, '{CODE}') h FROM documents WHERE text IS NOT NULL), u2 AS (SELECT *, unnest(range(1, len(h) + 1)) i FROM d2),

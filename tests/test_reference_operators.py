@@ -8,6 +8,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import reconcile, runs, scoring, spans
 from ledgerloom.operators.contain import contained
 from ledgerloom.operators.skew import hot_join, skew_rank
+from ledgerloom.plans.reference import line_context_passages
 
 
 def col(spark, values, kind="string"):
@@ -70,6 +71,14 @@ def test_sections_chunks_windows(spark, rows):
     assert spans.line_windows(lines, ["id"], "t", "hit", 1, 1, longest=3).count() == 0
 
 
+def test_long_passages_stay(spark, rows, tmp_path):
+    near = "\n".join(["a", "b", "CPV x", *(f"line {i}" for i in range(60))])
+    long = "\n".join(["CPV"] + ["y" * 500] * 30)
+    spark.createDataFrame([(1, "e", near), (2, "e", long), (3, "e", None)], "doc_id long, eis_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(line_context_passages(spark, str(tmp_path)), "doc_id", "passage_no", "first_line", "last_line", "oversized")
+    assert got == [(1, 1, 1, 42, False), (2, 1, 0, 30, True)]
+
+
 def test_overlap_anti(spark, rows):
     b = spark.createDataFrame([(1, 0, 2), (1, 5, 9), (None, 0, 2)], "id int, start int, stop int")
     t = spark.createDataFrame([(1, 2, 6), (None, 1, 3)], "id int, start int, stop int")
