@@ -745,6 +745,12 @@ def name_review(spark: SparkSession, d: str) -> DataFrame:
     return reports.name_review(c, c.limit(0), "eis_id", "lot", "name").select("eis_id", "lot_key", "extracted_names")
 
 
+@query()
+def name_review_both(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the workers' criteria and of the ground-truth records beside each other, lot by lot (tests hold golden rows)."""
+    return reports.name_review(table(spark, d, "worker_criteria"), _true_criteria(spark, d), "eis_id", "lot", "name")
+
+
 @query(
     "WITH o AS (SELECT DISTINCT eis_id FROM ocr_pages), t AS (SELECT DISTINCT eis_id FROM reference_records) SELECT s.state_id, s.loaded_at, o.eis_id IS NOT NULL has_ocr, t.eis_id IS NOT NULL has_truth, "
     "CASE WHEN o.eis_id IS NULL AND t.eis_id IS NULL THEN 'missing: ocr, truth' WHEN o.eis_id IS NULL THEN 'missing: ocr' WHEN t.eis_id IS NULL THEN 'missing: truth' END note FROM run_states s LEFT JOIN o ON o.eis_id = s.eis_id LEFT JOIN t ON t.eis_id = s.eis_id"

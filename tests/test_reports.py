@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports
+from ledgerloom.plans.reference import name_review_both
 from ledgerloom.sources.records import read_catalog, read_ids
 
 
@@ -20,6 +21,14 @@ def test_name_review(spark, rows):
     assert rows(reports.name_review(p, g, "k", "lot", "name")) == [("a", "1", "Cena x2", "Price"), ("a", "all", "X", None), ("c", "all", None, "Y")]
 
 
+def test_names_of_the_records(spark, rows, tmp_path):
+    body = '{"lots": [{"sequenceNumber": "1", "criterion": [{"winnerCriterionName": "Price"}, {"winnerCriterionName": "Price"}]}, {"criterion": {"winnerCriterionName": "Y"}}]}'
+    records = [(1, "a", body), (2, "a", body.replace(": ", ":")), (3, "a", '{"lots": {"sequenceNumber": "1", "criterion": {"winnerCriterionName": "Term"}}}'), (4, "b", "{")]
+    spark.createDataFrame(records, "record_id long, eis_id string, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
+    spark.createDataFrame([("a", "Lot 1", "Cena"), ("b", None, "X")], "eis_id string, lot string, name string").write.parquet(f"{tmp_path}/worker_criteria.parquet")
+    assert rows(name_review_both(spark, str(tmp_path))) == [("a", "1", "Cena", "Price x2 | Term"), ("a", "all", None, "Y"), ("b", "all", "X", None)]
+
+
 def test_corrections_and_totals(spark, rows):
     c = spark.createDataFrame([("w", "extract", 1, 1.0), ("w", "Correction", 2, 2.5), ("w", "x", 1, float("nan")), ("v", None, None, None)], "w string, s string, a int, t double")
     assert rows(reports.correction_rows(c, "w", "s", "a", "t")) == [("v", 1, 0, 0, None), ("w", 3, 1, 1, 3.5)]
