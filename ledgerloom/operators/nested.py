@@ -234,6 +234,58 @@ def procurement_tables(df: DataFrame, key: str = "record_id", body: str = "body"
     return {name: level_table(flat, key, *spec) for name, spec in PROCUREMENT_TABLES.items()}
 
 
+_POSITION = r"\.([0-9]+)(?=\.|$)"
+
+
+def path_tables(flat: DataFrame, key: str, names: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """Tables with all paths that occur in any body: one for each level, one for each path that repeats inside an entry.
+
+    ``names`` holds the tables of the levels with their ordinals. A table of a repeated path is
+    called ``<table>.<path>``; it has ``item_nos``, its list positions, and ``value`` or its own
+    paths. Where other bodies hold a lone value instead of the list, it is item 1. Nulls and
+    blank strings are no items. Columns are paths with underscores, numbered where two are alike.
+    Only the different paths reach the driver. A key that is a number counts as a position.
+    """
+    seen = flat.select("level", F.explode("fields.name").alias("path")).withColumn("path", F.regexp_replace("path", _POSITION, "[]")).distinct().orderBy("level", "path").collect()
+    out = {}
+    for level, (name, ordinals) in enumerate(names.items()):
+        paths = [r["path"] for r in seen if r["level"] == level]
+        repeated = sorted({p[: p.rindex("[]")] for p in paths if "[]" in p})
+        plain = [p for p in paths if "[]" not in p and p not in repeated]
+        rows = flat.where(F.col("level") == level)
+        numbers = [F.get("ordinals", F.lit(i)).alias(n) for i, n in enumerate(ordinals)]
+        value = lambda fields, p: F.get(F.filter(fields, lambda f: f["name"] == p), F.lit(0))["value"]
+        titles = _titles(plain, [key, *ordinals, "n_children"])
+        out[name] = rows.select(key, *numbers, *[value("fields", p).alias(titles[p]) for p in plain], F.col("children").alias("n_children"))
+        for base in repeated:
+            below = sorted({p[len(base) + 2 :].removeprefix(".") for p in paths if p.startswith(base + "[]") and "[]" not in p[len(base) + 2 :]} | ({""} if base in paths else set()))
+            # (positions, path below them, value) of what stands under the repeated path
+            form = lambda f: F.regexp_replace(f["name"], _POSITION, "[]")
+            own = F.filter("fields", lambda f: (F.trim(f["value"]) != "") & ((form(f) == base) | form(f).isin([base + "[]" + ("." + b if b else "") for b in below])))
+            at = lambda f: F.when(form(f) == base, F.array(F.lit(1))).otherwise(F.regexp_extract_all(f["name"], F.lit(_POSITION), F.lit(1)).cast("array<int>"))
+            sub = lambda f: F.when(form(f) == base, F.lit("")).otherwise(F.regexp_replace(F.substring(form(f), F.lit(len(base) + 3), F.length(form(f))), r"^\.", ""))
+            items = rows.select(key, "ordinals", F.transform(own, lambda f: F.struct(at(f).alias("at"), sub(f).alias("name"), f["value"].alias("value"))).alias("_f"))
+            items = items.select(key, "ordinals", "_f", F.explode(F.array_distinct("_f.at")).alias("item_nos"))
+            titles = _titles(below, [key, *ordinals, "item_nos"])
+            here = F.filter("_f", lambda f: f["at"] == F.col("item_nos"))
+            out[f"{name}.{base}"] = items.select(key, *numbers, "item_nos", *[value(here, b).alias(titles[b]) for b in below])
+    return out
+
+
+def _titles(paths: Sequence[str], taken: Sequence[str]) -> dict[str, str]:
+    """A column name for each path; names that differ in case only are alike."""
+    used, out = {x.lower() for x in taken}, {}
+    for p in paths:
+        title = base = p.replace(".", "_") or "value"
+        k = 1
+        while title.lower() in used:
+            k += 1
+            title = f"{base}_{k}"
+        used.add(title.lower())
+        out[p] = title
+    return out
+
+
 def criterion_positions(flat: DataFrame, key: str = "record_id") -> DataFrame:
     """``key, lot_no, criterion_no, sub_no`` of each criterion and sub-criterion; what has none shows as 0."""
     at = [F.coalesce(F.get("ordinals", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("lot_no", "criterion_no", "sub_no"))]

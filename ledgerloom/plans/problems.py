@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.compare import canonical_code, canonical_numbers, compare_copies
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, flatten_records, procurement_tables
+from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_TABLES, PROCUREMENT_WRAPPERS, criterion_positions, flatten_records, path_tables, procurement_tables
 from ledgerloom.operators.packed import unpack_values
 from ledgerloom.operators.units import harmonise_weights
-from ledgerloom.session import table
+from ledgerloom.session import cut, table
 
 
 def p1_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,25 @@ def _record_table(name: str):  # noqa: ANN202
     return read
 
 
+#: All paths of the bodies as tables: query -> (table of ``path_tables``, columns where no body has it).
+PATH_TABLES = {
+    "p4_record_fields": ("records", ""),
+    "p4_lot_fields": ("lots", ""),
+    "p4_criterion_fields": ("criteria", ""),
+    "p4_sub_criterion_fields": ("sub_criteria", ""),
+    "p4_additional_codes": ("records.additionalCpvType", "item_nos array<int>, value string"),
+}
+
+
+def _path_table(name: str, columns: str):  # noqa: ANN202
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flat = cut(flatten_records(table(spark, sf_dir, "reference_records"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS))
+        found = path_tables(flat, "record_id", {n: spec[1] for n, spec in PROCUREMENT_TABLES.items()})
+        return found[name] if name in found else spark.createDataFrame([], f"record_id long, {columns}")
+
+    return read
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -56,6 +75,7 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p4_found": p4_found,
         **{f"p4_{name}": _record_table(name) for name in ("records", "lots", "criteria", "sub_criteria")},
+        **{q: _path_table(*spec) for q, spec in PATH_TABLES.items()},
         "p5_found": p5_found,
     }
 

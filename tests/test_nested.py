@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, entity_rows, flatten_records, json_events, procurement_tables, triples
+from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, entity_rows, flatten_records, json_events, path_tables, procurement_tables, triples
+from ledgerloom.plans.problems import queries
 
 
 @pytest.mark.parametrize("bad", ["", "{", '{"a":1,}', "[1,]", "nul", '{"a" 1}', "1 2", '{"a":NaN}', "[1", '"a', "01", '{"a":"\n"}', "[1 2]"])
@@ -68,3 +69,18 @@ def test_tables(spark, rows):
     flat = flatten_records(df, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
     assert rows(criterion_positions(flat)) == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 2, 0, 0), (5, 0, 0, 0), (5, 0, 0, 0)]
     assert procurement_tables(df.limit(0))["lots"].count() == 0
+
+
+def test_tables_of_all_paths(spark, rows, tmp_path):
+    bodies = [
+        (1, '{"cpvType":"c","additionalCpvType":["a","","b"],"tenderingProcess":{"buyer":{"title":"T","address":{"town":"W"}}},"lots":[{"title":"t","Title":"u","x":[{"p":1,"q":2},{"q":3}]}]}'),
+        (2, '{"additionalCpvType":"z","lots":[{}]}'), (3, '{"additionalCpvType":null}'), (4, "{"),
+    ]
+    spark.createDataFrame(bodies, "record_id long, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
+    q = queries()
+    assert rows(q["p4_additional_codes"](spark, str(tmp_path)), "record_id", "item_nos", "value") == [(1, [1], "a"), (1, [3], "b"), (2, [1], "z")]
+    assert rows(q["p4_record_fields"](spark, str(tmp_path)), "record_id", "cpvType", "tenderingProcess_buyer_title", "tenderingProcess_buyer_address_town") == [(1, "c", "T", "W"), (2, None, None, None), (3, None, None, None)]
+    assert rows(q["p4_lot_fields"](spark, str(tmp_path)), "record_id", "lot_no", "Title", "title_2") == [(1, 1, "u", "t"), (2, 1, None, None)]
+    flat = flatten_records(spark.createDataFrame(bodies, "record_id long, body string"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
+    t = path_tables(flat, "record_id", {"records": (), "lots": ("lot_no",)})
+    assert rows(t["lots.x"], "record_id", "lot_no", "item_nos", "p", "q") == [(1, 1, [1], "1", "2"), (1, 1, [2], None, "3")]
