@@ -1,7 +1,7 @@
 """One spelling for text that looks the same: widths, accents, blanks, invisible and look-alike characters.
 
-A transducer, compiled once, reads a text from left to right and takes at every place the
-longest cluster (a character with its combining marks) that it knows. Its mapping is built by
+Three steps over a text, no transducer of clusters: single characters are replaced by a table,
+codes get plain digits and hyphens, and words are judged whole. The mapping is built by
 rule from the character names and checked for conflicts: no source has two targets, no target is
 a source. Look-alikes are decided by the word around them: a word becomes regular in the script
 that all its characters can be read in; words wholly of another script stay.
