@@ -17,7 +17,7 @@ from ledgerloom.operators import reconcile, reports, runs, scoring, shapes, span
 from ledgerloom.operators.contain import contained
 from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, flatten_records, level_table
 from ledgerloom.operators.skew import skew_rank
-from ledgerloom.session import table
+from ledgerloom.session import cut, table
 from ledgerloom.sources.records import duplicate_audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,7 +675,7 @@ def defined_terms(spark: SparkSession, d: str) -> DataFrame:
 def _true_criteria(spark: SparkSession, d: str) -> DataFrame:
     """``record_id, lot_no, criterion_no, eis_id, name, number, lot`` of all records of each procurement; equal deliveries of a record count once."""
     records = table(spark, d, "reference_records")
-    flat = flatten_records(records, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
+    flat = cut(flatten_records(records, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS))
     lots = level_table(flat, "record_id", 1, ("lot_no",), {"lot": "sequenceNumber"})
     crit = level_table(flat, "record_id", 2, ("lot_no", "criterion_no"), {"name": "winnerCriterionName", "number": "winnerCriterionNumber"})
     kept = lot_ops.distinct_records(records, flat, "eis_id", "record_id")
@@ -691,7 +691,8 @@ def lots_compared(spark: SparkSession, d: str) -> DataFrame:
     gold = _true_criteria(spark, d)
     gold = gold.withColumn("weight", F.replace(F.regexp_extract("number", "[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit(".")).try_cast("double"))
     pred = runs.latest_per_key(table(spark, d, "worker_criteria"), ["criterion_id"], ["loaded_at"])
-    return lot_ops.compare_lots(lot_ops.lot_sets(pred, "eis_id", "lot", "weight"), lot_ops.lot_sets(gold, "eis_id", "lot", "weight"), "eis_id")
+    sets = [cut(lot_ops.lot_sets(x, "eis_id", "lot", "weight")) for x in (pred, gold)]
+    return lot_ops.compare_lots(*sets, "eis_id")
 
 
 @query(
