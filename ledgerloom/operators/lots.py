@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lot_key
+from ledgerloom.session import cut
 
 
 def distinct_records(records: DataFrame, flat: DataFrame, key: str, record: str) -> DataFrame:
@@ -19,15 +20,18 @@ def distinct_records(records: DataFrame, flat: DataFrame, key: str, record: str)
     return records.select(key, record).join(content, record).groupBy(key, "_c").agg(F.min(record).alias(record)).drop("_c")
 
 
-def lot_sets(rows: DataFrame, key: str, lot: str, weight: str) -> DataFrame:
-    """``key, lot_key, weights``: the sorted exact weights of each lot with their counts; rows without weight make it incomplete.
+def lot_sets(rows: DataFrame, key: str, lot: str, weight: str, entry: list[str] | None = None) -> DataFrame:
+    """``key, entry, lot_key, weights, complete``: the sorted exact weights of each lot with their counts.
 
+    A lot is what shares a lot key or, where ``entry`` names columns, what shares these (true
+    lots that are alike in label stay apart). A row without weight makes its lot incomplete.
     Equal weights are counted before they are gathered, so a set is as long as its different weights.
     """
     exact = F.col(weight).cast("decimal(18,6)")
-    counted = rows.groupBy(key, lot_key(F.col(lot)).alias("lot_key"), exact.alias("w")).agg(F.count("*").alias("n"))
+    own = F.to_json(F.struct(*entry)) if entry else F.lit("")
+    counted = rows.groupBy(key, own.alias("entry"), lot_key(F.col(lot)).alias("lot_key"), exact.alias("w")).agg(F.count("*").alias("n"))
     known = F.when(F.col("w").isNotNull(), F.struct("w", "n"))
-    return counted.groupBy(key, "lot_key").agg(F.array_sort(F.collect_list(known)).alias("weights"), F.count(F.when(F.col("w").isNull(), 1)).alias("missing")).withColumn("complete", F.col("missing") == 0).drop("missing")
+    return counted.groupBy(key, "entry", "lot_key").agg(F.array_sort(F.collect_list(known)).alias("weights"), F.count(F.when(F.col("w").isNull(), 1)).alias("missing")).withColumn("complete", F.col("missing") == 0).drop("missing")
 
 
 def _matched(pred: Column, gold: Column, tolerance: float) -> Column:
@@ -55,49 +59,83 @@ def _matched(pred: Column, gold: Column, tolerance: float) -> Column:
 
 
 def _shape(sets: DataFrame, key: str, tag: str) -> DataFrame:
-    return sets.groupBy(key).agg(F.count("*").alias(f"n_{tag}"), F.count(F.when(F.col("lot_key") == "all", 1)).alias(f"unnamed_{tag}"), F.min("lot_key").alias(f"key_{tag}"))
-
-
-def alignment(pred: DataFrame, gold: DataFrame, key: str, invalid: DataFrame | None = None) -> DataFrame:
-    """``key, mode``: how a record's lot sets can be compared, first rule that holds.
-
-    invalid_scope: the record is in ``invalid``. single_set: one set each side, same key or one
-    of them unnamed. unmatched: one set each side under different keys. by_lot_label: all sets
-    named on both sides. unresolved_lot_alignment: else.
-    """
-    both = _shape(pred, key, "p").join(_shape(gold, key, "g"), key, "full").fillna(0)
-    if invalid is not None:
-        both = both.join(invalid.select(key).distinct().withColumn("bad", F.lit(True)), key, "left")
-    bad = F.coalesce(F.col("bad"), F.lit(False)) if invalid is not None else F.lit(False)
-    ones = (F.col("n_p") == 1) & (F.col("n_g") == 1)
-    near = (F.col("key_p") == F.col("key_g")) | (F.col("key_p") == "all") | (F.col("key_g") == "all")
-    mode = (
-        F.when(bad, "invalid_scope")
-        .when(ones & near, "single_set")
-        .when(ones, "unmatched")
-        .when((F.col("unnamed_p") == 0) & (F.col("unnamed_g") == 0), "by_lot_label")
-        .otherwise("unresolved_lot_alignment")
+    return sets.groupBy(key).agg(
+        F.count("*").alias(f"n_{tag}"), F.count(F.when(F.col("lot_key") == "all", 1)).alias(f"unnamed_{tag}"), F.countDistinct("lot_key").alias(f"keys_{tag}"), F.min("lot_key").alias(f"key_{tag}")
     )
-    return both.select(key, mode.alias("mode"))
 
 
-def compare_lots(pred: DataFrame, gold: DataFrame, key: str, invalid: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
-    """``key, mode, tp, fp, fn, gold_lots, matched_lots, exact`` per record.
+def inventory(gold: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """``key, assessable, unknown, unlisted``: declared lots (``key, lot``) against the true ones.
 
-    Aligned lots match weights one to one within the tolerance; where nothing aligns every true
-    weight is missed and every extracted one false. ``exact`` only if all true lots match
-    completely and nothing is left over.
+    Assessable only where all true lots have labels of their own; unknown are declared lots that
+    are not true, unlisted true ones not declared (both null where not assessable).
+    """
+    known = gold.groupBy(key).agg(F.count("*").alias("_n"), F.countDistinct(F.when(F.col("lot_key") != "all", F.col("lot_key"))).alias("_k"))
+    said = declared.select(key, lot_key(F.col("lot")).alias("lot_key")).where("lot_key <> 'all'").distinct().withColumn("said", F.lit(True))
+    true = gold.where("lot_key <> 'all'").select(key, "lot_key").distinct().withColumn("true", F.lit(True))
+    both = said.join(true, [key, "lot_key"], "full").groupBy(key).agg(F.count(F.when(F.col("true").isNull(), 1)).alias("unknown"), F.count(F.when(F.col("said").isNull(), 1)).alias("unlisted"))
+    out = known.join(both, key, "left").withColumn("assessable", F.col("_n") == F.col("_k"))
+    only = lambda c: F.when(F.col("assessable"), F.coalesce(c, F.lit(0).cast("long"))).alias(c)
+    return out.select(key, "assessable", only("unknown"), only("unlisted"))
+
+
+def unordered_matches(pred: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """``key, unordered``: how many lots agree as sets of exact weights, whatever their labels; only complete extracted ones count."""
+    signature = F.to_json("weights").alias("s")
+    rows = pred.where(F.col("complete") & (F.size("weights") > 0)).select(key, signature, F.col("times").alias("p"), F.lit(0).cast("long").alias("g"))
+    rows = rows.unionByName(gold.select(key, signature, F.lit(0).cast("long").alias("p"), F.lit(1).cast("long").alias("g")))
+    per = rows.groupBy(key, "s").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    return per.groupBy(key).agg(F.sum(F.least("p", "g")).alias("unordered"))
+
+
+def compare_lots(pred: DataFrame, gold: DataFrame, key: str, invalid: DataFrame | None = None, shared: DataFrame | None = None, declared: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """``key, mode, tp, fp, fn, gold_lots, pred_lots, matched_lots, exact, unordered, unordered_exact, inventory_complete`` per record.
+
+    ``invalid`` names records whose scope contradicts itself, ``shared`` those whose one set
+    applies to every true lot, ``declared`` (``key, lot``) the lots a record says it has. Modes,
+    first rule that holds: invalid_scope (also for a declared lot that isn't true); single_set
+    (one lot each side, same label or one without); by_lot_label (all lots labelled, no label
+    twice; lone lots under different labels match nothing); unresolved_lot_alignment. Aligned
+    lots match weights one to one within the tolerance; where nothing aligns every true weight
+    is missed and every extracted one false. ``exact`` only if all lots of both sides match
+    completely; ``unordered`` compares sets exactly, without labels.
     """
-    modes = alignment(pred, gold, key, invalid)
-    pair = F.when(F.col("mode") == "single_set", F.lit("*")).when(F.col("mode") == "by_lot_label", F.col("lot_key"))
-    p = pred.join(modes, key).select(key, "mode", F.coalesce(pair, F.concat(F.lit("p:"), "lot_key")).alias("pair"), F.col("weights").alias("pw"), F.col("complete").alias("pc"))
-    g = gold.join(modes, key).select(key, F.col("mode").alias("g_mode"), F.coalesce(pair, F.concat(F.lit("g:"), "lot_key")).alias("pair"), F.col("weights").alias("gw"), F.col("complete").alias("gc"))
-    j = p.join(g, [key, "pair"], "full")
+    shapes = _shape(pred, key, "p").join(_shape(gold, key, "g"), key, "full").fillna(0)
+    for frame, name in ((invalid, "bad"), (shared, "shared")):
+        flags = shapes.select(key).limit(0) if frame is None else frame.select(key).distinct()
+        shapes = shapes.join(flags.withColumn(name, F.lit(True)), key, "left").fillna(False, [name])
+    if declared is not None:
+        shapes = shapes.join(inventory(gold, declared, key), key, "left")
+    else:
+        shapes = shapes.withColumns({"assessable": F.lit(False), "unknown": F.lit(None).cast("long"), "unlisted": F.lit(None).cast("long")})
+    bad = F.col("bad") | (F.coalesce("unknown", F.lit(0)) > 0)
+    spread = F.col("shared") & ~bad & (F.col("n_p") > 0) & (F.col("n_g") > 0)
+    n_p = F.when(spread, F.col("n_g")).otherwise(F.col("n_p"))
+    one = (n_p == 1) & (F.col("n_g") == 1)
+    near = spread | (F.col("key_p") == F.col("key_g")) | (F.col("key_p") == "all") | (F.col("key_g") == "all")
+    labelled = (F.col("unnamed_g") == 0) & (F.col("keys_g") == F.col("n_g")) & (spread | (F.col("unnamed_p") == 0) & (F.col("keys_p") == F.col("n_p")))
+    mode = F.when(bad, "invalid_scope").when(one & near, "single_set").when(one | labelled, "by_lot_label").otherwise("unresolved_lot_alignment")
+    whole = F.when(F.col("assessable"), (F.col("unknown") == 0) & (F.col("unlisted") == 0))
+    modes = cut(shapes.select(key, mode.alias("mode"), spread.alias("spread"), n_p.alias("n_p"), "n_g", whole.alias("inventory_complete"), bad.alias("bad")))
+
+    pair = F.when(F.col("mode") == "single_set", F.lit("*")).when(F.col("mode") == "by_lot_label", F.concat(F.lit("="), "lot_key"))
+    g = gold.join(modes.select(key, "mode"), key).select(key, F.coalesce(pair, F.concat_ws(":", F.lit("g"), "entry", "lot_key")).alias("pair"), F.col("weights").alias("gw"))
+    p = pred.join(modes.select(key, "mode", "spread"), key)
+    plain = p.where("NOT spread").select(key, F.coalesce(pair, F.concat(F.lit("p:"), "lot_key")).alias("pair"), F.col("weights").alias("pw"), F.col("complete").alias("pc"))
+    # a shared set meets each true lot; labels of true lots may repeat, then nothing pairs
+    copies = p.where("spread").select(key, F.col("weights").alias("pw"), F.col("complete").alias("pc")).join(g.select(key, "pair"), key)
+    copies = copies.select(key, F.when(F.col("pair").startswith("g:"), F.concat(F.lit("p:"), "pair")).otherwise(F.col("pair")).alias("pair"), "pw", "pc")
+    j = plain.unionByName(copies).join(g, [key, "pair"], "full")
     size = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
-    tp = _matched(F.col("pw"), F.col("gw"), tolerance)
-    j = j.select(key, F.coalesce("mode", "g_mode").alias("mode"), tp.alias("tp"), size("pw").alias("np"), size("gw").alias("ng"), F.col("gw").isNotNull().alias("is_gold"), (F.coalesce("pc", F.lit(False)) & F.coalesce("gc", F.lit(False))).alias("whole"))
-    full: Column = (F.col("tp") == F.col("np")) & (F.col("tp") == F.col("ng")) & F.col("whole") & F.col("is_gold")
-    return j.groupBy(key, "mode").agg(
-        F.sum("tp").alias("tp"), F.sum(F.col("np") - F.col("tp")).alias("fp"), F.sum(F.col("ng") - F.col("tp")).alias("fn"),
-        F.count(F.when(F.col("is_gold"), 1)).alias("gold_lots"), F.count(F.when(full, 1)).alias("matched_lots"), F.min(full).alias("exact"),
+    j = j.select(key, _matched(F.col("pw"), F.col("gw"), tolerance).alias("tp"), size("pw").alias("np"), size("gw").alias("ng"), (F.col("gw").isNotNull() & F.col("pw").isNotNull()).alias("met"), F.coalesce("pc", F.lit(False)).alias("whole"))
+    full: Column = F.col("met") & (F.col("tp") == F.col("np")) & (F.col("tp") == F.col("ng")) & F.col("whole")
+    sums = j.groupBy(key).agg(F.sum("tp").alias("tp"), F.sum(F.col("np") - F.col("tp")).alias("fp"), F.sum(F.col("ng") - F.col("tp")).alias("fn"), F.count(F.when(full, 1)).alias("matched_lots"))
+    times = F.when(F.col("spread"), F.col("n_g")).otherwise(F.lit(1)).cast("long")
+    alike = unordered_matches(pred.join(modes.select(key, "spread", "n_g"), key).withColumn("times", times), gold, key)
+    out = modes.join(sums, key).join(alike, key, "left")
+    every = lambda c: (F.col("n_g") > 0) & (c == F.col("n_g")) & (c == F.col("n_p")) & ~F.col("bad")
+    unordered = F.coalesce("unordered", F.lit(0)).cast("long")
+    return out.select(
+        key, "mode", "tp", "fp", "fn", F.col("n_g").alias("gold_lots"), F.col("n_p").alias("pred_lots"), "matched_lots", every(F.col("matched_lots")).alias("exact"),
+        unordered.alias("unordered"), every(unordered).alias("unordered_exact"), "inventory_complete",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import collapse
+from ledgerloom.functions.text import collapse, lot_key
 
 # --- fixed values: tolerances -----------------------------------------------------------------
 POINTS_TOLERANCE, FRACTION_TOLERANCE = 0.5, 0.005
@@ -80,23 +80,29 @@ def merge_exact(rows: DataFrame, keys: list[str], name: str, weight: str, ids: s
     return ones.groupBy(*keys, "name_key", weight).agg(F.sum("_n").alias("n_rows"), F.array_sort(F.collect_list("_id")).alias("evidence"))
 
 
-def scope_problem(labels: DataFrame, key: str, label: str, shared: Column) -> DataFrame:
+def scope_problem(labels: DataFrame, key: str, label: str, shared: Column, declared: DataFrame | None = None) -> DataFrame:
     """``key, problem``: the first contradiction between a record's lot labels, null where none.
 
-    multiple_numbers: a label names several numbers; shared_but_labelled: the shared flag beside
-    labels; mixed: labelled and unlabelled together; several_unlabelled: more than one set, none
-    labelled.
+    ``declared`` holds ``key`` and ``lot``: the lots that the record is known to have.
+    multiple_numbers: a label or declared lot names several numbers; shared_but_labelled: the
+    shared flag beside labels; mixed: labelled and unlabelled criteria; several_unlabelled:
+    more than one declared lot, but unlabelled criteria.
     """
-    text = F.trim(F.col(label))
-    has = text.isNotNull() & ~F.lower(text).isin("", "null")
-    numbers = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+"), F.lit(0)))
-    agg = labels.groupBy(key).agg(
-        F.max((has & (numbers > 1)).cast("int")).alias("several"), F.max(shared.cast("int")).alias("shared"), F.count(F.when(has, 1)).alias("named"), F.count(F.when(~has, 1)).alias("unnamed")
-    )
+    sides = labels.select(key, lot_key(F.col(label)).alias("_k"), shared.alias("_shared"), F.lit(True).alias("_own"))
+    if declared is not None:
+        sides = sides.unionByName(declared.select(key, lot_key(F.col("lot")).alias("_k"), F.lit(False).alias("_shared"), F.lit(False).alias("_own")))
+    numbers = F.size(F.regexp_extract_all("_k", F.lit(r"\p{Nd}+"), F.lit(0)))
+    named, own = F.col("_k") != "all", F.col("_own")
+    once = sides.groupBy(key, "_k", "_own").agg(F.max("_shared").alias("_shared"))  # labels first, so that no group holds all rows of a record
+    agg = once.groupBy(key).agg(
+        F.max((numbers > 1).cast("int")).alias("_several"), F.max(F.col("_shared").cast("int")).alias("_shared"), F.count(F.when(own & named, 1)).alias("_named"),
+        F.count(F.when(own & ~named, 1)).alias("_unnamed"), F.count(F.when(~own & named, 1)).alias("_declared"), F.count(F.when(own, 1)).alias("_n"),
+    )
+    shared_flag = F.coalesce(F.col("_shared"), F.lit(0)) == 1
     problem = (
-        F.when(F.col("several") == 1, "multiple_numbers")
-        .when((F.col("shared") == 1) & (F.col("named") > 0), "shared_but_labelled")
-        .when((F.col("named") > 0) & (F.col("unnamed") > 0), "mixed")
-        .when((F.col("named") == 0) & (F.col("unnamed") > 1), "several_unlabelled")
+        F.when(F.col("_several") == 1, "multiple_numbers")
+        .when(shared_flag & (F.col("_named") > 0), "shared_but_labelled")
+        .when((F.col("_named") > 0) & (F.col("_unnamed") > 0), "mixed")
+        .when(~shared_flag & (F.col("_unnamed") > 0) & (F.col("_declared") > 1), "several_unlabelled")
     )
-    return agg.select(key, problem.alias("problem"))
+    return agg.where("_n > 0").select(key, problem.alias("problem"))

@@ -62,7 +62,7 @@ def pattern_candidates(df: DataFrame, group: list[str], order: list[str], text:
 
 def keyword_pattern(keyword: str) -> str:
     """A folded stem at a word's start, with flexible white space between its words."""
-    return r"(?<![\p{L}\p{N}_])" + r"\s+".join(w for w in keyword.split())
+    return r"(?<![\p{L}\p{N}_])" + r"[\s\p{Z}]+".join(w for w in keyword.split())
 
 
 def folded_hits(df: DataFrame, keys: list[str], text: str, keywords: dict[str, str]) -> DataFrame:

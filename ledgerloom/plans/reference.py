@@ -265,10 +265,12 @@ def verdict_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 # --- criteria and lots --------------------------------------------------------------------------
 
+_LOT_TEXT = "lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')))"
 _LOT_SQL = (
-    "CASE WHEN {0} IS NULL OR lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g'))) IN ('', 'null') THEN 'all' "
-    "WHEN regexp_matches(lower(trim({0})), '^((daļa|daļas|lot|part|nr\\.?|no\\.?)\\s*)*[0-9]{{1,18}}\\s*\\.?\\s*(daļa|daļas|lot|part|nr\\.?|no\\.?)*$') THEN CAST(CAST(regexp_extract({0}, '[0-9]+') AS BIGINT) AS VARCHAR) "
-    "ELSE lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g'))) END"
+    f"CASE WHEN {{0}} IS NULL OR {_LOT_TEXT} IN ('', 'null') THEN 'all' "
+    f"WHEN len(regexp_extract_all({{0}}, '\\p{{{{Nd}}}}+')) = 1 AND regexp_matches({_LOT_TEXT}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])\\p{{{{Nd}}}}+($|[^\\p{{{{L}}}}\\p{{{{N}}}}_])') "
+    f"AND (regexp_matches({_LOT_TEXT}, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])(daļ|lots?($|[^\\p{{{{L}}}}\\p{{{{N}}}}_]))') OR regexp_matches({_LOT_TEXT}, '^\\p{{{{Nd}}}}+\\.*$')) "
+    f"THEN coalesce(nullif(ltrim(regexp_extract({{0}}, '\\p{{{{Nd}}}}+'), '0'), ''), '0') ELSE {_LOT_TEXT} END"
 )
 
 
@@ -278,10 +280,10 @@ def lot_key_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT weight_text, count(*) n, CASE WHEN t IS NULL OR t = '' OR regexp_matches(t, '(^|[\\s;|/])[−-]') THEN '' WHEN regexp_matches(t, '^[0-9]+([.,][0-9]+)?\\s*(points?)?\\s*out of\\s*[0-9]+([.,][0-9]+)?\\s*(points?)?$') "
-    "THEN CASE WHEN CAST(replace(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?')[1], ',', '.') AS DOUBLE) <= CAST(replace(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?')[2], ',', '.') AS DOUBLE) THEN CAST(CAST(replace(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?')[1], ',', '.') AS DECIMAL(18,3)) AS VARCHAR) ELSE '' END "
-    "WHEN regexp_matches(t, '^[+−-]?[0-9]+(?:[.,][0-9]+)?\\s*%?(?:[\\s;|/]+[+−-]?[0-9]+(?:[.,][0-9]+)?\\s*%?)*$') THEN array_to_string(list_transform(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)?'), lambda x: CAST(CAST(replace(x, ',', '.') AS DECIMAL(18,3)) AS VARCHAR)), ';') ELSE '' END weights "
-    "FROM (SELECT weight_text, trim(weight_text) t FROM worker_criteria) GROUP BY ALL"
+    "WITH w AS (SELECT weight_text, trim(weight_text) t, string_split_regex(lower(trim(weight_text)), '\\s+') x, string_split_regex(regexp_replace(trim(weight_text), '\\s+%', '%', 'g'), '[\\s;|/]+') p FROM worker_criteria), "
+    "y AS (SELECT *, CASE WHEN x[2] IN ('point', 'points') THEN list_concat(x[1:1], x[3:]) ELSE x END z, list_transform(p, lambda v: CASE WHEN regexp_matches(v, '^[+]?[0-9]+([.,][0-9]+)?%?$') THEN CAST(replace(replace(replace(v, '+', ''), '%', ''), ',', '.') AS DECIMAL(18,3)) END) q FROM w), "
+    "r AS (SELECT *, len(z) = 4 AND z[2] = 'out' AND z[3] = 'of' said, TRY_CAST(replace(z[1], ',', '.') AS DECIMAL(18,3)) n, TRY_CAST(replace(z[4], ',', '.') AS DECIMAL(18,3)) m FROM y) "
+    "SELECT weight_text, count(*) n, coalesce(CASE WHEN t IS NULL OR t = '' THEN '' WHEN said THEN CASE WHEN r.n >= 0 AND m > 0 AND r.n <= m THEN CAST(r.n AS VARCHAR) ELSE '' END WHEN len(list_filter(q, lambda v: v IS NULL)) = 0 THEN array_to_string(list_transform(q, lambda v: CAST(v AS VARCHAR)), ';') ELSE '' END, '') weights FROM r GROUP BY ALL"
 )
 def weight_parse(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "worker_criteria").groupBy("weight_text").agg(F.count("*").alias("n"))
@@ -333,11 +335,15 @@ def reference_eligibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH x AS (SELECT finding_id, lot IS NOT NULL AND lower(trim(lot)) NOT IN ('', 'null') has, len(regexp_extract_all(coalesce(lot, ''), '[0-9]+')) k FROM worker_criteria), a AS (SELECT finding_id, max((has AND k > 1)::INT) s, count(*) FILTER (has) named, count(*) FILTER (NOT has) unnamed FROM x GROUP BY 1) "
-    "SELECT finding_id, CASE WHEN s = 1 THEN 'multiple_numbers' WHEN named > 0 AND unnamed > 0 THEN 'mixed' WHEN named = 0 AND unnamed > 1 THEN 'several_unlabelled' END problem FROM a"
+    f"WITH c AS (SELECT DISTINCT eis_id, {_LOT_SQL.format('lot')} k FROM worker_criteria), f AS (SELECT DISTINCT eis_id, {_LOT_SQL.format('lot_label')} k FROM worker_findings), "
+    "a AS (SELECT eis_id, count(*) FILTER (k <> 'all') named, count(*) FILTER (k = 'all') unnamed, count(*) FILTER (len(regexp_extract_all(k, '[0-9]+')) > 1) several FROM c GROUP BY 1), "
+    "b AS (SELECT eis_id, count(*) FILTER (k <> 'all') declared, count(*) FILTER (len(regexp_extract_all(k, '[0-9]+')) > 1) several FROM f GROUP BY 1) "
+    "SELECT a.eis_id, CASE WHEN a.several + coalesce(b.several, 0) > 0 THEN 'multiple_numbers' WHEN named > 0 AND unnamed > 0 THEN 'mixed' WHEN unnamed > 0 AND declared > 1 THEN 'several_unlabelled' END problem FROM a LEFT JOIN b ON a.eis_id IS NOT DISTINCT FROM b.eis_id"
 )
 def scope_validator(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.scope_problem(table(spark, d, "worker_criteria"), "finding_id", "lot", F.lit(False))
+    """Labels of a procurement's criteria against the lots that its findings declare."""
+    declared = table(spark, d, "worker_findings").select("eis_id", F.col("lot_label").alias("lot"))
+    return reconcile.scope_problem(table(spark, d, "worker_criteria"), "eis_id", "lot", F.lit(False), declared)
 
 
 @query(
@@ -646,30 +652,44 @@ def star_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 # --- standards, lots, shapes ----------------------------------------------------------------------
 
-_STANDARD_SQL = standards.STANDARD.replace("'", "''")
+#: the sections and schemes that these tables write about
+_CATALOG = standards.Catalog(
+    schemes={"Certificate": ["sertifikacijas apliecinajum", "sertifikats"], "Safety plan": ["darba aizsardzibas plan"]},
+    markers={"award": ["cenas-kvalitates", "vertesanas tabul"], "specification": ["pielikums", "nolikuma pielikum"], "selection": ["lieta", "atsauce"]},
+    cues=["sertifik", "kvalitat"],
+)
+_BODY_SQL = "(LVS|EN|ISO(/IEC)?|IEC)"
+_STANDARD_SQL = f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({_BODY_SQL}[\\s\\p{{Z}}]+)*{_BODY_SQL}[\\s\\p{{Z}}]*[0-9]{{3,5}}(-[0-9]{{1,3}}($|[^\\p{{L}}\\p{{N}}_]))?(:[\\s\\p{{Z}}]?[0-9]{{4}})?($|[^\\p{{L}}\\p{{N}}_])"
 
 
 @query(
-    f"WITH t AS (SELECT evidence_id, json_extract_string(evidence, '$.text') t FROM standards_evidence WHERE evidence IS NOT NULL), h AS (SELECT unnest(regexp_extract_all(t, '{_STANDARD_SQL}')) hit FROM t) SELECT upper(trim(regexp_replace(hit, '[\\s\\p{{Z}}]+', ' ', 'g'))) name, count(*) n FROM h GROUP BY 1"
+    f"WITH t AS (SELECT evidence_id, json_extract_string(evidence, '$.text') t FROM standards_evidence WHERE evidence IS NOT NULL), h AS (SELECT unnest(regexp_extract_all(t, '{_STANDARD_SQL}')) hit FROM t) "
+    "SELECT upper(regexp_replace(regexp_replace(hit, '^[^\\p{L}]+|[^0-9]+$', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) name, count(*) n FROM h GROUP BY 1"
 )
 def coded_standards(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "standards_evidence").select(F.get_json_object("evidence", "$.text").alias("t"))
-    hits = e.select(F.explode(F.regexp_extract_all("t", F.lit(standards.STANDARD), F.lit(0))).alias("hit"))
-    return hits.groupBy(F.upper(T.collapse(F.col("hit"))).alias("name")).agg(F.count("*").alias("n"))
+    refs = standards.find_references(e, [], "t").where("category = 'standard'")
+    return refs.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query()
 def standard_references(spark: SparkSession, d: str) -> DataFrame:
-    """References in whole document texts with their section, rolled up (look-around has no SQL twin; tests hold golden texts)."""
-    catalog = standards.Catalog({"Ecolabel": ["ekomarkejum", "ecolabel"], "CPV": ["cpv kods", "cpv code"]})
-    refs = standards.find_references(table(spark, d, "documents"), ["doc_id"], "text", catalog)
-    out = standards.rollup_references(refs, [], ["doc_id"])
+    """References in all evidence texts with their section, rolled up by name (tests hold golden texts; ``coded_standards`` has a twin)."""
+    e = table(spark, d, "standards_evidence").select("evidence_id", F.get_json_object("evidence", "$.text").alias("t"))
+    out = standards.rollup_references(cut(standards.find_references(e, ["evidence_id"], "t", _CATALOG)), [], "evidence_id")
     return out.select("name", "category", "n", F.array_join("phases", ",").alias("phases"), F.array_join("evidence", " | ").alias("evidence"))
 
 
-@query()
-def defined_terms(spark: SparkSession, d: str) -> DataFrame:
-    return standards.defined_terms(table(spark, d, "documents"), ["doc_id"], "text")
+_SCHEME_SQL = {"Certificate": "sertifikacijas apliecinajum|sertifikats", "Safety plan": "darba aizsardzibas plan"}
+
+
+@query(
+    f"WITH t AS (SELECT translate(lower(json_extract_string(evidence, '$.text')), '{T.ACCENTED}', '{T.UNACCENTED}') t FROM standards_evidence WHERE evidence IS NOT NULL) "
+    f"SELECT k.name, sum(len(regexp_extract_all(t, '(^|[^\\p{{L}}\\p{{N}}_])(' || replace(k.a, ' ', '[\\s\\p{{Z}}]+') || ')')))::BIGINT n FROM t, (VALUES {values(_SCHEME_SQL)}) k(name, a) GROUP BY 1"
+)
+def scheme_aliases(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "standards_evidence").select(F.get_json_object("evidence", "$.text").alias("t"))
+    return standards.find_references(e, [], "t", _CATALOG).where("category = 'scheme'").groupBy("name").agg(F.count("*").alias("n"))
 
 
 def _true_criteria(spark: SparkSession, d: str) -> DataFrame:
@@ -686,13 +706,15 @@ def _true_criteria(spark: SparkSession, d: str) -> DataFrame:
 def lots_compared(spark: SparkSession, d: str) -> DataFrame:
     """Criteria of the workers against the ground-truth records, lot by lot (tests hold a brute-force twin).
 
-    The lots of all records of a procurement are its truth.
+    The lots of all records of a procurement are its truth; the lots that its findings name are
+    what it declares.
     """
     gold = _true_criteria(spark, d)
     gold = gold.withColumn("weight", F.replace(F.regexp_extract("number", "[0-9]+(?:[.,][0-9]+)?", 0), F.lit(","), F.lit(".")).try_cast("double"))
     pred = runs.latest_per_key(table(spark, d, "worker_criteria"), ["criterion_id"], ["loaded_at"])
-    sets = [cut(lot_ops.lot_sets(x, "eis_id", "lot", "weight")) for x in (pred, gold)]
-    return lot_ops.compare_lots(*sets, "eis_id")
+    sets = [cut(lot_ops.lot_sets(x, "eis_id", "lot", "weight", e)) for x, e in ((pred, None), (gold, ["record_id", "lot_no"]))]
+    declared = table(spark, d, "worker_findings").select("eis_id", F.col("lot_label").alias("lot"))
+    return lot_ops.compare_lots(*sets, "eis_id", declared=declared)
 
 
 @query(
@@ -737,17 +759,8 @@ def unfinished_criteria(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "worker_criteria").join(done, "finding_id", "left_anti").select("finding_id", "criterion_id")
 
 
-@query(
-    f"WITH n AS (SELECT eis_id, {_LOT_SQL.format('lot')} lot_key, trim(name) n, count(*) c FROM worker_criteria WHERE trim(name) <> '' GROUP BY ALL) "
-    "SELECT eis_id, lot_key, string_agg(CASE WHEN c > 1 THEN n || ' x' || c ELSE n END, ' | ' ORDER BY n) extracted_names FROM n GROUP BY 1, 2"
-)
-def name_review(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "worker_criteria")
-    return reports.name_review(c, c.limit(0), "eis_id", "lot", "name").select("eis_id", "lot_key", "extracted_names")
-
-
 @query()
-def name_review_both(spark: SparkSession, d: str) -> DataFrame:
+def name_review(spark: SparkSession, d: str) -> DataFrame:
     """Names of the workers' criteria and of the ground-truth records beside each other, lot by lot (tests hold golden rows)."""
     return reports.name_review(table(spark, d, "worker_criteria"), _true_criteria(spark, d), "eis_id", "lot", "name")
 

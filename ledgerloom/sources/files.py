@@ -231,11 +231,11 @@ def html_tables(source: str) -> list[list[list[str]]]:
         for r, row in enumerate(rows):
             c = 0
             for text, down, across in row:
-                while (r, c) in grid:
-                    c += 1
+                while not grid.keys().isdisjoint((r, c + k) for k in range(across)):
+                    c += 1  # all columns that the cell covers must be free
                 for i in range(r, len(rows) if down == 0 else min(len(rows), r + down)):
                     for j in range(c, c + across):
-                        grid.setdefault((i, j), "")
+                        grid[i, j] = ""
                 grid[r, c] = text
                 c += across
         width = max((j for _, j in grid), default=-1) + 1

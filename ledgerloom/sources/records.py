@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import codes_in, url_number
 from ledgerloom.operators.skew import hot_join
-from ledgerloom.operators.standards import SCHEME_CUES, SECTION_MARKERS, Catalog
+from ledgerloom.operators.standards import Catalog
 from ledgerloom.session import cut
 
 RECORD_SCHEMA = """eis_id string, source_files array<string>, attempts int, model_seconds double, lot_seconds double,
@@ -108,4 +108,4 @@ def read_catalog(path: str) -> Catalog:
     with open(path, encoding="utf-8") as f:
         raw = json.load(f)
     schemes = {name: [a for a in (x["aliases"] if isinstance(x, dict) else x)] for name, x in raw.get("schemes", {}).items()}
-    return Catalog(schemes, raw.get("section_markers", SECTION_MARKERS), raw.get("scheme_cues", SCHEME_CUES))
+    return Catalog(schemes, raw.get("section_markers", {}), raw.get("scheme_cues", []))

@@ -25,12 +25,15 @@ def test_text_functions(spark):
     assert one(col(spark, ["12345678-9", "12345678‑9", "1234567-9", "", None, "x12345678-9"]), T.is_code(F.col("x"))) == [True, True, False, False, False, False]
     assert one(col(spark, ["a 12345678-9 b 123456789-1 12345678–0"]), T.codes_in(F.col("x"))) == [["12345678-9", "12345678–0"]]
     assert one(col(spark, [None, "", "null", "Lot 02", " 3.", "4. daļa", "A2", "Lot 1 and 2"]), T.lot_key(F.col("x"))) == ["all", "all", "all", "2", "3", "4", "a2", "lot 1 and 2"]
+    prose = {"iepirkuma 2. daļā": "2", "lots 3": "3", "2. daļai": "2", "nr. 5": "nr. 5", "part 7": "part 7", "daļa A2": "daļa a2", "007": "7", "lot_3": "lot_3", "1. un 2. daļa": "1. un 2. daļa", "3..": "3", "NULL": "all", "lot 0": "0"}
+    assert one(col(spark, list(prose)), T.lot_key(F.col("x"))) == list(prose.values())
+    assert one(col(spark, ["0,5;1,5;2.5", "50 out of 100", "x", None]), T.whole_weights(F.col("x"))) == [[0, 2, 2], [50], [], []]
     assert one(col(spark, ["a漢字b", None]), T.strip_cjk(F.col("x"))) == ["a b", None]
     assert one(col(spark, ["https://x/Procurement/123", "https://x/Other/1", None]), T.url_number(F.col("x"))) == ["123", None, None]
     assert [len(x) for x in one(col(spark, ["n" * 500, "short"]), T.elide(F.col("x")))] == [240, 5]
 
 
-@pytest.mark.parametrize(("text", "weights"), [(None, []), ("30,5", [30.5]), ("50 points out of 100", [50.0]), ("150 out of 100", []), ("-10", []), ("30; 70 | 5", [30.0, 70.0, 5.0]), ("30 %", [30.0]), ("about 30", []), ("", []), ("− 5", [])])
+@pytest.mark.parametrize(("text", "weights"), [(None, []), ("30,5", [30.5]), ("50 points out of 100", [50.0]), ("150 out of 100", []), ("-10", []), ("30; 70 | 5", [30.0, 70.0, 5.0]), ("30 %", [30.0]), ("about 30", []), ("", []), ("− 5", []), ("50 point out  of 100", [50.0]), ("50 out of 100 points", []), ("+5 | 7,25%", [5.0, 7.25]), ("30;;", []), ("5 out of 0", []), ("1e3", []), ("30 % / 70 %", [30.0, 70.0])])
 def test_parse_weights(spark, text, weights):
     assert one(col(spark, [text]), T.parse_weights(F.col("x"))) == [weights]
 
@@ -134,7 +137,10 @@ def test_merge_and_scope(spark, rows):
     got = {(r["name_key"], r["w"]): (r["n_rows"], r["evidence"]) for r in reconcile.merge_exact(df, ["lot"], "name", "w", "ids").collect()}
     assert got == {("cena", 5.0): (2, ["a", "b", "c"]), ("cena", None): (1, []), ("x", 5.0): (1, [])}
     s = spark.createDataFrame([(1, "1 and 2"), (2, "1"), (2, None), (3, None), (3, "null"), (4, "1"), (4, "2")], "k int, lot string")
-    assert rows(reconcile.scope_problem(s, "k", "lot", F.lit(False))) == [(1, "multiple_numbers"), (2, "mixed"), (3, "several_unlabelled"), (4, None)]
+    declared = spark.createDataFrame([(3, "Lot 1"), (3, "2"), (4, "1-3"), (5, "9")], "k int, lot string")
+    assert rows(reconcile.scope_problem(s, "k", "lot", F.lit(False))) == [(1, "multiple_numbers"), (2, "mixed"), (3, None), (4, None)]
+    assert rows(reconcile.scope_problem(s, "k", "lot", F.lit(False), declared)) == [(1, "multiple_numbers"), (2, "mixed"), (3, "several_unlabelled"), (4, "multiple_numbers")]
+    assert rows(reconcile.scope_problem(s, "k", "lot", F.lit(True), declared)) == [(1, "multiple_numbers"), (2, "shared_but_labelled"), (3, None), (4, "multiple_numbers")]
 
 
 def test_runs(spark, rows):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports
-from ledgerloom.plans.reference import name_review_both
+from ledgerloom.plans.reference import name_review
 from ledgerloom.sources.records import read_catalog, read_ids
 
 
@@ -26,7 +26,7 @@ def test_names_of_the_records(spark, rows, tmp_path):
     records = [(1, "a", body), (2, "a", body.replace(": ", ":")), (3, "a", '{"lots": {"sequenceNumber": "1", "criterion": {"winnerCriterionName": "Term"}}}'), (4, "b", "{")]
     spark.createDataFrame(records, "record_id long, eis_id string, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
     spark.createDataFrame([("a", "Lot 1", "Cena"), ("b", None, "X")], "eis_id string, lot string, name string").write.parquet(f"{tmp_path}/worker_criteria.parquet")
-    assert rows(name_review_both(spark, str(tmp_path))) == [("a", "1", "Cena", "Price x2 | Term"), ("a", "all", None, "Y"), ("b", "all", "X", None)]
+    assert rows(name_review(spark, str(tmp_path))) == [("a", "1", "Cena", "Price x2 | Term"), ("a", "all", None, "Y"), ("b", "all", "X", None)]
 
 
 def test_corrections_and_totals(spark, rows):
@@ -56,4 +56,4 @@ def test_ids_and_catalog(spark, tmp_path):
     assert [r["eis_id"] for r in read_ids(spark, str(tmp_path / "ids.txt"), ["3", "1"]).orderBy("ord").collect()] == ["3", "1", "2"]
     (tmp_path / "c.json").write_text(json.dumps({"schemes": {"A": {"aliases": ["x y"], "green": True}}, "scheme_cues": ["q"]}))
     c = read_catalog(str(tmp_path / "c.json"))
-    assert c.schemes == {"A": ["x y"]} and c.cues == ["q"] and "award" in c.markers
+    assert c.schemes == {"A": ["x y"]} and c.cues == ["q"] and c.markers == {}

@@ -44,6 +44,8 @@ def test_html_grid():
     source = "<table><tr><td rowspan=2 colspan=2>A &amp; B</td><td>x</td></tr><tr><td>y</td></tr><tr><td rowspan=0>z<td colspan=bad>q</tr><tr></tr></table><script>no</script><p>text</p>"
     assert files.html_tables(source) == [[["A & B", "", "x"], ["", "", "y"], ["z", "q", ""], ["", "", ""]]]
     assert "text" in files.html_text(source) and "no" not in files.html_text(source).split()
+    wide = "<table><tr><td>a</td><td rowspan=2>b</td><td>c</td></tr><tr><td colspan=2>d</td><td>e</td></tr></table>"
+    assert files.html_tables(wide) == [[["a", "b", "c", "", ""], ["", "", "d", "", "e"]]]  # d needs two free columns
     assert files.html_tables("") == [] and files.html_text("") == ""
 
 

@@ -1,6 +1,8 @@
 import json
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import lots, shapes, standards
@@ -12,31 +14,66 @@ TEXT = (
 )
 
 
+CATALOG = standards.Catalog(
+    {"Label": ["ecolabel"], "Swan": ["nordic swan"]}, {"award": ["vertesanas kriterij"], "specification": ["tehniska specifikacij"]}, ["shem", "kvalitat"]
+)
+
+
 def test_references(spark):
     df = spark.createDataFrame([(1, TEXT), (2, None), (3, ""), (4, "Ministru kabineta lēmums. Citi noteikumi Nr. 5")], "id int, t string")
-    catalog = standards.Catalog({"Label": ["ecolabel"], "Swan": ["nordic swan"]})
-    got = sorted((r["category"], r["name"], r["phase"]) for r in standards.find_references(df, ["id"], "t", catalog).collect())
+    got = sorted((r["category"], r["name"], r["phase"]) for r in standards.find_references(df, ["id"], "t", CATALOG).collect())
     assert got == [
-        ("directive", "95/46", "award"), ("legal_act", "12/34", "award"), ("legal_act", "2016/7", "award"), ("regulation", "66/2010", "award"),
-        ("regulation", "MINISTRU KABINETA 2013. GADA 8. OKTOBRA NOTEIKUMI NR. 1041", "specification"),
+        ("directive", "EU directive 95/46", "award"), ("legal_act", "EU act 12/34", "award"), ("legal_act", "EU act 2016/7", "award"),
+        ("regulation", "EU regulation 66/2010", "award"), ("regulation", "Ministru kabineta noteikumi Nr. 1041", "specification"),
         ("scheme", "Label", "award"), ("scheme", "Swan", "award"), ("standard", "ISO 9001", "specification"), ("standard", "ISO/IEC 17025:2017", "specification"), ("standard", "LVS EN 1090-2", "specification"),
     ]
 
 
-def test_rollup(spark):
-    df = spark.createDataFrame([(1, "ISO 9001 a. Vērtēšanas kritēriji ISO 9001 b"), (2, "x ISO 9001 c"), (2, "x ISO 9001 c")], "id int, t string")
-    r = standards.rollup_references(standards.find_references(df, ["id"], "t"), [], ["id"]).collect()
-    assert len(r) == 1 and r[0]["n"] == 4 and r[0]["phases"] == ["unknown", "award"] and len(r[0]["evidence"]) == 2  # equal passages are one
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("ISO9001", ["ISO9001"]), ("XISO 9001", []), ("ISO 9001a", []), ("ISO 9001-2015", ["ISO 9001"]), ("iso 37001: 2025.", ["ISO 37001: 2025"]), ("EN ISO\n14001:20155", ["EN ISO 14001"]), ("ISO 12", []), ("ISO 900123", []),
+        ("ISO/IEC27001 un IEC 60-1", ["ISO/IEC27001"]), ("LVS EN 1090-2x", ["LVS EN 1090"]), ("ISO EN, ISO 5", []), ("ISO/ 9001", []),
+        ("Direktīvu 95/46/EK", ["EU directive 95/46"]), ("direktiva Nr. 2014/24", ["EU directive 2014/24"]), ("regulu (EK)Nr.66/2010", ["EU regulation 66/2010"]), ("regula 2016/67890", []), ("(ES)2016/7 (ES) 2016/7", ["EU act 2016/7", "EU act 2016/7"]),
+        ("12016/7/EK", ["EU act 2016/7"]), ("1/2/EKX", []), ("(EU) No 5/2020/EU", ["EU act 5/2020"]), ("regulas nav", []),
+        ("Ministru kabineta noteikumiem Nr.5", ["Ministru kabineta noteikumi Nr. 5"]), ("Ministru kabineta\n2013. gada noteikumi Nr. 5", []), ("Ministru kabineta" + " x" * 41 + " noteikumi Nr. 5", []),
+    ],
+)
+def test_reference_rules(text, names):
+    assert [r.name for r in standards.references_in(text, [])] == names
 
 
-def test_defined_terms(spark):
-    df = spark.createDataFrame([(1, "Pārtikas kvalitātes shēma (turpmāk - NPKS). NPKS un NPKSX, NPKS."), (2, "cits (turpmāk - ABC) ABC"), (3, None)], "id int, t string")
-    assert [tuple(r) for r in standards.defined_terms(df, ["id"], "t").collect()] == [(1, "NPKS", 3)]
+def test_references_in_tables(spark):
+    df = spark.createDataFrame([(1, "text", [[["a", "ISO 9001"], [None, ""]]]), (2, None, [[["EN 1090"]]]), (3, "x", None)], "id int, t string, tables array<array<array<string>>>")
+    got = standards.find_references(df.withColumn("t", standards.table_text(F.col("t"), F.col("tables"))), ["id"], "t")
+    assert [(r["id"], r["name"]) for r in got.orderBy("id").collect()] == [(1, "ISO 9001"), (2, "EN 1090")]
 
 
-def brute(pred, gold, invalid):
-    group = lambda rows: {k: sorted(w for a, w in rows if a == k) for k in {a for a, _ in rows}}
-    p, g = group(pred), group(gold)
+def test_rollup(spark):
+    df = spark.createDataFrame([(1, "ISO 9001 a. Vērtēšanas kritēriji ISO 9001 b"), (2, "x ISO 9001 c"), (2, "x ISO 9001 c"), *((k, f"ISO 9001 m{k}") for k in range(3, 8))], "id int, t string")
+    r = standards.rollup_references(standards.find_references(df, ["id"], "t", CATALOG), [], "id").collect()
+    assert len(r) == 1 and r[0]["n"] == 9 and r[0]["phases"] == ["unknown", "award"]
+    assert len(r[0]["evidence"]) == 4 and r[0]["evidence"][0].startswith("ISO 9001 a") and r[0]["evidence"][-1] == "ISO 9001 m7"
+    assert standards.rollup_references(standards.find_references(df.limit(0), ["id"], "t"), [], "id").count() == 0
+
+
+def test_defined_terms():
+    find = lambda text: [r.name for r in standards.references_in(text, ["shem"])]
+    assert find("Pārtikas kvalitātes shēma (turpmāk - NPKS). NPKS un NPKSX, NPKS.") == ["NPKS"] * 3
+    assert find("cits (turpmāk - ABC) ABC") == [] and find("shēma (turpmāk tekstā vairākas reizes - ABC)") == [] and find("shēma (turpmāk - Abc)") == []
+
+
+def brute(pred, gold, invalid=False, shared=False, declared=None):
+    """pred: (label, weight) rows; gold: list of (label, weights). What compare_lots gives, by plain loops."""
+    p = [(k, sorted(w for a, w in pred if a == k)) for k in sorted({a for a, _ in pred})]
+    g = [(k, sorted(ws)) for k, ws in gold]
+    labels, known = [k for k, _ in g], {k for k, _ in g} - {"all"}
+    assessable = bool(labels) and len(known) == len(labels)
+    said = set(declared or ()) - {"all"}
+    bad = invalid or declared is not None and assessable and bool(said - known)
+    if shared and p and not bad and g:
+        p = [(k, p[0][1]) for k, _ in g]
+    own = [k for k, _ in p]
 
     def match(a, b):
         b, n = list(b), 0
@@ -46,58 +83,76 @@ def brute(pred, gold, invalid):
                 n += 1
         return n
 
-    if invalid:
-        mode, pairs = "invalid_scope", []
+    mode, pairs = "by_lot_label", []
+    if bad:
+        mode = "invalid_scope"
     elif len(p) == len(g) == 1:
-        (a,), (b,) = p, g
-        near = a == b or "all" in (a, b)
-        mode, pairs = ("single_set", [(a, b)]) if near else ("unmatched", [])
-    elif "all" not in p and "all" not in g and (p or g):
-        mode, pairs = "by_lot_label", [(k, k) for k in p if k in g]
+        if own[0] == labels[0] or "all" in (own[0], labels[0]):
+            mode, pairs = "single_set", [(p[0][1], g[0][1])]
+    elif "all" not in own + labels and len(set(own)) == len(own) and len(set(labels)) == len(labels):
+        pairs = [(dict(p)[k], dict(g)[k]) for k in own if k in labels]
     else:
-        mode, pairs = "unresolved_lot_alignment", []
-    tp = sum(match(p[a], g[b]) for a, b in pairs)
-    return mode, tp, len(pred) - tp, len(gold) - tp, len(g), sum(p[a] == g[b] for a, b in pairs)
+        mode = "unresolved_lot_alignment"
+    tp = sum(match(a, b) for a, b in pairs)
+    matched = sum(a == b for a, b in pairs)
+    loose = sum((Counter(map(str, (ws for _, ws in p if ws))) & Counter(map(str, (ws for _, ws in g)))).values())
+    every = lambda n: bool(g) and n == len(g) == len(p) and not bad
+    whole = said == known if declared is not None and assessable else None
+    return mode, tp, sum(len(w) for _, w in p) - tp, sum(len(w) for _, w in g) - tp, len(g), len(p), matched, every(matched), loose, every(loose), whole
+
+
+def compared(frame, key="k"):
+    return {r[key]: tuple(r[c] for c in ("mode", "tp", "fp", "fn", "gold_lots", "pred_lots", "matched_lots", "exact", "unordered", "unordered_exact", "inventory_complete")) for r in frame.collect()}
 
 
 def test_lots_against_brute_force(spark):
-    rng, p, g, bad, want = random.Random(9), [], [], [], {}
-    for k in range(120):
+    rng, p, g, bad, shared, said, want = random.Random(9), [], [], [], [], [], {}
+    for k in range(200):
         labels = rng.choice([["all"], ["1"], ["1", "2"], ["all", "1"], ["1", "2", "3"]])
-        side = lambda ls: [(rng.choice(ls), rng.randrange(1, 4) * 10) for _ in range(rng.randrange(1, 6))]
-        a, b = side(labels), side(rng.choice([labels, labels, ["2"], ["all"]]))
-        inv = rng.random() < 0.1
+        a = [(rng.choice(labels), rng.randrange(1, 4) * 10) for _ in range(rng.randrange(1, 6))]
+        true = rng.choice([labels, labels, ["2"], ["all"], ["1", "1"]])
+        b = [(x, [rng.randrange(1, 4) * 10 for _ in range(rng.randrange(1, 4))]) for x in true]
+        inv, same = rng.random() < 0.1, rng.random() < 0.2
+        if same:
+            a = [("all", w) for _, w in a]
+        declared = [x for x in ("1", "2", "3") if rng.random() < 0.5]
         p += [(k, x, float(w)) for x, w in a]
-        g += [(k, x, float(w)) for x, w in b]
+        g += [(k, i, x, float(w)) for i, (x, ws) in enumerate(b) for w in ws]
         bad += [(k,)] if inv else []
-        want[k] = brute(a, b, inv)
-    schema = "k int, lot string, w double"
-    sets = [lots.lot_sets(spark.createDataFrame(x, schema), "k", "lot", "w") for x in (p, g)]
-    got = {r["k"]: (r["mode"], r["tp"], r["fp"], r["fn"], r["gold_lots"], r["matched_lots"]) for r in lots.compare_lots(*sets, "k", spark.createDataFrame(bad, "k int")).collect()}
-    assert got == want
+        shared += [(k,)] if same else []
+        said += [(k, f"Lot {x}") for x in declared]
+        want[k] = brute(a, b, inv, same, declared)
+    sets = [lots.lot_sets(spark.createDataFrame(p, "k int, lot string, w double"), "k", "lot", "w"), lots.lot_sets(spark.createDataFrame(g, "k int, i int, lot string, w double"), "k", "lot", "w", ["i"])]
+    one = lambda x: spark.createDataFrame(x, "k int")
+    got = compared(lots.compare_lots(*sets, "k", one(bad), one(shared), spark.createDataFrame(said, "k int, lot string")))
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == 200
+    assert compared(lots.compare_lots(sets[0].limit(0), sets[1].limit(0), "k")) == {}
 
 
 def test_lots_of_all_records(spark, tmp_path):
-    rng, records, workers, want, k = random.Random(4), [], [], {}, 0
+    rng, records, workers, said, want, k = random.Random(4), [], [], [], {}, 0
     for e in map(str, range(12)):
         truth = []
         for _ in range(rng.randrange(1, 5)):
             lots_ = [(str(rng.randrange(1, 4)), [rng.randrange(1, 4) * 10 for _ in range(rng.randrange(1, 4))]) for _ in range(rng.randrange(1, 3))]
             lots_.append((str(rng.randrange(1, 4)), [100 + k]))  # records differ
             body = {"cpvType": "1", "lots": [{"sequenceNumber": n, "criterion": [{"winnerCriterionNumber": str(w)} for w in ws]} for n, ws in lots_]}
-            truth += [(n, w) for n, ws in lots_ for w in ws]
+            truth += lots_
             copies = [json.dumps(body), json.dumps(body, indent=1), json.dumps(dict(reversed(body.items())))]
             for text in copies[: rng.randrange(1, 4)]:
                 records.append((k := k + 1, e, text))
         records.append((k := k + 1, e, '{"lots": [{"seq'))  # the last delivery is cut off
-        found = rng.sample(truth, rng.randrange(1, len(truth) + 1)) + [("1", 55)]
+        flat = [(n, w) for n, ws in truth for w in ws]
+        found = rng.sample(flat, rng.randrange(1, len(flat) + 1)) + [("1", 55)]
         workers += [(1000 * k + i, e, n, float(w)) for i, (n, w) in enumerate(found)]
-        want[e] = brute(found, truth, False)
+        declared = rng.sample(["1", "2", "3", None], 2)
+        said += [(e, x) for x in declared]
+        want[e] = brute(found, truth, declared=[x for x in declared if x])
     records.append((k + 1, None, '{"lots": []}'))
     spark.createDataFrame(records, "record_id long, eis_id string, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
     spark.createDataFrame(workers, "criterion_id long, eis_id string, lot string, weight double").withColumn("loaded_at", F.current_timestamp()).write.parquet(f"{tmp_path}/worker_criteria.parquet")
-    got = {r["eis_id"]: (r["mode"], r["tp"], r["fp"], r["fn"], r["gold_lots"], r["matched_lots"]) for r in lots_compared(spark, str(tmp_path)).collect()}
-    assert got == want
+    spark.createDataFrame(said, "eis_id string, lot_label string").write.parquet(f"{tmp_path}/worker_findings.parquet")
+    assert compared(lots_compared(spark, str(tmp_path)), "eis_id") == want
 
 
 def test_counted_weights_within_tolerance(spark):
@@ -119,8 +174,24 @@ def test_shapes(spark):
     assert shapes.batches_by_size(iter(["aa", "bb", "cccc"]), 4) == [["aa", "bb"], ["cccc"]]
 
 
+def test_far_ranks():
+    def plain(n):
+        order = [0] if n else []
+        while len(order) < n:
+            order.append(max((i for i in range(n) if i not in order), key=lambda i: (min(abs(i - j) for j in order), -i)))
+        return [order.index(i) for i in range(n)]
+
+    assert all(shapes.far_ranks(n) == plain(n) for n in range(40))
+
+
 def test_contexts_fit_the_budget(spark):
-    rows = [(1, "11111111-1", 0, ["far text", "galvenais CPV kods"]), (1, "22222222-2", 1, ["b" * 30]), (1, "33333333-3", 2, None), (2, "4" * 100, 0, ["x"])]
+    rows = [
+        (1, "11111111-1", 0, ["far text", "galvenais  CPV kods"]), (1, "22222222-2", 1, ["b" * 30]), (1, "33333333-3", 2, None), (2, "4" * 100, 0, ["x"]),
+        (3, "a", 0, ["p1", "p2", "p3"]), (3, "b", 1, ["q1", None, "q1"]), (3, "c", 2, [" Main code r "]), (4, "z", 0, []),
+    ]
     df = spark.createDataFrame(rows, "k int, code string, ord int, contexts array<string>")
-    got = {r["code"]: (r["passages"], r["listed"]) for r in shapes.pick_contexts(df, ["k"], budget=70).collect()}
+    got = {r["code"]: (r["passages"], r["listed"]) for r in shapes.pick_contexts(df, ["k"], budget=76).collect()}
     assert got["11111111-1"] == (["galvenais CPV kods", "far text"], True) and got["22222222-2"] == ([], True) and got["4" * 100] == ([], False)
+    assert got["a"] == (["p1", "p3"], True) and got["b"] == (["q1"], True) and got["c"] == (["Main code r"], True) and got["z"] == ([], True)
+    tight = {r["code"]: r["passages"] for r in shapes.pick_contexts(df.where("k = 3"), ["k"], budget=28).collect()}
+    assert tight == {"a": ["p1"], "b": [], "c": ["Main code r"]}  # 11 for the codes, 13 for the role, 4 for the first
