@@ -17,7 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
+PER_PASS = 4  # automata that one pass over the corpus holds in memory
 _WORDS = re.compile(r"[^\W_]+")
+_RAW = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")  # a word as written, with its combining accents
 _MARKS = re.compile("[̀-ͯ]+")
 
 
@@ -129,9 +133,9 @@ class Matcher:
                     out[item] = n
         return out
 
-    def clean_words(self, words: Sequence[str]) -> list[bool]:
-        """False for each word inside a match of at least the limit."""
-        keep = [True] * len(words)
+    def spans(self, words: Sequence[str]) -> list[tuple[int, int]]:
+        """Word spans ``(start, stop)`` of all matches of at least the limit, those that touch or overlap as one."""
+        out: list[tuple[int, int]] = []
         goto, link, length = self.goto, self.link, self.length
         state, n = 0, 0
         for i, c in enumerate(map(self.ids.get, words)):
@@ -144,8 +148,19 @@ class Matcher:
                 continue
             state, n = nxt, n + 1
             if n >= self.least:
-                keep[i - n + 1 : i + 1] = [False] * n
-        return keep
+                out.append((i - n + 1, i + 1))
+        return united(out)
+
+
+def united(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -193,49 +208,63 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 def remove_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 12, most_coverage: float = 0.5, block_chars: int = 400_000) -> DataFrame:
     """Documents without leaked spans, plus ``leaked_share``; mostly leaked documents leave whole.
 
-    A span of at least ``least`` words is cut out with the punctuation inside it; a document of
-    whose words more than ``most_coverage`` leaked (against one block of items) is dropped,
-    unless it has no words. Null texts stay null.
+    The spans of all blocks of items are marked on the words as written and united; only then
+    the text is cut and its coverage judged, so the result doesn't depend on how the items are
+    cut into blocks. A span of at least ``least`` words is cut out with the punctuation inside
+    and after it; a document of whose words more than ``most_coverage`` leaked is dropped. Null
+    texts stay null, texts without words as they are. A pass holds at most PER_PASS automata;
+    beyond that the marks are written between passes.
     """
     spark = documents.sparkSession
-    if {"leaked_share", "_cut"} & set(documents.columns):
-        raise ValueError("the column names leaked_share and _cut are taken")
-    out = documents.withColumn("leaked_share", F.lit(0.0))
-    for block in blocks(items, item_id, item_text, block_chars):
+    if {"leaked_share", "_cut", "_spans"} & set(documents.columns):
+        raise ValueError("the column names leaked_share, _cut and _spans are taken")
+    out = documents.withColumn("_spans", F.array().cast(_SPANS))
+    for k, block in enumerate(blocks(items, item_id, item_text, block_chars)):
+        if k and k % PER_PASS == 0:
+            out = cut(out)
         shared = spark.sparkContext.broadcast(SuffixAutomaton([(i, normal_words(t)) for i, t in block]).compile(least))
+        out = out.withColumn("_spans", F.concat("_spans", _marker(shared)(F.col(text))))
+    out = out.withColumn("_cut", F.when(F.size("_spans") > 0, _cut_out(F.when(F.size("_spans") > 0, F.col(text)), F.col("_spans"))))
+    out = out.withColumn(text, F.when(F.size("_spans") > 0, F.col("_cut.text")).otherwise(F.col(text))).withColumn("leaked_share", F.coalesce("_cut.share", F.lit(0.0)))
+    return out.where(F.col("leaked_share") <= most_coverage).drop("_spans", "_cut")
 
-        cut_out = _cutter(shared)
-        # whole raw words are matched one by one: a raw word may hold several after folding
-        out = out.withColumn("_cut", cut_out(F.col(text))).withColumn(text, F.col("_cut.text"))
-        out = out.withColumn("leaked_share", F.greatest("leaked_share", "_cut.share")).drop("_cut").where(F.col("leaked_share") <= most_coverage)
-    return out
+
+_SPANS = "array<struct<start:int,stop:int>>"
+
+
+def _marker(shared):  # noqa: ANN001, ANN202
+    @F.pandas_udf(_SPANS)
+    def mark(texts: pd.Series) -> pd.Series:
+        matcher = shared.value
+        return texts.map(lambda t: [] if t is None else [{"start": a, "stop": b} for a, b in matcher.spans(normal_words(t))])
+
+    return mark
 
 
-def _cutter(shared):  # noqa: ANN001, ANN202
+def _cut_out(text, spans):  # noqa: ANN001, ANN202
     @F.pandas_udf("text string, share double")
-    def cut_out(texts: pd.Series) -> pd.DataFrame:
-        rows = [_without(shared.value, t) if t is not None else (None, 0.0) for t in texts]
+    def cut_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [(None, 0.0) if t is None else without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame(rows, columns=["text", "share"])
 
-    return cut_out
+    return cut_out(text, spans)
 
 
-def _without(matcher: Matcher, text: str) -> tuple[str, float]:
-    spans = [(m.start(), m.end(), len(normal_words(m[0]))) for m in _WORDS.finditer(text)]
-    spans = [s for s in spans if s[2]]
-    words = [w for a, b, _ in spans for w in normal_words(text[a:b])]
-    keep = matcher.clean_words(words)
-    if all(keep):
-        return text, 0.0
+def without(text: str, spans: Sequence[tuple[int, int]]) -> tuple[str, float]:
+    """``(text without the words of the spans, their share)``; a raw word that folds to several leaves only if all of them do."""
+    leaked: set[int] = {i for a, b in united(spans) for i in range(a, b)}
     pieces, done, k, open_cut = [], 0, 0, False
-    for a, b, n in spans:
-        kept = any(keep[k : k + n])
+    for m in _RAW.finditer(text):
+        n = len(normal_words(m[0]))
+        if not n:
+            continue
+        gone = all(i in leaked for i in range(k, k + n))
         k += n
-        if not kept and not open_cut:
-            pieces.append(text[done:a])
+        if gone and not open_cut:
+            pieces.append(text[done : m.start()])
             open_cut = True
-        elif kept and open_cut:
-            done, open_cut = a, False
+        elif not gone and open_cut:
+            done, open_cut = m.start(), False
     if not open_cut:
         pieces.append(text[done:])
-    return "".join(pieces), 1 - sum(keep) / len(keep)
+    return "".join(pieces), len(leaked) / k if k else 0.0

@@ -1,6 +1,6 @@
 import random
 
-from ledgerloom.llm.leaks import SuffixAutomaton, find_leaks, normal_words, remove_leaks
+from ledgerloom.llm.leaks import SuffixAutomaton, find_leaks, normal_words, remove_leaks, without
 
 
 def brute(words, items, least):
@@ -31,7 +31,8 @@ def test_automaton_against_brute_force():
                 found[i] = max(found.get(i, 0), n)
         want = brute(words, items, least)
         assert set(found) == set(want)
-        keep = m.clean_words(words)
+        spans = m.spans(words)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
         inside = [False] * 30
         for _, w in items:
             for a in range(30):
@@ -41,7 +42,7 @@ def test_automaton_against_brute_force():
                         n += 1
                     if n >= least:
                         inside[a : a + n] = [True] * n
-        assert keep == [not x for x in inside]
+        assert [any(a <= i < b for a, b in spans) for i in range(30)] == inside
 
 
 def test_words():
@@ -59,3 +60,27 @@ def test_find_and_remove(spark, rows):
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
     clean = {(r["doc_id"], (r["text"] or "")[:12]) for r in remove_leaks(docs, items).collect()}
     assert (1, "start ") not in clean and all(d != 1 for d, _ in clean) and (5, "rest z z z z") in clean and (3, "") in clean
+
+
+def test_removal_does_not_depend_on_the_blocks(spark, rows):
+    """Items that overlap in a text are cut out whole, and coverage is judged once, however the items are cut into blocks."""
+    words = [f"w{i}" for i in range(22)]
+    one, two = " ".join(words[:14]), " ".join(words[8:])
+    docs = [(1, "Sākums: " + " ".join(words) + ". Beigas " + "x " * 40), (2, " ".join(words) + " y z"), (3, "A\u0304bols " + one.upper() + "; rest " + "x " * 40), (4, None), (5, "...")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_text", docs_clash())
+    items = spark.createDataFrame([(1, one), (2, two), *((k, f"other item {k} " * 6) for k in range(3, 9))], "item_id long, item_text string")
+    results = [rows(remove_leaks(docs, items, block_chars=n)) for n in (400_000, 60, 1)]
+    assert results[0] == results[1] == results[2]
+    kept = {r[0]: (r[1], round(r[3], 4)) for r in results[0]}
+    assert kept[1] == ("Sākums: Beigas " + "x " * 40, round(22 / 64, 4)) and 2 not in kept
+    assert kept[3] == ("A\u0304bols rest " + "x " * 40, round(14 / 56, 4)) and kept[4] == (None, 0.0) and kept[5] == ("...", 0.0)
+
+
+def test_without():
+    assert without("a, b. C d!", [(1, 3)]) == ("a, d!", 0.5) and without("a b", [(0, 2)]) == ("", 1.0) and without("", []) == ("", 0.0)
+
+
+def docs_clash():
+    from pyspark.sql import functions as F
+
+    return F.lit("clash")
