@@ -9,14 +9,17 @@ from ledgerloom.functions.text import lot_key
 from ledgerloom.session import cut
 
 
-def distinct_records(records: DataFrame, flat: DataFrame, key: str, record: str) -> DataFrame:
+def distinct_records(records: DataFrame, tables: list[DataFrame], key: str, record: str) -> DataFrame:
     """``key, record``: the readable records of each key; of records with equal content the first.
 
-    Content is equal if all entries and fields are (``flat`` as given by ``flatten_records``),
-    in whatever order the fields are written. No group is wider than one record.
+    Content is equal if all rows of all ``tables`` are (as given by ``path_tables``), in whatever
+    order the fields are written. No group is wider than one record.
     """
-    entry = F.md5(F.to_json(F.struct("level", "ordinals", "children", F.array_sort("fields").alias("f"))))
-    content = flat.groupBy(record).agg(F.md5(F.array_join(F.array_sort(F.collect_list(entry)), "")).alias("_c"))
+    rows = None
+    for i, t in enumerate(tables):
+        own = t.select(record, F.md5(F.to_json(F.struct(F.lit(i).alias("_t"), *[F.col(f"`{c}`") for c in t.columns if c != record]))).alias("_e"))
+        rows = own if rows is None else rows.unionByName(own)
+    content = rows.groupBy(record).agg(F.md5(F.array_join(F.array_sort(F.collect_list("_e")), "")).alias("_c"))
     return records.select(key, record).join(content, record).groupBy(key, "_c").agg(F.min(record).alias(record)).drop("_c")
 
 

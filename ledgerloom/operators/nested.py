@@ -1,21 +1,27 @@
 """Nested JSON records as flat tables that keep their parent links.
 
 Each body is read once, token by token, into (path, ordinals, value) triples without building
-the whole tree; paths are grouped by their repeated ancestor while the stream passes, and every
-group closes into one row of its table: ordinals of the ancestors, own fields, and how many
-children it has. The tables are projections of that one pass: no shuffle, no join.
+the tree; every key on the way to a value has an ordinal, its number in written order. The
+paths of all bodies then show which keys repeat, and every path belongs to the group of its
+repeated ancestors: their keys name the table, their ordinals are its key, and the prefix of the
+ordinals is the key of the parent. Each group is pivoted into one table, a column for each path
+below the last repeated ancestor. Only the different paths reach the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
+STEP = "\x1f"  # stands between the keys of a path
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 OPEN, CLOSE, LEAF = "open", "close", "leaf"
@@ -92,83 +98,101 @@ def _key(text: str, i: int, path: list[str | int]) -> int:
     return _SPACE.match(text, i + 1).end()
 
 
+@dataclass(frozen=True)
+class Levels:
+    """What is known of the records beforehand.
 
+    names: keys that hold entries even where no body shows a list, numbered on over all plain
+    objects of their parent entry. wrappers: keys that only wrap the entries of the key above.
+    nested: a key of ``names`` whose entries may stand inside each other and count on.
+    """
+
+    names: tuple[str, ...] = ()
+    wrappers: tuple[str, ...] = ()
+    nested: str = ""
 
-def triples(text: str) -> Iterator[tuple[str, tuple[int, ...], object]]:
-    """``(path, ordinals, value)`` of every scalar: keys joined by dots, list positions apart."""
-    path: list[str | int | None] = []
-    for kind, step, value in json_events(text):
-        if kind == CLOSE:
-            path.pop()
-        elif kind == OPEN:
-            path.append(step)
-        else:
-            whole = [*path[1:], step] if path else []
-            yield ".".join(p for p in whole if isinstance(p, str)), tuple(p for p in whole if isinstance(p, int)), value
 
+class _Place:
+    """An open object or list: which key its values belong to, and where that key's entries are numbered."""
 
-class _Context:
-    """Where the stream stands: the row that takes the leaves, and whether values here are entries."""
+    __slots__ = ("path", "ordinals", "counts", "key", "listed", "maybe", "outer")
 
-    __slots__ = ("row", "slot", "maybe", "prefix")
+    def __init__(self, path: tuple, ordinals: tuple, counts: dict, key: str | None = None, listed: bool = False, maybe: bool = False, outer: _Place | None = None) -> None:
+        self.path, self.ordinals, self.counts = path, ordinals, counts
+        self.key, self.listed, self.maybe, self.outer = key, listed, maybe, outer
 
-    def __init__(self, row: dict, slot: bool = False, maybe: bool = False, prefix: str = "") -> None:
-        self.row, self.slot, self.maybe, self.prefix = row, slot, maybe, prefix
 
+ENTRY, LIST, VALUE, PACKED = "entry", "list", "value", "packed"
 
-def entity_rows(text: str, levels: Sequence[str], wrappers: Sequence[str] = ()) -> list[dict]:
-    """The rows of all tables of one body: ``level, ordinals, fields, children``.
 
-    Level 0 is the record, level k the k-th name in ``levels``. The entries of a level stand
-    under its key in an entry one level above, at any depth of plain objects: as a list, a lone
-    value, inside a wrapper key, or as JSON text in a string. Nulls, blank strings and empty
-    lists are no entries. Below the last level the same key nests further entries, which count
-    on. ``fields`` holds the scalar leaves by dotted path from the entry, list positions
-    included; an entry that is a scalar has it under an empty name. A key written twice counts
-    twice.
+def triples(text: str, levels: Levels = Levels()) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, object, tuple[str, ...]]]:
+    """``(path, ordinals, kind, value, packed)`` of everything in a JSON text; ValueError where it is none.
+
+    A list stands for its items, at whatever depth of lists, a lone value for itself. Nulls are
+    not there; blank strings are values but no items, their ordinal is 0. A string that holds a
+    JSON list or object comes as one (kind packed, ordinal 0) and also with its content; what is
+    inside carries the paths of such strings in ``packed``. An object is an entry, numbered
+    within its parent; a list tells that its path repeats.
     """
-    rows: list[dict] = [{"level": 0, "ordinals": (), "fields": {}, "children": 0, "parent": None}]
-
-    def entry(owner: dict) -> dict:
-        parent = owner if owner["level"] < len(levels) else owner["parent"]
-        parent["children"] += 1
-        rows.append({"level": parent["level"] + 1, "ordinals": (*parent["ordinals"], parent["children"]), "fields": {}, "children": 0, "parent": parent})
-        return rows[-1]
-
-    def read(source: str, row: dict, slot: bool) -> None:
-        stack: list[_Context] = []
-        for kind, step, value in json_events(source):
-            if kind == CLOSE:
-                done = stack.pop()
-                if done.maybe:  # {} is an entry without fields
-                    entry(done.row)
-                continue
-            at = stack[-1] if stack else _Context(row, slot)
+    yield (), (), ENTRY, None, ()
+    root = _Place((), (), {})
+    yield from _read(text, root, None, levels, ())
+
+
+def _read(text: str, base: _Place, key: str | None, levels: Levels, packed: tuple[str, ...]) -> Iterator[tuple]:
+    stack: list[_Place] = []
+
+    def number(at: _Place, key: str) -> int:
+        name = key if key in levels.names else (*at.path, key)
+        at.counts[name] = n = at.counts.get(name, 0) + 1
+        return n
+
+    def enter(at: _Place, key: str, listed: bool) -> _Place:
+        if key == levels.nested and at.path and at.path[-1] == key and at.outer is not None:
+            at = at.outer
+        n = number(at, key)
+        return _Place((*at.path, key), (*at.ordinals, n), {} if listed else at.counts, outer=at)
+
+    for kind, step, value in json_events(text):
+        if kind == CLOSE:
+            done = stack.pop()
+            if done.maybe and done.key is not None:  # {} is an entry without fields
+                new = enter(done, done.key, done.listed)
+                yield new.path, new.ordinals, ENTRY, None, packed
+            continue
+        if stack:
+            at = stack[-1]
             if at.maybe:
                 at.maybe = False
-                if step in wrappers:
-                    at.slot = True
-                else:
-                    at.row, at.prefix = entry(at.row), ""
-            within = at.slot or (isinstance(step, str) and step == levels[min(at.row["level"], len(levels) - 1)])
-            if within and kind == OPEN:
-                stack.append(_Context(at.row, slot=value == "list", maybe=value == "object"))
-            elif within:
-                if value is None or (isinstance(value, str) and not value.strip()):
-                    continue
-                if isinstance(value, str) and value.lstrip()[0] in "[{" and _is_json(value):
-                    read(value, at.row, True)
-                else:
-                    entry(at.row)["fields"][""] = value
+                if step not in levels.wrappers:
+                    new = enter(at, at.key, at.listed)
+                    yield new.path, new.ordinals, ENTRY, None, packed
+                    new.key = None
+                    stack[-1] = at = new
+            own = at.key if at.key is not None else step if isinstance(step, str) else None
+            listed = at.listed
+        else:
+            at, own, listed = base, key, False
+        if own is None:  # a list at the very top, or the top itself: plain
+            if kind == OPEN:
+                stack.append(_Place(at.path, at.ordinals, at.counts, outer=at.outer))
+            elif value is not None:
+                yield ("",), (number(at, ""),), VALUE, value, packed
+            continue
+        if kind == OPEN and value == "list":
+            stack.append(_Place(at.path, at.ordinals, at.counts, own, True, outer=at.outer))
+            yield (*at.path, own), (*at.ordinals, 0), LIST, None, packed
+        elif kind == OPEN:
+            stack.append(_Place(at.path, at.ordinals, at.counts, own, listed, True, outer=at.outer))
+        elif value is not None:
+            path = (*at.path, own)
+            blank = isinstance(value, str) and not value.strip()
+            if isinstance(value, str) and value.lstrip()[:1] in ("[", "{") and _is_json(value):
+                yield path, (*at.ordinals, 0), PACKED, value, packed
+                inner = _Place(at.path, at.ordinals, at.counts, outer=at.outer)
+                yield from _read(value, inner, own, levels, (*packed, STEP.join(path)))
             else:
-                name = at.prefix + ("" if step is None else str(step))
-                if kind == OPEN:
-                    stack.append(_Context(at.row, prefix="" if step is None else name + "."))
-                else:
-                    at.row["fields"][name] = value
-
-    read(text, rows[0], False)
-    return rows
+                yield path, (*at.ordinals, 0 if blank else number(at, own)), VALUE, value, packed
 
 
 def _is_json(text: str) -> bool:
@@ -180,14 +204,13 @@ def _is_json(text: str) -> bool:
     return True
 
 
-def flatten_records(df: DataFrame, key: str, body: str, levels: Sequence[str], wrappers: Sequence[str] = ()) -> DataFrame:
-    """All tables of all bodies in one pass: ``key, level, ordinals, fields, children``.
+def read_triples(df: DataFrame, key: str, body: str, levels: Levels = Levels()) -> DataFrame:
+    """``uid, key, path, ordinals, kind, value, packed`` of all bodies, written once; ``uid`` tells rows with one key apart.
 
-    ``ordinals`` leads from the record to the entry, so its prefix is the key of the parent.
-    Null, empty and invalid bodies give nothing. Only the two named columns are read. A body is
-    taken as a whole; rows are not gathered.
+    Null, empty and invalid bodies give nothing. Only the two named columns are read. Rows are
+    not gathered: a body's triples come from the task that reads it.
     """
-    columns = [F.col(f"`{key}`").alias("key"), F.col(f"`{body}`").alias("body")]
+    columns = [F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("key"), F.col(f"`{body}`").alias("body")]
     kind = df.schema[key].dataType.simpleString()
     if df.schema[body].dataType.simpleString() != "string":
         raise TypeError(f"{body} is no string column")
@@ -195,80 +218,105 @@ def flatten_records(df: DataFrame, key: str, body: str, levels: Sequence[str], w
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for k, text in zip(batch["key"], batch["body"], strict=True):
+            for uid, k, text in zip(batch["uid"], batch["key"], batch["body"], strict=True):
+                begin = len(out)
                 try:
-                    found = entity_rows(text, levels, wrappers)
+                    for path, ordinals, what, value, packed in triples(text, levels):
+                        out.append((uid, k, STEP.join(path), ",".join(map(str, ordinals)), what, value, "\n".join(packed) or None))
                 except ValueError:
-                    continue
-                for r in found:
-                    out.append((k, r["level"], list(r["ordinals"]), [{"name": a, "value": b} for a, b in r["fields"].items()], r["children"]))
-            yield pd.DataFrame(out, columns=["key", "level", "ordinals", "fields", "children"])
+                    del out[begin:]
+            yield pd.DataFrame(out, columns=["uid", "key", "path", "ordinals", "kind", "value", "packed"])
 
-    schema = f"key {kind}, level int, ordinals array<int>, fields array<struct<name:string,value:string>>, children int"
-    return df.where(F.col(f"`{body}`").isNotNull()).select(columns).mapInPandas(run, schema).withColumnRenamed("key", key)
+    rows = df.where(F.col(f"`{body}`").isNotNull()).select(columns)
+    return cut(rows.mapInPandas(run, f"uid long, key {kind}, path string, ordinals string, kind string, value string, packed string"))
 
 
-def level_table(flat: DataFrame, key: str, level: int, ordinals: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """One flat table: ``key``, one column per ordinal, one per field; absent fields are null."""
+# --- groups of paths --------------------------------------------------------------------------
 
-    def field(path: str) -> Column:
-        return F.get(F.filter("fields", lambda f: f["name"] == path), F.lit(0))["value"]
 
-    numbers = [F.get("ordinals", F.lit(i)).alias(n) for i, n in enumerate(ordinals)]
-    return flat.where(F.col("level") == level).select(key, *numbers, *[field(p).alias(n) for n, p in fields.items()], F.col("children").alias("n_children"))
+@dataclass(frozen=True)
+class Group:
+    """A path's place: the keys that repeat on it, where they stand in it, and the rest as a column."""
 
+    keys: tuple[str, ...]
+    places: tuple[int, ...]
+    column: str
 
-#: The tables of a procurement record: table -> (level, its ordinals, columns by path).
-PROCUREMENT_LEVELS = ("lots", "criterion", "subCriterion")
-PROCUREMENT_WRAPPERS = ("lot",)
-PROCUREMENT_TABLES = {
-    "records": (0, (), {"documents_url": "tenderingProcess.documentsURL", "cpv_type": "cpvType"}),
-    "lots": (1, ("lot_no",), {"sequence_number": "sequenceNumber", "title": "title"}),
-    "criteria": (2, ("lot_no", "criterion_no"), {"name": "winnerCriterionName", "number": "winnerCriterionNumber"}),
-    "sub_criteria": (3, ("lot_no", "criterion_no", "sub_no"), {"name": "winnerCriterionName", "number": "winnerCriterionNumber"}),
-}
 
+def group_paths(seen: Sequence[tuple[str, str]], levels: Levels = Levels()) -> dict[str, Group]:
+    """The group of every path, from the different ``(path, kind)`` of all bodies.
+
+    A key repeats on a path if some body has a list there, or if it is one of ``levels.names``.
+    """
+    listed = {p for p, kind in seen if kind == LIST}
+    out = {}
+    for path in sorted({p for p, _ in seen}):
+        steps = path.split(STEP) if path else []
+        places = [i for i, k in enumerate(steps) if k in levels.names or STEP.join(steps[: i + 1]) in listed]
+        last = places[-1] + 1 if places else 0
+        out[path] = Group(tuple(steps[i] for i in places), tuple(places), ".".join(steps[last:]))
+    return out
 
-def procurement_tables(df: DataFrame, key: str = "record_id", body: str = "body") -> dict[str, DataFrame]:
-    flat = flatten_records(df, key, body, PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
-    return {name: level_table(flat, key, *spec) for name, spec in PROCUREMENT_TABLES.items()}
 
+def grouped(triple: DataFrame, levels: Levels = Levels()) -> tuple[DataFrame, dict[str, Group]]:
+    """``uid, key, group, at, kind, column, value`` (``at``: ordinals of the repeated keys), and the groups.
 
-_POSITION = r"\.([0-9]+)(?=\.|$)"
+    Strings that hold JSON count as their content where their path repeats, else as strings.
+    """
+    # a list inside a string proves nothing about the key of that string
+    kind = F.when((F.col("kind") == LIST) & (F.element_at(F.split("packed", "\n"), -1) == F.col("path")), VALUE).otherwise(F.col("kind"))
+    seen = [(r["path"], r["kind"]) for r in triple.select("path", kind.alias("kind")).distinct().collect()]
+    groups = group_paths(seen, levels)
+    spark = triple.sparkSession
+    listed = [(p, STEP.join(g.keys), list(g.places), g.column, bool(g.keys) and not g.column) for p, g in groups.items()]
+    known = spark.createDataFrame(listed, "path string, group string, places array<int>, column string, item boolean")
+    rows = triple.join(F.broadcast(known), "path")  # as many rows as there are different paths
+    items = [p for p, _, _, _, item in listed if item]
+    opened = F.forall(F.split("packed", "\n"), lambda p: p.isin(items)) if items else F.lit(False)
+    numbers = F.split("ordinals", ",")
+    at = F.transform("places", lambda i: F.get(numbers, i).cast("int"))
+    keep = (F.col("packed").isNull() | opened) & (F.col("kind") != LIST) & ~((F.col("kind") == PACKED) & F.col("item"))
+    rows = rows.where(keep).select("uid", "key", "group", at.alias("at"), "kind", "column", "value")
+    return rows.where(~F.exists("at", lambda n: n == 0)), groups  # a blank is no item
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """``uid, key, group, at, n_children``: each entry of each group once, with how many entries of further groups it holds directly.
+
+    Every entry tells itself and its parent; both are added up per key, combined before the shuffle.
+    """
+    own = rows.where((F.col("kind") == ENTRY) & (F.col("column") == "") | (F.col("kind") != ENTRY) & (F.col("column") == "") & (F.col("group") != "")).select("uid", "key", "group", "at")
+    above = F.when(F.col("group").contains(STEP), F.regexp_replace("group", f"{STEP}[^{STEP}]*$", "")).otherwise(F.lit(""))
+    facts = own.select("uid", "key", "group", "at", F.lit(1).alias("own"), F.lit(0).alias("child"))
+    facts = facts.unionByName(own.where("group <> ''").select("uid", "key", above.alias("group"), F.slice("at", F.lit(1), F.size("at") - 1).alias("at"), F.lit(0).alias("own"), F.lit(1).alias("child")))
+    return facts.groupBy("uid", "key", "group", "at").agg(F.max("own").alias("own"), F.sum("child").cast("int").alias("n_children")).where("own = 1").drop("own")
 
 
-def path_tables(flat: DataFrame, key: str, names: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
-    """Tables with all paths that occur in any body: one for each level, one for each path that repeats inside an entry.
+def path_tables(triple: DataFrame, key: str, levels: Levels = Levels(), names: dict[tuple[str, ...], tuple[str, Sequence[str]]] | None = None) -> dict[str, DataFrame]:
+    """One table for each group of paths: ``key``, the ordinals of its repeated keys, its columns, ``n_children``.
 
-    ``names`` holds the tables of the levels with their ordinals. A table of a repeated path is
-    called ``<table>.<path>``; it has ``item_nos``, its list positions, and ``value`` or its own
-    paths. Where other bodies hold a lone value instead of the list, it is item 1. Nulls and
-    blank strings are no items. Columns are paths with underscores, numbered where two are alike.
-    Only the different paths reach the driver. A key that is a number counts as a position.
+    ``names`` gives groups (tuples of repeated keys) a table name and names of ordinals; others
+    are called by their keys, joined by underscores, with ordinals ``<key>_no``. Columns are
+    paths with underscores, numbered where two are alike; items that are no objects have a
+    column ``value``. A key written twice in one object gives its greatest value.
     """
-    seen = flat.select("level", F.explode("fields.name").alias("path")).withColumn("path", F.regexp_replace("path", _POSITION, "[]")).distinct().orderBy("level", "path").collect()
-    out = {}
-    for level, (name, ordinals) in enumerate(names.items()):
-        paths = [r["path"] for r in seen if r["level"] == level]
-        repeated = sorted({p[: p.rindex("[]")] for p in paths if "[]" in p})
-        plain = [p for p in paths if "[]" not in p and p not in repeated]
-        rows = flat.where(F.col("level") == level)
-        numbers = [F.get("ordinals", F.lit(i)).alias(n) for i, n in enumerate(ordinals)]
-        value = lambda fields, p: F.get(F.filter(fields, lambda f: f["name"] == p), F.lit(0))["value"]
-        titles = _titles(plain, [key, *ordinals, "n_children"])
-        out[name] = rows.select(key, *numbers, *[value("fields", p).alias(titles[p]) for p in plain], F.col("children").alias("n_children"))
-        for base in repeated:
-            below = sorted({p[len(base) + 2 :].removeprefix(".") for p in paths if p.startswith(base + "[]") and "[]" not in p[len(base) + 2 :]} | ({""} if base in paths else set()))
-            # (positions, path below them, value) of what stands under the repeated path
-            form = lambda f: F.regexp_replace(f["name"], _POSITION, "[]")
-            own = F.filter("fields", lambda f: (F.trim(f["value"]) != "") & ((form(f) == base) | form(f).isin([base + "[]" + ("." + b if b else "") for b in below])))
-            at = lambda f: F.when(form(f) == base, F.array(F.lit(1))).otherwise(F.regexp_extract_all(f["name"], F.lit(_POSITION), F.lit(1)).cast("array<int>"))
-            sub = lambda f: F.when(form(f) == base, F.lit("")).otherwise(F.regexp_replace(F.substring(form(f), F.lit(len(base) + 3), F.length(form(f))), r"^\.", ""))
-            items = rows.select(key, "ordinals", F.transform(own, lambda f: F.struct(at(f).alias("at"), sub(f).alias("name"), f["value"].alias("value"))).alias("_f"))
-            items = items.select(key, "ordinals", "_f", F.explode(F.array_distinct("_f.at")).alias("item_nos"))
-            titles = _titles(below, [key, *ordinals, "item_nos"])
-            here = F.filter("_f", lambda f: f["at"] == F.col("item_nos"))
-            out[f"{name}.{base}"] = items.select(key, *numbers, "item_nos", *[value(here, b).alias(titles[b]) for b in below])
+    rows, groups = grouped(triple, levels)
+    rows = cut(rows)
+    counts = entries(rows)
+    columns: dict[tuple[str, ...], set[str]] = {(): set()}
+    for g in groups.values():
+        columns.setdefault(g.keys, set()).add(g.column)
+    valued = {(tuple(r["group"].split(STEP)) if r["group"] else (), r["column"]) for r in rows.where(F.col("kind") != ENTRY).select("group", "column").distinct().collect()}
+    out: dict[str, DataFrame] = {}
+    for keys in sorted(columns):
+        name, ordinals = (names or {}).get(keys, ("_".join(keys) or "record", [f"{k}_no" for k in keys]))
+        own = sorted(c for c in columns[keys] if (keys, c) in valued)
+        titles = _titles(own, [key, *ordinals, "n_children"])
+        group = STEP.join(keys)
+        wide = [F.max(F.when((F.col("kind") != ENTRY) & (F.col("column") == c), F.col("value"))).alias(titles[c]) for c in own]
+        table = rows.where(F.col("group") == group).groupBy("uid", "key", "at").agg(F.count("*").alias("_n"), *wide)
+        numbered = table.join(counts.where(F.col("group") == group).drop("group", "key"), ["uid", "at"])
+        out[name] = numbered.select(F.col("key").alias(key), *[F.get("at", F.lit(i)).alias(n) for i, n in enumerate(ordinals)], *[F.col(f"`{titles[c]}`") for c in own], "n_children")
     return out
 
 
@@ -276,7 +324,7 @@ def _titles(paths: Sequence[str], taken: Sequence[str]) -> dict[str, str]:
     """A column name for each path; names that differ in case only are alike."""
     used, out = {x.lower() for x in taken}, {}
     for p in paths:
-        title = base = p.replace(".", "_") or "value"
+        title = base = re.sub(r"\W", "_", p) or "value"
         k = 1
         while title.lower() in used:
             k += 1
@@ -286,7 +334,25 @@ def _titles(paths: Sequence[str], taken: Sequence[str]) -> dict[str, str]:
     return out
 
 
-def criterion_positions(flat: DataFrame, key: str = "record_id") -> DataFrame:
+#: A procurement record: its levels, and the names of their tables and ordinals.
+PROCUREMENT = Levels(("lots", "criterion", "subCriterion"), ("lot",), "subCriterion")
+PROCUREMENT_TABLES = {
+    (): ("records", []),
+    ("lots",): ("lots", ["lot_no"]),
+    ("lots", "criterion"): ("criteria", ["lot_no", "criterion_no"]),
+    ("lots", "criterion", "subCriterion"): ("sub_criteria", ["lot_no", "criterion_no", "sub_no"]),
+    ("additionalCpvType",): ("additional_codes", ["item_no"]),
+}
+
+
+def procurement_tables(df: DataFrame, key: str = "record_id", body: str = "body") -> dict[str, DataFrame]:
+    return path_tables(read_triples(df, key, body, PROCUREMENT), key, PROCUREMENT, PROCUREMENT_TABLES)
+
+
+def criterion_positions(df: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """``key, lot_no, criterion_no, sub_no`` of each criterion and sub-criterion; what has none shows as 0."""
-    at = [F.coalesce(F.get("ordinals", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("lot_no", "criterion_no", "sub_no"))]
-    return flat.where((F.col("level") >= 2) | (F.col("children") == 0)).select(key, *at)
+    rows, _ = grouped(read_triples(df, key, body, PROCUREMENT), PROCUREMENT)
+    chain = [STEP.join(PROCUREMENT.names[:n]) for n in range(4)]
+    found = entries(rows.where(F.col("group").isin(chain)))
+    at: list[Column] = [F.coalesce(F.get("at", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("lot_no", "criterion_no", "sub_no"))]
+    return found.where((F.size("at") >= 2) | (F.col("n_children") == 0)).select(F.col("key").alias(key), *at)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.compare import canonical_code, canonical_numbers, compare_copies
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_TABLES, PROCUREMENT_WRAPPERS, criterion_positions, flatten_records, path_tables, procurement_tables
+from ledgerloom.operators.nested import criterion_positions, procurement_tables
 from ledgerloom.operators.packed import unpack_values
 from ledgerloom.operators.units import harmonise_weights
-from ledgerloom.session import cut, table
+from ledgerloom.session import table
 
 
 def p1_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,38 +34,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = flatten_records(table(spark, sf_dir, "reference_records"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
-    return criterion_positions(flat)
+    return criterion_positions(table(spark, sf_dir, "reference_records"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack_values(table(spark, sf_dir, "validation_gemma4_e4b"), "row_no").distinct()
 
 
-def _record_table(name: str):  # noqa: ANN202
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return procurement_tables(table(spark, sf_dir, "reference_records"))[name]
-
-    return read
-
+#: query -> (table, its columns: name in the result -> name in the table); a column that no body has is null
+RECORD_TABLES = {
+    "p4_records": ("records", {"record_id": "record_id", "documents_url": "tenderingProcess_documentsURL", "cpv_type": "cpvType", "buyer_title": "tenderingProcess_buyer_title", "buyer_town": "tenderingProcess_buyer_address_town", "buyer_zone": "tenderingProcess_buyer_address_zone", "n_children": "n_children"}),
+    "p4_lots": ("lots", {"record_id": "record_id", "lot_no": "lot_no", "sequence_number": "sequenceNumber", "title": "title", "n_children": "n_children"}),
+    "p4_criteria": ("criteria", {"record_id": "record_id", "lot_no": "lot_no", "criterion_no": "criterion_no", "name": "winnerCriterionName", "number": "winnerCriterionNumber", "n_children": "n_children"}),
+    "p4_sub_criteria": ("sub_criteria", {"record_id": "record_id", "lot_no": "lot_no", "criterion_no": "criterion_no", "sub_no": "sub_no", "name": "winnerCriterionName", "number": "winnerCriterionNumber", "n_children": "n_children"}),
+    "p4_additional_codes": ("additional_codes", {"record_id": "record_id", "item_no": "item_no", "value": "value"}),
+}
 
-#: All paths of the bodies as tables: query -> (table of ``path_tables``, columns where no body has it).
-PATH_TABLES = {
-    "p4_record_fields": ("records", ""),
-    "p4_lot_fields": ("lots", ""),
-    "p4_criterion_fields": ("criteria", ""),
-    "p4_sub_criterion_fields": ("sub_criteria", ""),
-    "p4_additional_codes": ("records.additionalCpvType", "item_nos array<int>, value string"),
-}
 
+def record_table(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    name, columns = RECORD_TABLES[query]
+    found = procurement_tables(table(spark, sf_dir, "reference_records")).get(name)
+    if found is None:
+        numbers = ("lot_no", "criterion_no", "sub_no", "item_no", "n_children")
+        return spark.createDataFrame([], ", ".join(f"{c} {'long' if c == 'record_id' else 'int' if c in numbers else 'string'}" for c in columns))
+    return found.select(*[(F.col(c) if c in found.columns else F.lit(None).cast("string")).alias(n) for n, c in columns.items()])
 
-def _path_table(name: str, columns: str):  # noqa: ANN202
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        flat = cut(flatten_records(table(spark, sf_dir, "reference_records"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS))
-        found = path_tables(flat, "record_id", {n: spec[1] for n, spec in PROCUREMENT_TABLES.items()})
-        return found[name] if name in found else spark.createDataFrame([], f"record_id long, {columns}")
 
-    return read
+def _record_table(query: str):  # noqa: ANN202
+    return lambda spark, sf_dir: record_table(spark, sf_dir, query)
 
 
 def queries() -> dict:
@@ -74,8 +70,7 @@ def queries() -> dict:
         "p1_weights": p1_weights,
         "p3_found": p3_found,
         "p4_found": p4_found,
-        **{f"p4_{name}": _record_table(name) for name in ("records", "lots", "criteria", "sub_criteria")},
-        **{q: _path_table(*spec) for q, spec in PATH_TABLES.items()},
+        **{q: _record_table(q) for q in RECORD_TABLES},
         "p5_found": p5_found,
     }
 
@@ -117,11 +112,14 @@ ORACLES = {
 }
 
 _P4_ENTRIES = ORACLES["p4_found"].partition(" SELECT record_id, 0 lot_no")[0]
+_P4_CODES = """, a1 AS (SELECT record_id, j->'$.additionalCpvType' a FROM b), a2 AS (SELECT record_id, CASE WHEN json_type(a) = 'ARRAY' THEN from_json(a, '["VARCHAR"]') WHEN json_type(a) = 'VARCHAR' THEN [a->>'$'] ELSE [] END v FROM a1),
+ a3 AS (SELECT record_id, list_filter(v, lambda x: trim(x) <> '') v FROM a2)"""
 ORACLES |= {
     "p4_lots": f"""{_P4_ENTRIES} SELECT l.record_id, l.lot_no, lot->>'$.sequenceNumber' sequence_number, lot->>'$.title' title, len(c)::INT n_children FROM lots l JOIN c2 USING (record_id, lot_no)""",
     "p4_criteria": f"""{_P4_ENTRIES} SELECT k.record_id, k.lot_no, k.criterion_no, k->>'$.winnerCriterionName' AS name, k->>'$.winnerCriterionNumber' AS number, len(s)::INT n_children FROM crit k JOIN s2 USING (record_id, lot_no, criterion_no)""".replace("k->>", "k.k->>"),
     "p4_sub_criteria": f"""{_P4_ENTRIES}, s3 AS (SELECT record_id, lot_no, criterion_no, unnest(s) x, generate_subscripts(s, 1)::INT sub_no FROM s2) SELECT record_id, lot_no, criterion_no, sub_no, x->>'$.winnerCriterionName' AS name, x->>'$.winnerCriterionNumber' AS number, 0 n_children FROM s3""",
-    "p4_records": f"""{_P4_ENTRIES} SELECT record_id, j->>'$.tenderingProcess.documentsURL' documents_url, j->>'$.cpvType' cpv_type, len(l)::INT n_children FROM b JOIN l3 USING (record_id)""",
+    "p4_records": f"""{_P4_ENTRIES}{_P4_CODES} SELECT record_id, j->>'$.tenderingProcess.documentsURL' documents_url, j->>'$.cpvType' cpv_type, j->>'$.tenderingProcess.buyer.title' buyer_title, j->>'$.tenderingProcess.buyer.address.town' buyer_town, j->>'$.tenderingProcess.buyer.address.zone' buyer_zone, (len(l) + len(v))::INT n_children FROM b JOIN l3 USING (record_id) JOIN a3 USING (record_id)""",
+    "p4_additional_codes": f"""{_P4_ENTRIES}{_P4_CODES} SELECT record_id, generate_subscripts(v, 1)::INT item_no, unnest(v) AS "value" FROM a3""",
     "p5_found": r"""WITH c AS (SELECT DISTINCT row_no, unnest(['additional_cpv_extracted', 'weights_truth', 'criteria_names_extracted']) f, unnest([additional_cpv_extracted, weights_truth, criteria_names_extracted]) x FROM validation_gemma4_e4b),
  n AS (SELECT *, list_transform(regexp_extract_all(x, '[\s\p{Z}]*(?:,[\s\p{Z}]*)?"(?:[^"]|"")*"|[^;|\n\r\t"][^;|\n\r\t]*'), lambda v: regexp_replace(v, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) k FROM c WHERE x IS NOT NULL),
  t AS (SELECT row_no, f, CASE WHEN starts_with(trim(x), '[') AND json_valid(trim(x)) THEN from_json(trim(x)::JSON, '["VARCHAR"]') WHEN f = 'additional_cpv_extracted' THEN regexp_extract_all(x, '[0-9]{8}[‐‑–-][0-9]') WHEN f = 'weights_truth' THEN regexp_extract_all(x, '[0-9]+(?:[.,][0-9]+)?(?:[\s\p{Z}]*%)?')

@@ -15,7 +15,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import lots as lot_ops
 from ledgerloom.operators import reconcile, reports, runs, scoring, shapes, spans, standards
 from ledgerloom.operators.contain import contained
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, flatten_records, level_table
+from ledgerloom.operators.nested import procurement_tables
 from ledgerloom.operators.skew import skew_rank
 from ledgerloom.session import cut, table
 from ledgerloom.sources.records import duplicate_audit
@@ -695,11 +695,14 @@ def scheme_aliases(spark: SparkSession, d: str) -> DataFrame:
 def _true_criteria(spark: SparkSession, d: str) -> DataFrame:
     """``record_id, lot_no, criterion_no, eis_id, name, number, lot`` of all records of each procurement; equal deliveries of a record count once."""
     records = table(spark, d, "reference_records")
-    flat = cut(flatten_records(records, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS))
-    lots = level_table(flat, "record_id", 1, ("lot_no",), {"lot": "sequenceNumber"})
-    crit = level_table(flat, "record_id", 2, ("lot_no", "criterion_no"), {"name": "winnerCriterionName", "number": "winnerCriterionNumber"})
-    kept = lot_ops.distinct_records(records, flat, "eis_id", "record_id")
-    return crit.drop("n_children").join(lots.drop("n_children"), ["record_id", "lot_no"]).join(kept, "record_id")
+    tables = procurement_tables(records)
+    column = lambda t, c: F.col(c) if c in t.columns else F.lit(None).cast("string")
+    lots = tables.get("lots", spark.createDataFrame([], "record_id long, lot_no int"))
+    crit = tables.get("criteria", spark.createDataFrame([], "record_id long, lot_no int, criterion_no int"))
+    lots = lots.select("record_id", "lot_no", column(lots, "sequenceNumber").alias("lot"))
+    crit = crit.select("record_id", "lot_no", "criterion_no", column(crit, "winnerCriterionName").alias("name"), column(crit, "winnerCriterionNumber").alias("number"))
+    kept = lot_ops.distinct_records(records, list(tables.values()), "eis_id", "record_id")
+    return crit.join(lots, ["record_id", "lot_no"]).join(kept, "record_id")
 
 
 @query()

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ledgerloom.operators.nested import PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS, criterion_positions, entity_rows, flatten_records, json_events, path_tables, procurement_tables, triples
+from ledgerloom.operators.nested import PROCUREMENT, STEP, Levels, criterion_positions, group_paths, json_events, path_tables, procurement_tables, read_triples, triples
 from ledgerloom.plans.problems import queries
 
 
@@ -44,43 +44,65 @@ def test_events_rebuild_the_value():
         assert root[0] == text(value)
 
 
+def short(text, levels=Levels()):
+    return [(".".join(p), o, k, v) for p, o, k, v, _ in triples(text, levels) if k != "entry"]
+
+
 def test_deep_nesting_and_triples():
     assert sum(1 for _ in json_events("[" * 50_000 + "]" * 50_000)) == 100_000
-    assert list(triples('{"a":[{"b":1},{"b":[2,3]}]}')) == [("a.b", (1,), "1"), ("a.b", (2, 1), "2"), ("a.b", (2, 2), "3")]
+    assert short('{"a":[{"b":1},{"b":[2,3]}]}') == [("a", (0,), "list", None), ("a.b", (1, 1), "value", "1"), ("a.b", (2, 0), "list", None), ("a.b", (2, 1), "value", "2"), ("a.b", (2, 2), "value", "3")]
+    assert short('{"a":["x",""," ",null,"y"],"b":null,"c":""}') == [("a", (0,), "list", None), ("a", (1,), "value", "x"), ("a", (0,), "value", ""), ("a", (0,), "value", " "), ("a", (2,), "value", "y"), ("c", (0,), "value", "")]
+    with pytest.raises(ValueError):
+        list(triples('{"a":1'))
+
+
+def test_groups_come_from_the_paths():
+    j = lambda *keys: STEP.join(keys)
+    seen = [("", "entry"), (j("a", "b"), "list"), (j("a", "b", "c"), "value"), (j("a", "d"), "value"), (j("x", "lots", "t", "u"), "value")]
+    groups = {p.replace(STEP, "."): (g.keys, g.places, g.column) for p, g in group_paths(seen, Levels(("lots",))).items()}
+    assert groups == {"": ((), (), ""), "a.b": (("b",), (1,), ""), "a.b.c": (("b",), (1,), "c"), "a.d": ((), (), "a.d"), "x.lots.t.u": (("lots",), (1,), "t.u")}
+
+
+def positions(spark, bodies):
+    df = spark.createDataFrame([(i, json.dumps(b) if not isinstance(b, str) else b) for i, b in enumerate(bodies)], "record_id long, body string")
+    out = {i: [] for i in range(len(bodies))}
+    for r in criterion_positions(df).collect():
+        out[r["record_id"]].append(tuple(r)[1:])
+    return {i: sorted(v) for i, v in out.items()}
 
 
-def test_wrappings():
-    body = {"tenderingProcess": {"lots": {"lot": [{"criterion": {"winnerCriterionName": "A", "subCriterion": [{"x": 1}, {"x": 2}]}}, {}, {"criterion": []}]}}, "cpvType": "1"}
-    rows = [(r["level"], r["ordinals"], r["children"]) for r in entity_rows(json.dumps(body), PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)]
-    assert rows == [(0, (), 3), (1, (1,), 1), (2, (1, 1), 2), (3, (1, 1, 1), 0), (3, (1, 1, 2), 0), (1, (2,), 0), (1, (3,), 0)]
-    text = json.dumps({"lots": json.dumps([{"criterion": [{"a": 1}]}])})
-    assert [r["ordinals"] for r in entity_rows(text, PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)] == [(), (1,), (1, 1)]
-    assert [r["level"] for r in entity_rows('{"lots": null}', PROCUREMENT_LEVELS)] == [0]
-    assert entity_rows('{"lots": ["x"]}', PROCUREMENT_LEVELS)[1]["fields"] == {"": "x"}
+def test_wrappings(spark):
+    lots = [{"criterion": {"winnerCriterionName": "A", "subCriterion": [{"x": 1}, {"x": 2}]}}, {}, {"criterion": []}]
+    want = [(1, 1, 0), (1, 1, 1), (1, 1, 2), (2, 0, 0), (3, 0, 0)]
+    forms = [{"lots": lots}, {"tenderingProcess": {"lots": {"lot": lots}}}, {"lots": json.dumps(lots)}, {"lots": json.dumps({"lot": lots})}, {"lots": [lots[0], None, [lots[1]], lots[2]]}, {"lots": lots[:1], "tenderingProcess": {"lots": lots[1:]}}]
+    got = positions(spark, [*forms, {"lots": None}, {"lots": []}, {}, "[]", "5", "{", "", {"lots": {}}, {"lots": ["x", " "]}, {"lots": {"lot": {"criterion": {}}}}, {"lots": {"criterion": {"subCriterion": {"subCriterion": [{}, {}]}}}}])
+    assert all(got[i] == want for i in range(len(forms)))
+    assert [got[i] for i in range(6, 17)] == [[(0, 0, 0)]] * 5 + [[], [], [(1, 0, 0)], [(1, 0, 0)], [(1, 1, 0)], [(1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 1, 3)]]
 
 
 def test_tables(spark, rows):
     bodies = [(1, '{"cpvType":"c","lots":[{"title":"t","criterion":[{"winnerCriterionName":"n","subCriterion":{"winnerCriterionName":"s"}}]},{}]}', "k"), (2, "{", "k"), (3, None, "k"), (4, "", "k"), (5, "{}", "k"), (5, "{}", "k")]
     df = spark.createDataFrame(bodies, "record_id long, body string, key string")
     t = procurement_tables(df)
-    assert rows(t["records"], "record_id", "cpv_type", "n_children") == [(1, "c", 2), (5, None, 0), (5, None, 0)]
+    assert rows(t["records"], "record_id", "cpvType", "n_children") == [(1, "c", 2), (5, None, 0), (5, None, 0)]
     assert rows(t["lots"], "record_id", "lot_no", "title") == [(1, 1, "t"), (1, 2, None)]
-    assert rows(t["sub_criteria"], "lot_no", "criterion_no", "sub_no", "name") == [(1, 1, 1, "s")]
-    flat = flatten_records(df, "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
-    assert rows(criterion_positions(flat)) == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 2, 0, 0), (5, 0, 0, 0), (5, 0, 0, 0)]
-    assert procurement_tables(df.limit(0))["lots"].count() == 0
+    assert rows(t["sub_criteria"], "lot_no", "criterion_no", "sub_no", "winnerCriterionName") == [(1, 1, 1, "s")]
+    assert rows(criterion_positions(df)) == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 2, 0, 0), (5, 0, 0, 0), (5, 0, 0, 0)]
+    assert all(t.count() == 0 for t in procurement_tables(df.limit(0)).values()) and criterion_positions(df.limit(0)).count() == 0
 
 
 def test_tables_of_all_paths(spark, rows, tmp_path):
     bodies = [
-        (1, '{"cpvType":"c","additionalCpvType":["a","","b"],"tenderingProcess":{"buyer":{"title":"T","address":{"town":"W"}}},"lots":[{"title":"t","Title":"u","x":[{"p":1,"q":2},{"q":3}]}]}'),
-        (2, '{"additionalCpvType":"z","lots":[{}]}'), (3, '{"additionalCpvType":null}'), (4, "{"),
+        (1, '{"cpvType":"c","additionalCpvType":["a","","b"],"tenderingProcess":{"buyer":{"title":"T","address":{"town":"W"}}},"lots":[{"title":"t","Title":"u","x":[{"p":1,"q":2},{"q":3}],"note":"[1]"}]}'),
+        (2, '{"additionalCpvType":"z","lots":[{}]}'), (3, '{"additionalCpvType":null}'), (4, "{"), (5, '{"lots":"[{\\"title\\":\\"in a string\\",\\"x\\":{\\"p\\":4}}]"}'),
     ]
     spark.createDataFrame(bodies, "record_id long, body string").write.parquet(f"{tmp_path}/reference_records.parquet")
     q = queries()
-    assert rows(q["p4_additional_codes"](spark, str(tmp_path)), "record_id", "item_nos", "value") == [(1, [1], "a"), (1, [3], "b"), (2, [1], "z")]
-    assert rows(q["p4_record_fields"](spark, str(tmp_path)), "record_id", "cpvType", "tenderingProcess_buyer_title", "tenderingProcess_buyer_address_town") == [(1, "c", "T", "W"), (2, None, None, None), (3, None, None, None)]
-    assert rows(q["p4_lot_fields"](spark, str(tmp_path)), "record_id", "lot_no", "Title", "title_2") == [(1, 1, "u", "t"), (2, 1, None, None)]
-    flat = flatten_records(spark.createDataFrame(bodies, "record_id long, body string"), "record_id", "body", PROCUREMENT_LEVELS, PROCUREMENT_WRAPPERS)
-    t = path_tables(flat, "record_id", {"records": (), "lots": ("lot_no",)})
-    assert rows(t["lots.x"], "record_id", "lot_no", "item_nos", "p", "q") == [(1, 1, [1], "1", "2"), (1, 1, [2], None, "3")]
+    assert rows(q["p4_additional_codes"](spark, str(tmp_path)), "record_id", "item_no", "value") == [(1, 1, "a"), (1, 2, "b"), (2, 1, "z")]
+    assert rows(q["p4_records"](spark, str(tmp_path)), "record_id", "cpv_type", "buyer_title", "buyer_town", "buyer_zone") == [(1, "c", "T", "W", None), (2, None, None, None, None), (3, None, None, None, None), (5, None, None, None, None)]
+    assert rows(q["p4_sub_criteria"](spark, str(tmp_path))) == []
+    df = spark.createDataFrame(bodies, "record_id long, body string")
+    t = path_tables(read_triples(df, "record_id", "body", PROCUREMENT), "record_id", PROCUREMENT)
+    assert sorted(t) == ["additionalCpvType", "lots", "lots_x", "record"]
+    assert rows(t["lots"], "record_id", "lots_no", "Title", "note", "title_2", "n_children") == [(1, 1, "u", "[1]", "t", 2), (2, 1, None, None, None, 0), (5, 1, None, None, "in a string", 1)]
+    assert rows(t["lots_x"], "record_id", "lots_no", "x_no", "p", "q") == [(1, 1, 1, "1", "2"), (1, 1, 2, None, "3"), (5, 1, 1, "4", None)]
