@@ -1,10 +1,11 @@
 """One spelling for text that looks the same: widths, accents, blanks, invisible and look-alike characters.
 
-Three steps over a text, no transducer of clusters: single characters are replaced by a table,
-codes get plain digits and hyphens, and words are judged whole. The mapping is built by
-rule from the character names and checked for conflicts: no source has two targets, no target is
-a source. Look-alikes are decided by the word around them: a word becomes regular in the script
-that all its characters can be read in; words wholly of another script stay.
+A transducer over grapheme clusters, compiled once: a table gives every irregular cluster (a
+letter with its combining accents, a blank, an invisible character) its reading in each script,
+composed beforehand and checked for conflicts. One pass from left to right takes the longest
+cluster that the table knows. What a look-alike stands for depends on the rest of its word, so
+the output of a word is held back until its end: it is written in the one script in which all
+its clusters can be read, or as it stood. Codes get plain digits and hyphens in the same pass.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,95 +26,210 @@ DASHES = "‐‑‒–—―−﹘﹣－"
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTYXaesijopcyxdhqw", strict=True))
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι", "ABEZHIKMNOPTYXovi", strict=True))
 DIGIT_LOOKS = dict(zip("ОоΟοЗІӀΙ", "00003111", strict=True))
+ARMENIAN_AS_LATIN = dict(zip("հոսօցյՕՏԼՍ", "hnuogjOSLU", strict=True))
+ALWAYS_LATIN = {"\u212a": "K", "\u0261": "g"}
 # ----------------------------------------------------------------------------------------------
 
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+DROP, BLANK, SIGN, DASH, DIGIT, LETTER = "drop", "blank", "sign", "dash", "digit", "letter"
+
+
+class Reading(NamedTuple):
+    """What a cluster is: its kind, its own script, its regular form in each script, its look as a digit of a code."""
+
+    kind: str
+    script: str
+    forms: dict[str, str]
+    digit: str = ""
+    accented: bool = False
+
 
 def _script(ch: str) -> str:
     return unicodedata.name(ch, "?").split()[0]
 
 
-def build_mapping() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
-    """``(plain, looks)``: replacements that always hold, and per target script the look-alikes.
+def compile_table() -> dict[str, Reading]:
+    """All irregular clusters with their readings; ValueError where the table contradicts itself.
 
-    Raises ValueError where a source has two targets or a target is itself a source.
+    Bases come by rule: letters that look like Latin ones (and back, for words in other
+    scripts), widths and typefaces by their compatibility forms. Every base is then composed
+    with each combining accent that its regular form can take, and so are composed letters
+    whose base is a look-alike.
     """
-    plain: dict[str, str] = {}
+    table: dict[str, Reading] = {}
 
-    def add(table: dict[str, str], source: str, target: str) -> None:
-        if table.setdefault(source, target) != target:
+    def add(source: str, reading: Reading) -> None:
+        old = table.setdefault(source, reading)
+        if any(old.forms.get(k, v) != v for k, v in reading.forms.items()):
             raise ValueError(f"two targets for {source!r}")
+        if old is not reading:
+            table[source] = old._replace(forms=old.forms | reading.forms, digit=old.digit or reading.digit)
 
     for ch in INVISIBLE:
-        add(plain, ch, "")
+        add(ch, Reading(DROP, "", {"": ""}))
     for ch in BLANKS:
-        add(plain, ch, " ")
-    for code in range(0xFF01, 0xFF5F):
-        add(plain, chr(code), chr(code - 0xFEE0))
-    for code in range(0x1D400, 0x1D800):  # letters and digits in other typefaces
-        add(plain, chr(code), t) if (t := unicodedata.normalize("NFKC", chr(code))).isascii() and t.isalnum() else None
-    latin: dict[str, str] = {}
-    for table in (CYRILLIC_AS_LATIN, GREEK_AS_LATIN):
-        for a, b in table.items():
-            add(latin, a, b)
-    looks = {"LATIN": latin}
-    for script, table in (("CYRILLIC", CYRILLIC_AS_LATIN), ("GREEK", GREEK_AS_LATIN)):
-        looks[script] = {b: a for a, b in table.items()}
-    for table in (plain, *looks.values()):
-        if bad := set("".join(table.values())) & set(table):
-            raise ValueError(f"targets that are sources: {bad}")
-    return plain, looks
-
-
-PLAIN, LOOKS = build_mapping()
-#: what a text must hold to be looked at: anything but ASCII and composed Latin letters and common signs
-_SUSPECT = re.compile(f"[{INVISIBLE}{BLANKS}！-～̀-ͯͰ-ԯ\U0001d400-\U0001d7ff]|[0-9]\\s?[{DASHES}]\\s?[0-9]")
-#: what may still be irregular in a word once widths and invisible characters are gone
-_ODD = re.compile("[̀-ͯͰ-ԯ]")
-_WORD = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
-_DIGIT = f"[0-9{''.join(DIGIT_LOOKS)}]"
-_CODE = re.compile(f"(?<![\\w])({_DIGIT}{{8}})([-{DASHES}])({_DIGIT})(?![\\w])")
-_TO_PLAIN = str.maketrans(PLAIN)
-
-
-def regular_word(word: str) -> str:
-    """A word in the one script that all its letters can be read in, with composed accents."""
-    if word.isascii():
-        return word
-    scripts = {_script(c) for c in word if not unicodedata.combining(c)}
-    if len(scripts) > 1:
-        for target in ("LATIN", *sorted(scripts - {"LATIN"})):
-            table = LOOKS.get(target)
-            if table is not None and target in scripts and all(_script(c) == target or c in table or unicodedata.combining(c) for c in word):
-                word = "".join(table.get(c, c) if _script(c) != target else c for c in word)
-                break
-    elif scripts != {"LATIN"} and any(unicodedata.combining(c) for c in word) and all(c in LOOKS["LATIN"] or unicodedata.combining(c) for c in word):
-        word = "".join(LOOKS["LATIN"].get(c, c) for c in word)
-    return unicodedata.normalize("NFC", word) if not word.isascii() else word
-
-
-def _code(m: re.Match) -> str:
-    whole = m[1] + m[3]
-    if not any(c.isascii() and c.isdigit() for c in whole):
-        return m[0]
-    read = "".join(DIGIT_LOOKS.get(c, c) for c in whole)
-    return f"{read[:8]}-{read[8]}"
-
-
-def regular_text(text: str) -> str:
-    """The one consistent form of a text; what looks different or is of another script stays."""
-    if not _SUSPECT.search(text):
-        return text
-    text = text.translate(_TO_PLAIN)
-    text = _CODE.sub(_code, text)
-    return _WORD.sub(lambda m: regular_word(m[0]), text) if _ODD.search(text) else text
-
-
-def regular_items(states: DataFrame, state_id: str = "state_id", text: str = "documents_text", candidates: str = "candidates") -> DataFrame:
+        add(ch, Reading(BLANK, "", {"": " "}))
+    for ch in DASHES:
+        add(ch, Reading(DASH, "", {"": ch if ch != "\uff0d" else "-"}))
+    letters: dict[str, dict[str, str]] = {}
+    for source in (CYRILLIC_AS_LATIN, GREEK_AS_LATIN, ARMENIAN_AS_LATIN):
+        for a, b in source.items():
+            letters.setdefault(a, {})["LATIN"] = b
+            if source is not ARMENIAN_AS_LATIN:
+                letters.setdefault(b, {})[_script(a)] = a
+    for a, b in ALWAYS_LATIN.items():
+        letters[a] = {**letters.get(b, {}), "LATIN": b}
+    for code in (*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)):
+        a, b = chr(code), unicodedata.normalize("NFKC", chr(code))
+        if len(b) == 1 and b.isascii() and not (code >= 0x1D400 and not b.isalnum()):
+            if b.isalpha():
+                letters[a] = {**letters.get(b, {}), "LATIN": b}
+            elif b.isdigit():
+                add(a, Reading(DIGIT, "", {"": b}, b))
+            elif a not in DASHES:
+                add(a, Reading(SIGN, "", {"": b}))
+    for a, forms in list(letters.items()):
+        own = "LATIN" if a in ALWAYS_LATIN or ord(a) >= 0xFF00 else _script(a)
+        forms = {own: a, **forms} if own != "LATIN" or a.isascii() else forms
+        letters[a] = forms
+        add(a, Reading(LETTER, own, forms, DIGIT_LOOKS.get(a, "")))
+    takes: dict[str, set[str]] = {}  # the accents that each letter is composed with
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2:
+            takes.setdefault(parts[0], set()).add(parts[1])
+    bases = {**letters, **{c: {"LATIN": c} for c in map(chr, range(0x41, 0x7B)) if c.isalpha() and c not in letters}}
+    for a, forms in bases.items():
+        own = table[a].script if a in table else "LATIN"
+        for mark in sorted(set().union(*(takes.get(v, ()) for v in forms.values()))):
+            composed = {k: unicodedata.normalize("NFC", v + mark) for k, v in forms.items()}
+            if mark in MARKS:
+                add(a + mark, Reading(LETTER, own, composed, accented=True))
+                whole = unicodedata.normalize("NFC", a + mark)
+                if len(whole) == 1 and own != "LATIN":
+                    add(whole, Reading(LETTER, own, {own: whole, **{k: v for k, v in composed.items() if k != own}}))
+    check(table)
+    return table
+
+
+def check(table: dict[str, Reading]) -> None:
+    """ValueError where a regular form is itself irregular, or a longer cluster disagrees with a shorter one and its accents."""
+    for source, r in table.items():
+        for script, form in r.forms.items():
+            if r.kind == LETTER:
+                again = table.get(form)
+                if again is not None and (again.script != script or again.forms.get(script, form) != form):
+                    raise ValueError(f"the form {form!r} of {source!r} isn't regular")
+                for k in range(1, len(source)):
+                    short = table.get(source[:k])
+                    if short is not None and script in short.forms and unicodedata.normalize("NFC", short.forms[script] + source[k:]) != form:
+                        raise ValueError(f"{source!r} disagrees with {source[:k]!r}")
+            elif form and form in table and table[form].forms.get("") != form:
+                raise ValueError(f"the form {form!r} of {source!r} isn't regular")
+
+
+def _class(chars: set[str]) -> str:
+    """A character class written in ranges: listed one by one, characters beyond the first plane make it slow."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out) + "]"
+
+
+class Transducer:
+    """The compiled table: one pass over a text, longest cluster first, words held back until their end."""
+
+    def __init__(self, table: dict[str, Reading]) -> None:
+        self.table = table
+        self.kept: dict[str, Reading] = {}
+        single = {k for k, r in table.items() if len(k) == 1 and not k.isascii() and not (r.kind == DASH and k in DASHES[:-1])}
+        dashes = "".join(DASHES)
+        self.suspect = re.compile(f"{_class(single | set(MARKS) | set(map(chr, range(0x370, 0x530))))}|[0-9][{INVISIBLE}]*[{dashes}]")
+        join = f"{MARKS}{INVISIBLE}"
+        self.cluster = re.compile(f"[{INVISIBLE}]|[^\\W_][{join}]*|.", re.DOTALL)
+        self.run = re.compile(f"(?:[\\w{join}]|[-{dashes}](?=[{join}]*[^\\W_]))+|.", re.DOTALL)
+        self.code = re.compile("(?<![dlw])[dl]{8}-[dl](?![dlw])")
+
+    def read(self, cluster: str) -> Reading:
+        """The reading of a letter or digit with what is joined to it: the longest part that the table knows, then the accents left."""
+        found = self.table.get(cluster) or self.kept.get(cluster)
+        if found is None:
+            plain = "".join(c for c in cluster if c not in INVISIBLE)
+            found = self.table.get(plain)
+            for k in range(len(plain) - 1, 0, -1) if found is None else ():
+                if (short := self.table.get(plain[:k])) is not None:
+                    rest = plain[k:]
+                    found = short._replace(forms={s: unicodedata.normalize("NFC", f + rest) for s, f in short.forms.items()}, digit="", accented=bool(rest) or short.accented)
+                    break
+            if found is None:
+                c = plain[:1]
+                script = _script(c) if c else ""
+                whole = unicodedata.normalize("NFC", plain) if script in ("LATIN", "CYRILLIC", "GREEK") else plain
+                kind = DROP if not c else LETTER if c.isalpha() else DIGIT if c.isdecimal() else SIGN
+                found = Reading(kind, script, {script: whole}, c if c.isascii() and c.isdigit() else "", len(plain) > 1)
+            if len(self.kept) < 100_000:
+                self.kept[cluster] = found
+        return found
+
+    def __call__(self, text: str) -> str:
+        if not self.suspect.search(text):
+            return text
+        return self.run.sub(self._run, text)
+
+    def _run(self, m: re.Match) -> str:
+        whole = m[0]
+        if len(whole) == 1 and not whole.isalnum():
+            r = self.table.get(whole)
+            return whole if r is None or r.kind == DASH and whole in DASHES[:-1] else r.forms[""]
+        if not self.suspect.search(whole):
+            return whole
+        readings: list[tuple[str, Reading]] = []
+        for c in self.cluster.findall(whole):
+            r = self.read(c)
+            if r.kind != DROP:
+                readings.append((c, r))
+        kinds = "".join("-" if r.kind == DASH or c == "-" else "d" if r.digit and r.kind == DIGIT else "l" if r.digit else "w" for c, r in readings)
+        codes: dict[int, str] = {}
+        for found in self.code.finditer(kinds):
+            if "d" in found[0]:
+                codes |= {i: "-" if kinds[i] == "-" else readings[i][1].digit for i in range(*found.span())}
+        out: list[str] = []
+        word: list[Reading] = []
+        for i, (c, r) in enumerate(readings):
+            if i not in codes and r.kind == LETTER:
+                word.append(r)
+                continue
+            out += self._word(word)
+            word = []
+            out.append(codes[i] if i in codes else r.forms.get(r.script, c))
+        return "".join(out + self._word(word))
+
+    @staticmethod
+    def _word(word: list[Reading]) -> list[str]:
+        """A word in the one script that all its clusters can be read in; a lone foreign one only if it carries accents that its script doesn't write."""
+        scripts = {r.script for r in word}
+        target = None
+        if len(scripts) > 1:
+            target = next((s for s in ("LATIN", *sorted(scripts - {"LATIN"})) if s in scripts and all(s in r.forms for r in word)), None)
+        elif word and scripts != {"LATIN"} and any(r.accented for r in word) and all("LATIN" in r.forms for r in word):
+            target = "LATIN"
+        return [r.forms[target if target is not None else r.script] for r in word]
+
+
+TABLE = compile_table()
+regular_text = Transducer(TABLE)
+regular_text.__doc__ = "The one consistent form of a text; what looks different or is of another script stays."
+
+
+def regular_items(states: DataFrame, state_id: str = "state_id", text: str = "documents_text", candidates: str = "candidates", changed_only: bool = False) -> DataFrame:
     """``state_id, field_name, item_no, plain_text, changed`` for every candidate code and line.
 
     Items count from 1 in the order given, blank ones included. Null texts, candidate lists and
     codes have no items; a null code keeps its place. Re-delivered states give the same rows
-    again. Only the named columns are read.
+    again. Only the named columns are read. With ``changed_only`` regular items don't come out.
     """
     codes = F.transform(F.col(candidates), lambda c: c["code"])
     rows = states.select(F.col(state_id).alias("id"), F.col(text).alias("text"), codes.alias("codes"))
@@ -126,11 +243,13 @@ def regular_items(states: DataFrame, state_id: str = "state_id", text: str = "do
                     for n, code in enumerate(listed, 1):
                         if code is not None:
                             new = regular_text(code)
-                            out.append((i, "candidates", n, new, new != code))
+                            if new != code or not changed_only:
+                                out.append((i, "candidates", n, new, new != code))
                 if whole is not None:
                     for n, line in enumerate(whole.split("\n"), 1):
                         new = regular_text(line)
-                        out.append((i, "documents_text", n, new, new != line))
+                        if new != line or not changed_only:
+                            out.append((i, "documents_text", n, new, new != line))
             yield pd.DataFrame(out, columns=["id", "field_name", "item_no", "plain_text", "changed"])
 
     schema = f"id {kind}, field_name string, item_no int, plain_text string, changed boolean"

@@ -33,8 +33,7 @@ def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = regular_items(table(spark, sf_dir, "run_states"))
-    return items.where("changed").drop("changed").distinct()
+    return regular_items(table(spark, sf_dir, "run_states"), changed_only=True).drop("changed").distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
