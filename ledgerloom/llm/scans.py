@@ -2,16 +2,20 @@
 
 Three averaged perceptrons, all trained here from the scans themselves:
 
-* a character editor, which predicts for every character of a word to keep it, delete it or
-  replace it (by one or two characters, so it inserts too). Its examples are pairs of a rare
-  word and a much more frequent one that differ in one span of at most two characters; only
-  spans that many pairs share are confusions.
+* a character editor, which predicts for every character of a word to keep it, delete it,
+  replace it (by one or two characters) or insert a lost one before it. Its examples are pairs
+  of a rare word and a much more frequent one that differ in one span of at most two characters;
+  only spans that many pairs share are confusions.
 * a line-join model, which tells a word broken at the line's end from a word's own hyphen.
 * a furniture model, which tells running headers and footers by shape and position on the page.
   Its examples are lines that the pages of a file repeat at their edges.
 
-Counts cover all pages; what is broadcast is the lexicon (at most ``LEXICON`` words) and the
-weights. An edit counts only if it leads to a much more frequent word (the exact check).
+Counts cover all pages. Every different word is judged once, with its exact count, in a
+distributed pass; the repairs it finds reach the pages by broadcast while they are few (checked)
+and by a join beyond that, with the same result. An edit counts only if it leads to a much more
+frequent word (the exact check) that is established: it makes up at least 1 / SHARE of all
+words, so at most SHARE words are ever broadcast, whatever the size. A word is searched with at
+most three confusions at once and a beam of 12 readings.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ from ledgerloom.llm.perceptron import AveragedPerceptron
 from ledgerloom.operators.skew import hot_join
 from ledgerloom.session import cut
 
-LEXICON = 200_000  # most frequent words kept for look-ups
+SHARE = 2_000_000  # an established word makes up at least one in so many
+PREFIX_SHARE = 50_000  # the same for words whose beginnings and ends are known
+REPAIRS = 500_000  # repairs that are broadcast; more are joined
 TRAIN_WORDS = 20_000  # most frequent words used to find confusions
 TRAIN_LINES = 20_000  # lines used to train the furniture model
 RATIO = 8  # a word is a misreading only of a word at least so many times as frequent
@@ -42,7 +48,8 @@ ZONE = 2  # written lines at either edge of a page where furniture may stand
 # --- fixed values -----------------------------------------------------------------------------
 BREAK_HYPHENS = "-‐­¬‑"
 SOURCE_LINE = "Source file: "
-DIGIT_LOOKALIKES = "lIOoSBZzbgqi"
+DIGIT_LOOKALIKES = dict(zip("lIOoSBZzbgqi", "110058226991", strict=True))
+LETTER_LOOKALIKES = dict(zip("0123456789", "oizeasbtbg", strict=True))
 PAGE_WORDS = r"page|lpp\.?|lapa|seite|pag\."
 OF_WORDS = r"of|no|von|/"
 # ----------------------------------------------------------------------------------------------
@@ -52,10 +59,12 @@ _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _D = r"[0-9lIO]{1,4}"
 _PAGE_LINE = re.compile(rf"^\W*(?:(?:{PAGE_WORDS})\W*)?({_D})\W*(?:(?:{OF_WORDS})\W*({_D})\W*)?(?:(?:{PAGE_WORDS})\W*)?$", re.I)
 _BARE = re.compile(r"^[0-9lIO]{1,4}$")
-_NUMBERLIKE = re.compile(rf"^[0-9{DIGIT_LOOKALIKES}]*[0-9][0-9{DIGIT_LOOKALIKES}]*$")
+_LOOKS = "".join(DIGIT_LOOKALIKES)
+_NUMBERLIKE = re.compile(rf"^[0-9{_LOOKS}]*[0-9][0-9{_LOOKS}]*$")
 _LINE_END = re.compile(rf"([^\W_]+)([{BREAK_HYPHENS}])$")
 _LINE_START = re.compile(r"\s*([^\W_]+)")
-_LONE_DIGIT = re.compile(r"[0-9][ .,/][lIOoSB](?![^\W_])|\b[lIOoSB][ .,/][0-9]")
+_LONE_DIGIT = re.compile(r"(?<=[0-9][ .,/])[lIOoSB](?![^\W_])|\b[lIOoSB](?=[ .,/][0-9])")
+_TO_DIGITS, _TO_LETTERS = str.maketrans(DIGIT_LOOKALIKES), str.maketrans(LETTER_LOOKALIKES)
 _HEAD_NUMBER = re.compile(r"\s{2,}\S{1,5}$")
 
 
@@ -85,8 +94,9 @@ def page_number(line: str) -> tuple[int, str] | None:
 def find_confusions(counts: dict[str, int], least: int = 3) -> tuple[list[tuple[str, str, int, str, str]], set[tuple[str, str]]]:
     """Pairs ``(misread, true, position, span read, true span)`` and the spans that recur.
 
-    A pair differs in one span of 1-2 characters on either side, and its true word is RATIO
-    times as frequent. Spans with less than ``least`` different pairs are chance.
+    A pair differs in one span of 1-2 characters on either side, or lacks one character inside
+    the word, and its true word is RATIO times as frequent. Spans with less than ``least``
+    different pairs are chance.
     """
     frequent = [w for w, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:TRAIN_WORDS] if len(w) >= 4 and w.isalpha()]
     frequent = [w for w in frequent if counts[w] >= 2 * RATIO]
@@ -99,12 +109,12 @@ def find_confusions(counts: dict[str, int], least: int = 3) -> tuple[list[tuple[
     for x, n in counts.items():
         if len(x) < 4:
             continue
-        for a in (1, 2):
-            for i in range(len(x) - a + 1):
+        for a in (0, 1, 2):
+            for i in range(1 if a == 0 else 0, len(x) - a + (0 if a == 0 else 1)):
                 for v in holes.get((x[:i], x[i + a :]), ()):
                     if v != x and counts[v] >= RATIO * n:
                         read, true = x[i : i + a], v[i : len(v) - (len(x) - i - a)]
-                        if read[0] != true[0] and read[-1] != true[-1]:  # else a shorter span says the same
+                        if not read and len(true) == 1 and true != x[i - 1] or read and read[0] != true[0] and read[-1] != true[-1]:  # else a shorter span says the same
                             options.setdefault(x, []).append((v, i, read, true))
     support: Counter = Counter()
     for _ in range(2):  # first by the commonest word, then by the commonest span
@@ -138,11 +148,14 @@ def train_editor(counts: dict[str, int]) -> tuple[AveragedPerceptron, set[tuple[
 
     for x, _, i, read, true in pairs:
         ops = ["K"] * len(x)
-        ops[i : i + len(read)] = [f"R{true}", "D"][: len(read)]
+        if read:
+            ops[i : i + len(read)] = [f"R{true}", "D"][: len(read)]
+        else:
+            ops[i] = f"I{true}"
         add(x, ops)
     for w in clean:
         add(w, ["K"] * len(w))
-    classes = ["K", "D", *sorted({f"R{t}" for _, t in spans})]
+    classes = ["K", "D", *sorted({f"R{t}" if r else f"I{t}" for r, t in spans})]
     return AveragedPerceptron(classes).train(examples), spans
 
 
@@ -159,7 +172,7 @@ def edits(word: str, model: AveragedPerceptron, spans: set[tuple[str, str]], bea
             options = [("K", c)]
             if before.startswith("R") and i and (word[i - 1 : i + 1], before[1:]) in spans:
                 options.append(("D", ""))
-            options += [(f"R{t}", t) for r, t in spans if r == c or r == word[i : i + 2]]
+            options += [(f"R{t}", t) if r else (f"I{t}", t + c) for r, t in spans if r == c or r == word[i : i + 2] or not r and i]
             pending = before.startswith("R") and (word[i - 1], before[1:]) not in spans
             for op, text in options:
                 if pending and op != "D":
@@ -175,6 +188,8 @@ def edits(word: str, model: AveragedPerceptron, spans: set[tuple[str, str]], bea
 
 @dataclass
 class ScanModel:
+    """``counts`` holds the established words, ``repairs`` the misread ones with ``(right word, changed positions)``."""
+
     counts: dict[str, int]
     hyphenated: dict[str, int]
     editor: AveragedPerceptron
@@ -184,43 +199,55 @@ class ScanModel:
     lefts: set[str] = field(default_factory=set)
     starts: dict[str, int] = field(default_factory=dict)
     ends: dict[str, int] = field(default_factory=dict)
+    repairs: dict[str, tuple[str, list[int]]] = field(default_factory=dict)
     cache: dict[str, tuple[str, list[int]] | None] = field(default_factory=dict)
 
     def repair(self, word: str, part: str = "whole") -> tuple[str, list[int]] | None:
         """``(right word, changed positions)`` of a misread word, or None. part: whole, start or end of a word."""
+        if part == "whole":
+            mixed = any(c.isdigit() for c in word)
+            if mixed and _NUMBERLIKE.match(word) and len(word) < 12 and sum(c.isdigit() for c in word) * 2 >= len(word):
+                at = [i for i, c in enumerate(word) if not c.isdigit()]
+                return (word.translate(_TO_DIGITS), at) if at else None
+            low = word.lower()
+            return self.repairs.get(low) if len(low) == len(word) else None
         key = f"{part[0]}{word}"
         if key not in self.cache:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            self.cache[key] = self._repair(word, part)
+            table = self.starts if part == "start" else self.ends
+            self.cache[key] = self.judge(word.lower(), table.get(word.lower(), 0), part) if len(word.lower()) == len(word) else None
         return self.cache[key]
 
-    def _repair(self, word: str, part: str) -> tuple[str, list[int]] | None:
+    def judge(self, low: str, n: int, part: str = "whole") -> tuple[str, list[int]] | None:
+        """The repair of a lower-case word (or part) that occurs ``n`` times; under three times counts as never."""
         table = {"whole": self.counts, "start": self.starts, "end": self.ends}[part]
-        mixed = any(c.isdigit() for c in word)
-        if mixed and not any(c.isalpha() for c in word):
-            return None
-        if mixed and _NUMBERLIKE.match(word) and len(word) < 12 and sum(c.isdigit() for c in word) * 2 >= len(word):
-            return word, [i for i, c in enumerate(word) if not c.isdigit()]
-        low = word.lower()
-        if len(low) != len(word) or len(low) < (3 if part == "whole" else 4):
+        mixed = any(c.isdigit() for c in low)
+        if mixed and not any(c.isalpha() for c in low) or len(low) < (3 if part == "whole" else 4):
             return None
-        n = table.get(low, 0)
-        if not mixed and not self._reachable(low, table, max(RATIO * n, RATIO)):
+        n = n if n >= 3 else 0
+        least = max(RATIO * n, RATIO)
+        if not mixed and not self._reachable(low, table, least):
             return None
-        for score, text, at in edits(low, self.editor, self.spans):
-            if table.get(text, 0) >= max(RATIO * n, RATIO) and (n == 0 or part == "whole") and len(text) > 1:
+        readings = edits(low, self.editor, self.spans)
+        for score, text, at in readings:
+            if table.get(text, 0) >= least and (n == 0 or part == "whole") and len(text) > 1:
                 return text, at
             if mixed and score > 0 and not any(c.isdigit() for c in text) and part == "whole":
                 return text, at
-        if mixed and not word[:1].isdigit() and not word[-1:].isdigit() and sum(c.isdigit() for c in word) == 1 and len(word) > 3:
-            return word, [i for i, c in enumerate(word) if c.isdigit()]
+        if mixed and not low[:1].isdigit() and not low[-1:].isdigit() and sum(c.isdigit() for c in low) == 1 and len(low) > 3:
+            at = [i for i, c in enumerate(low) if c.isdigit()]
+            plain = next((t for _, t, where in readings if where == at and not any(c.isdigit() for c in t)), None)
+            return plain if plain is not None else low.translate(_TO_LETTERS), at
         return None
 
     def _reachable(self, word: str, table: dict[str, int], least: int) -> bool:
         """Whether up to three known confusions lead to a word frequent enough; spares most words the editor."""
         options = []
         for read, true in self.spans:
+            if not read:
+                options += [(i, i, true) for i in range(1, len(word))]
+                continue
             i = word.find(read)
             while i >= 0:
                 options.append((i, i + len(read), true))
@@ -276,7 +303,7 @@ def line_features(line: str, place: str) -> list[str]:
     s = line.strip()
     words = re.sub(r"[0-9]+", "#", shape_key(s)).split()
     out = ["b", f"n{min(len(words), 9)}", f"e{s[-1:] if not s[-1:].isalnum() else 'a'}", f"u{s[:1].isupper()}", f"U{s.isupper()}", f"t{bool(_HEAD_NUMBER.search(s))}", f"L{min(len(s) // 10, 9)}"]
-    forms = ["#" if "#" in w else "A" if w in ("sia", "kv", "ak", "mi") else w for w in words]
+    forms = ["#" if any(c.isdigit() for c in w) else "A" if w.isupper() and len(w) <= 4 else w.lower() for w in _HEAD_NUMBER.sub("", s).split()]
     out += [f"w{w}" for w in set(words)] + [f"f{a}_{b}" for a, b in zip(forms, forms[1:], strict=False)]
     out += [f"s{'/' in s}{any('#' in w for w in words)}", f"1{words[0] if words else ''}", f"9{words[-1] if words else ''}"]
     if place:
@@ -453,7 +480,7 @@ def readable(lines: list[str], furniture: set[int], model: ScanModel) -> list[st
         fix = model.repair(m[0])
         return m[0] if fix is None else _cased(fix[0], m[0])
 
-    return [_LEX.sub(right, p) for p in paragraphs if p]
+    return [_LONE_DIGIT.sub(lambda m: m[0].translate(_TO_DIGITS), _LEX.sub(right, p)) for p in paragraphs if p]
 
 
 def _pages(pages: DataFrame, states: DataFrame) -> DataFrame:
@@ -464,18 +491,30 @@ def _pages(pages: DataFrame, states: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull())
 
 
-def _word_counts(rows: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of the most frequent words, and of hyphenated ones, over all lines inside pages."""
+def _broken_words(text: str) -> Iterator[str]:
+    """Words that a line's end may have broken, put together: with the first word of each of the next lines, as furniture may stand between."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    for k, line in enumerate(lines):
+        if line.rstrip()[-1:] in BREAK_HYPHENS and (m := _LINE_END.search(line.rstrip())):
+            for below in lines[k + 1 : k + 6]:
+                if r := _LINE_START.match(below):
+                    yield (m[1] + r[1]).lower()
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """``hyphen, word, n``: all words over all lines inside pages, and hyphenated ones; words that only a line's end makes have n 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens: Counter = Counter()
+            words: Counter = Counter()
             for kind, text in zip(batch["rec_table"], batch["text"], strict=True):
+                whole = regular_text(text)
+                words.update(dict.fromkeys(_broken_words(whole if whole == text else text + "\n" + whole), 0))
                 if kind == "ocr_pages":  # without the edges, where furniture repeats its words
-                    lines = [x for x in text.split("\n") if x.strip()][ZONE:-ZONE]
-                    text = "\n".join(lines)
-                tokens.update(_TOKEN.findall(regular_text(text).lower()))
-            words: Counter = Counter()
+                    tokens.update(dict.fromkeys(_TOKEN.findall(whole.lower()), 0))
+                    whole = regular_text("\n".join([x for x in text.split("\n") if x.strip()][ZONE:-ZONE]))
+                tokens.update(_TOKEN.findall(whole.lower()))
             pairs: Counter = Counter()
             for token, n in tokens.items():
                 parts = token.split("-")
@@ -483,15 +522,19 @@ def _word_counts(rows: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
                     words[w] += n
                 if len(parts) == 2 and parts[0].isalpha() and parts[1].isalpha():
                     pairs[token] += n
-            out = [(False, w, n) for w, n in words.items()] + [(True, w, n) for w, n in pairs.items()]
+            out = [(False, w, n) for w, n in words.items()] + [(True, w, n) for w, n in pairs.items() if n]
             yield pd.DataFrame(out, columns=["hyphen", "word", "n"])
 
-    counted = cut(rows.select("rec_table", "text").mapInPandas(count, "hyphen boolean, word string, n long").groupBy("hyphen", "word").agg(F.sum("n").alias("n")).where("n >= 3"))
-    total = counted.where("NOT hyphen").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = counted.where("NOT hyphen").orderBy(F.desc("n"), "word").limit(LEXICON).toPandas()
+    return cut(rows.select("rec_table", "text").mapInPandas(count, "hyphen boolean, word string, n long").groupBy("hyphen", "word").agg(F.sum("n").alias("n")))
+
+
+def _established(counted: DataFrame) -> tuple[dict[str, int], dict[str, int], int]:
+    """Counts of established words (at most SHARE) and of hyphenated ones (at most 20,000), and of all words."""
+    total = counted.where("NOT hyphen AND n >= 3").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    top = counted.where("NOT hyphen").where(F.col("n") >= max(3, total / SHARE)).select("word", "n").toPandas()
     # a hyphenated word is established when it makes up a share of the text
-    pairs = counted.where("hyphen").where(F.col("n") >= max(3, total // 20_000)).orderBy(F.desc("n"), "word").limit(LEXICON // 10).toPandas()
-    return dict(zip(top["word"], top["n"], strict=True)), dict(zip(pairs["word"], pairs["n"], strict=True))
+    pairs = counted.where("hyphen").where(F.col("n") >= max(3, total // 20_000)).select("word", "n").toPandas()
+    return dict(zip(top["word"], top["n"], strict=True)), dict(zip(pairs["word"], pairs["n"], strict=True)), total
 
 
 def _furniture_examples(rows: DataFrame) -> list[tuple[list[str], str]]:
@@ -527,19 +570,60 @@ def _furniture_examples(rows: DataFrame) -> list[tuple[list[str], str]]:
     return out
 
 
-def train_scan_model(rows: DataFrame) -> ScanModel:
-    counts, hyphenated = _word_counts(rows)
+def train_scan_model(rows: DataFrame) -> tuple[ScanModel, DataFrame]:
+    """The model without repairs, and the repairs of all words: ``word, n, fix, at``."""
+    counted = _word_counts(rows)
+    counts, hyphenated, total = _established(counted)
     editor, spans = train_editor(counts)
     lefts = {w.partition("-")[0] for w in hyphenated}
     examples = _furniture_examples(rows)
     furniture = AveragedPerceptron(["B", "F"]).train(examples, epochs=4) if any(y == "F" for _, y in examples) else None
     model = ScanModel(counts, hyphenated, editor, spans, train_joiner(counts, hyphenated, lefts), furniture, lefts)
-    floor = max(3, sum(counts.values()) // 50_000)
-    for w, n in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:TRAIN_WORDS]:
-        if n >= floor and w.isalpha():
+    for w, n in counts.items():
+        if n >= max(3, total // PREFIX_SHARE) and w.isalpha():
             for k in range(2, len(w)):
                 model.starts[w[:k]] = model.starts.get(w[:k], 0) + n
                 model.ends[w[k:]] = model.ends.get(w[k:], 0) + n
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            out = []
+            for w, n in zip(batch["word"], batch["n"], strict=True):
+                if (fix := model.judge(w, n)) is not None:
+                    out.append((w, max(1, n), *fix))
+            yield pd.DataFrame(out, columns=["word", "n", "fix", "at"])
+
+    words = counted.where("NOT hyphen").select("word", "n").repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return model, cut(words.mapInPandas(judge, "word string, n long, fix string, at array<int>"))
+
+
+def _with_repairs(rows: DataFrame, model: ScanModel, repairs: DataFrame) -> DataFrame:
+    """``rows`` with ``fixes``: null where the model, which is then complete, holds all repairs, else those of the row's own words."""
+    if repairs.limit(REPAIRS + 1).count() <= REPAIRS:
+        model.repairs = {r["word"]: (r["fix"], list(r["at"])) for r in repairs.toLocalIterator()}
+        return rows.withColumn("fixes", F.lit(None).cast("array<struct<word:string,fix:string,at:array<int>>>"))
+    held = cut(rows.withColumn("_uid", F.monotonically_increasing_id()))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for uid, text in zip(batch["_uid"], batch["text"], strict=True):
+                both = text + "\n" + regular_text(text)
+                out += [(uid, w) for w in {w for t in _TOKEN.findall(both.lower()) for w in t.split("-")} | set(_broken_words(both))]
+            yield pd.DataFrame(out, columns=["_uid", "word"])
+
+    own = cut(held.select("_uid", "text").mapInPandas(words, "_uid long, word string"))
+    found = hot_join(own, repairs.select("word", "n", F.struct("word", "fix", "at").alias("x")), "word", "n", own.count())
+    each = found.groupBy("_uid").agg(F.collect_list("x").alias("fixes"))  # as wide as one text
+    return held.join(each, "_uid", "left").drop("_uid").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<struct<word:string,fix:string,at:array<int>>>")))
+
+
+def _use(model: ScanModel, fixes) -> ScanModel:  # noqa: ANN001
+    """The model for one row: its own repairs where they came by join."""
+    if fixes is not None:
+        model.repairs = {x["word"]: (x["fix"], list(map(int, x["at"]))) for x in fixes}
     return model
 
 
@@ -570,17 +654,17 @@ def _laid_out(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001
                 bare.append([] if pd.isna(page) else [{"line_no": i, "distance": n - int(page)} for i, n in b.items()])
             yield batch.assign(page_no=batch["page_no"].astype("Int32"), furniture=furniture, bare=bare)
 
-    fields = ["rec_id", "file", "named", "page_no", "text"]
-    schema = "rec_id long, file long, named boolean, page_no int, text string, furniture array<int>, bare array<struct<line_no:int,distance:int>>"
+    fields = ["rec_id", "file", "named", "page_no", "text", "fixes"]
+    schema = "rec_id long, file long, named boolean, page_no int, text string, fixes array<struct<word:string,fix:string,at:array<int>>>, furniture array<int>, bare array<struct<line_no:int,distance:int>>"
     looked = cut(rows.where("rec_table = 'ocr_pages'").select(fields).mapInPandas(look, schema).withColumn("body", F.xxhash64("text")))
     bare = looked.select("rec_id", "body", "file", "page_no", F.inline("bare"))
     own = ["rec_id", "page_no", "body"]
     numbers = _page_numbers(bare).groupBy(*own).agg(F.collect_set("line_no").alias("numbers"))
     placed = looked.join(numbers, own, "left").withColumn("skip", F.when(F.col("numbers").isNull(), F.col("furniture")).otherwise(F.array_union("furniture", "numbers")))
     body = F.filter(F.split("text", "\n", -1), lambda x, i: x.rlike(r"(?U)\S") & ~F.array_contains("skip", i))
-    placed = cut(placed.withColumn("_b", body).select(*own, "file", "named", "text", "skip", F.get("_b", F.lit(0)).alias("first"), F.get("_b", F.size("_b") - 1).alias("last")))
+    placed = cut(placed.withColumn("_b", body).select(*own, "file", "named", "text", "fixes", "skip", F.get("_b", F.lit(0)).alias("first"), F.get("_b", F.size("_b") - 1).alias("last")))
     edges = placed.where("named AND page_no IS NOT NULL").groupBy("file", "page_no").agg(F.count("*").alias("n"), F.min(F.struct("rec_id", "body", "first", "last")).alias("e"))
-    file = placed.where("NOT named OR page_no IS NULL").select("rec_id", "page_no", "text", "skip", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    file = placed.where("NOT named OR page_no IS NULL").select("rec_id", "page_no", "text", "fixes", "skip", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
     # one row per page meets its two neighbours; copies of a page then meet that row
     here = edges.select("file", "page_no", "n", F.col("e.first").alias("first"), F.col("e.last").alias("last"))
     near = here.select("file", "page_no", "n")
@@ -588,7 +672,7 @@ def _laid_out(rows: DataFrame, shared) -> DataFrame:  # noqa: ANN001
     near = near.join(here.select("file", (F.col("page_no") - 1).alias("page_no"), F.col("first").alias("after")), ["file", "page_no"], "left")
     key = F.xxhash64("file", "page_no").alias("page_key")
     near = cut(near.select(key, "n", "before", "after"))
-    known = placed.where("named AND page_no IS NOT NULL").select("rec_id", "page_no", "text", "skip", key)
+    known = placed.where("named AND page_no IS NOT NULL").select("rec_id", "page_no", "text", "fixes", "skip", key)
     return hot_join(known, near, "page_key", "n", placed.count(), "left").select(file.columns).unionByName(file)
 
 
@@ -610,13 +694,16 @@ def scan_findings(pages: DataFrame, states: DataFrame) -> DataFrame:
     equal the page's number, or keep one distance to it on two pages of the file or more.
     """
     rows = _pages(pages, states)
-    shared = pages.sparkSession.sparkContext.broadcast(train_scan_model(rows))
+    model, repairs = train_scan_model(rows)
+    rows = _with_repairs(rows, model, repairs)
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for kind, rec, file, page, text in zip(batch["rec_table"], batch["rec_id"], batch["file"], batch["page_no"], batch["text"], strict=True):
+            for kind, rec, file, page, text, fixes in zip(batch["rec_table"], batch["rec_id"], batch["file"], batch["page_no"], batch["text"], batch["fixes"], strict=True):
+                _use(model, fixes)
                 if kind == "ocr_pages":
                     lines = text.split("\n")
                     furniture, bare = page_findings(lines, model)
@@ -648,13 +735,16 @@ def repair_scans(pages: DataFrame, states: DataFrame) -> DataFrame:
     goes on over a page stays in the row of its page.
     """
     rows = _pages(pages, states)
-    shared = pages.sparkSession.sparkContext.broadcast(train_scan_model(rows))
+    model, repairs = train_scan_model(rows)
+    rows = _with_repairs(rows, model, repairs)
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
             out = []
-            for text, skip, before, after in zip(batch["text"], batch["skip"], batch["before"], batch["after"], strict=True):
+            for text, skip, before, after, fixes in zip(batch["text"], batch["skip"], batch["before"], batch["after"], batch["fixes"], strict=True):
+                _use(model, fixes)
                 lines, skip = text.split("\n"), set(map(int, skip))
                 body = [i for i, x in enumerate(lines) if x.strip() and i not in skip]
                 if body:
@@ -671,7 +761,8 @@ def repair_scans(pages: DataFrame, states: DataFrame) -> DataFrame:
         model = shared.value
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for text, fixes in zip(batch["text"], batch["fixes"], strict=True):
+                _use(model, fixes)
                 lines = text.split("\n")
                 done, parts = 0, []
                 for first, own in _sections(text):
@@ -682,5 +773,5 @@ def repair_scans(pages: DataFrame, states: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rec_table": "run_states", "rec_id": batch["rec_id"], "text": out})
 
     schema = "rec_table string, rec_id long, text string"
-    laid = _laid_out(rows, shared).select("rec_id", "text", "skip", "before", "after")
-    return laid.mapInPandas(read_pages, schema).unionByName(rows.where("rec_table = 'run_states'").select("rec_id", "text").mapInPandas(read_states, schema))
+    laid = _laid_out(rows, shared).select("rec_id", "text", "skip", "before", "after", "fixes")
+    return laid.mapInPandas(read_pages, schema).unionByName(rows.where("rec_table = 'run_states'").select("rec_id", "text", "fixes").mapInPandas(read_states, schema))

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from ledgerloom.llm.perceptron import AveragedPerceptron
-from ledgerloom.llm.scans import find_confusions, page_number, repair_scans, scan_findings, section_furniture, shape_key
+from ledgerloom.llm import scans
+from ledgerloom.llm.scans import ScanModel, find_confusions, page_number, repair_scans, scan_findings, section_furniture, shape_key, train_editor
 
 WORDS = "contract tender supplier delivery schedule quality warranty payment deadline technical document evaluation committee procurement environmental management certification requirement guarantee performance".split()
 PAGES = "page_id long, eis_id string, name string, page_no int, text string, file string"
@@ -75,9 +76,33 @@ def test_faults_are_found(spark):
     shifted = {(n + 1, k) for i, n, k in own if i == pages[0][0]}
     assert {(n, k) for t, i, n, k in got if t == "run_states"} >= {x for x in shifted if x[1] in ("hyphen", "page_number")}
     fixed = {r["rec_id"]: r["text"] for r in repair_scans(df, states).where("rec_table = 'ocr_pages'").collect()}
+    right = sum(w in WORDS for i in fixed if i < 9000 for w in fixed[i].split() if len(w) > 5)
+    wrong = sum(w not in WORDS for i in fixed if i < 9000 for w in fixed[i].split() if len(w) > 5 and w not in ("socio-economic", "price,", "terms."))
+    assert wrong / right < 0.003, (wrong, right)  # nearly all that was misread or broken reads right again
     assert "Tender KV" not in fixed[1] and "socio-economic price" in fixed[1] and "- 1 -" not in fixed[1] and fixed[9002] == ""
 
 
+def test_joined_repairs_give_the_same(spark, monkeypatch):
+    """Beyond the bound of what is broadcast the repairs come by a join; nothing else changes."""
+    pages, _ = corpus(random.Random(7))
+    df = spark.createDataFrame(pages[:40], PAGES)
+    states = spark.createDataFrame([(1, "Source file: a.txt\n" + pages[0][4] + "\n" + pages[1][4], ""), (1, "Source file: a.txt\n" + pages[2][4], "")], STATES)
+    few = [sorted(map(tuple, f(df, states).collect())) for f in (scan_findings, repair_scans)]
+    monkeypatch.setattr(scans, "REPAIRS", 0)
+    assert [sorted(map(tuple, f(df, states).collect())) for f in (scan_findings, repair_scans)] == few
+    assert any(r[3] == "misread" for r in few[0])
+
+
+def test_lost_characters_and_numbers_come_back():
+    counts = {w: 500 for w in WORDS} | {w.replace("r", "", 1): 3 for w in WORDS if "r" in w[1:-1] and w[0] != "r"}
+    editor, spans = train_editor(counts)
+    assert ("", "r") in spans
+    model = ScanModel(counts, {}, editor, spans, AveragedPerceptron(["J", "K"]))
+    assert model.judge("pocurement", 2) == ("procurement", [1]) and model.judge("procurement", 500) is None and model.judge("elsewhere", 0) is None
+    assert [model.repair(x)[0] for x in ("20l4", "1O", "15O")] == ["2014", "10", "150"] and model.repair("2014") is None and model.repair("A4") is None
+    assert model.judge("w0rldw", 1) == ("worldw", [1]) and model.judge("ab", 1) is None
+
+
 def test_printed_numbers_and_words_over_pages(spark):
     pages, _ = corpus(random.Random(8))
     out = []
