@@ -21,13 +21,8 @@ def find_spans(text: Column, pattern: str) -> Column:
     kind = "array<struct<hit:string,start:int,stop:int>>"
 
     def build(x: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(x["gaps"], i))
-            return F.struct((start + F.length(F.get(x["hits"], i))).alias("at"), F.concat(state["starts"], F.array(start)).alias("starts"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        order = F.sequence(F.lit(0), F.size(x["hits"]) - 1)
-        starts = F.aggregate(order, zero, step)["starts"]
+        steps = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+        starts = _starts(steps)
         span = lambda hit, start: F.struct(hit.alias("hit"), start.alias("start"), (start + F.length(hit)).alias("stop"))
         return F.when(F.size(x["hits"]) > 0, F.zip_with(x["hits"], starts, span)).otherwise(F.array().cast(kind))
 
@@ -35,6 +30,23 @@ def find_spans(text: Column, pattern: str) -> Column:
     return F.when(text.isNotNull(), let(pieces, build))
 
 
+def _starts(steps: Column, block: int = 512) -> Column:
+    """Where each hit starts, from the lengths of gap and hit: running sums, in blocks so that no array is grown hit by hit."""
+    kind = "array<int>"
+
+    def sums(part: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        step = lambda s, x: F.struct((s["at"] + x["g"] + x["h"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out"))
+        return F.aggregate(part, zero, step)
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: sums(F.slice(x, b * block + 1, F.lit(block))))
+        offsets = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), lambda s, y: F.struct((s["at"] + y["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+        return let(parts, lambda p: F.flatten(F.zip_with(p, offsets(p), lambda y, o: F.transform(y["out"], lambda v: v + o))))
+
+    return F.when(F.size(steps) > 0, let(steps, whole)).otherwise(F.array().cast(kind))
+
+
 def spans_of(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
     """One row per span: ``keys, hit, start, stop, text`` (the whole text, for windows)."""
     rows = df.select(*keys, F.col(text).alias("text"))
@@ -66,10 +78,16 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def folded_hits(df: DataFrame, keys: list[str], text: str, keywords: dict[str, str]) -> DataFrame:
-    """``keys, name, n_hits`` for each name whose stem occurs in the accent-folded text."""
-    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count(F.col("folded"), F.lit(keyword_pattern(k))).alias("n_hits")) for n, k in keywords.items()])
-    rows = df.select(*keys, fold(F.col(text)).alias("folded")).select(*keys, F.explode(counts).alias("h"))
-    return rows.select(*keys, "h.*").where("n_hits > 0")
+    """``keys, name, n_hits`` for each name whose stem occurs in the accent-folded text.
+
+    One pass looks at every word's start for the longest stem; a hit counts for each stem it begins with.
+    """
+    bodies = {n: r"[\s\p{Z}]+".join(k.split()) for n, k in keywords.items()}
+    any_of = "|".join(sorted(bodies.values(), key=lambda b: (-len(b), b)))
+    hits = F.regexp_extract_all(fold(F.col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?=({any_of}))"), F.lit(1))
+    rows = df.select(*keys, hits.alias("_hits")).where(F.size("_hits") > 0)
+    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.size(F.filter("_hits", lambda h: h.rlike(f"^(?:{b})"))).alias("n_hits")) for n, b in bodies.items()])
+    return rows.select(*keys, F.explode(counts).alias("h")).select(*keys, "h.*").where("n_hits > 0")
 
 
 def lines_of(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -87,8 +105,7 @@ def last_label(labels: Column, at: Column) -> Column:
 
     An as-of join inside one row: labels and look-ups of a text never leave it.
     """
-    listed = F.transform(F.filter(labels, lambda h: h["start"] <= at), lambda h: F.struct(h["start"].alias("start"), h["hit"].alias("hit")))
-    return F.get(F.slice(F.array_sort(listed), -1, 1), F.lit(0))["hit"]
+    return let(F.filter(labels, lambda h: h["start"] <= at), lambda before: F.get(before, F.size(before) - 1))["hit"]  # spans come in order
 
 
 def line_at(text: Column, at: Column) -> Column:
@@ -150,11 +167,11 @@ def line_passages(df: DataFrame, keys: list[str], text: str, pattern: str, befor
     passages of a text together exceed ``longest``; none is left out or clipped. Row-local: only
     arrays of one text, no shuffle.
     """
-    rows = df.where(F.col(text).isNotNull()).select(*keys, F.split(F.col(text), "\n", -1).alias("_l"))
-    rows = rows.where(F.exists("_l", lambda x: F.lower(x).rlike(pattern)))
+    # one look at the whole text spares those without a match the work on their lines
+    rows = df.where(F.lower(F.col(text)).rlike(f"(?m){pattern}")).select(*keys, F.split(F.col(text), "\n", -1).alias("_l"))
     n = F.size("_l")
-    matches = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.lower(F.get("_l", i)).rlike(pattern))
-    ranges = F.transform(matches, lambda i: F.struct(F.greatest(F.lit(0), i - before).alias("a"), F.least(n - 1, i + after).alias("b")))
+    marked = F.transform("_l", lambda x, i: F.when(F.lower(x).rlike(pattern), F.struct(F.greatest(F.lit(0), i - before).alias("a"), F.least(n - 1, i + after).alias("b"))))
+    ranges = F.filter(marked, lambda r: r.isNotNull())
     kind = "array<struct<a:int,b:int>>"
 
     def merge(done: Column, r: Column) -> Column:
@@ -164,12 +181,16 @@ def line_passages(df: DataFrame, keys: list[str], text: str, pattern: str, befor
 
     rows = rows.select(*keys, "_l", F.aggregate(ranges, F.array().cast(kind), merge).alias("_r"))
     joined = lambda r: F.array_join(F.slice(F.col("_l"), r["a"] + 1, r["b"] - r["a"] + 1), "\n")
-    passages = F.transform("_r", lambda r: F.struct(r["a"].alias("first_line"), r["b"].alias("last_line"), joined(r).alias("passage"), collapse(joined(r)).alias("sig")))
+
+    def passage(r: Column, i: Column) -> Column:
+        return let(joined(r), lambda t: F.struct(F.md5(collapse(t)).alias("sig"), i.alias("i"), r["a"].alias("first_line"), r["b"].alias("last_line"), t.alias("passage")))
 
     def once(p: Column) -> Column:
-        return F.filter(p, lambda x, i: F.array_position(F.transform(p, lambda y: y["sig"]), x["sig"]) == i + 1)
+        """Of equal signatures, side by side once sorted, the first; then in written order again."""
+        first = F.filter(p, lambda x, k: (k == 0) | (F.get(p, k - 1)["sig"] != x["sig"]))
+        return F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["first_line"].alias("first_line"), x["last_line"].alias("last_line"), x["passage"].alias("passage"))))
 
-    rows = rows.select(*keys, let(passages, once).alias("_p"))
+    rows = rows.where(F.size("_r") > 0).select(*keys, let(F.array_sort(F.transform("_r", passage)), once).alias("_p"))
     rows = rows.withColumn("_o", F.aggregate("_p", F.lit(0), lambda a, x: a + F.length(x["passage"])) > longest)
     return rows.select(*keys, "_o", F.posexplode("_p").alias("_i", "_x")).select(*keys, (F.col("_i") + 1).alias("passage_no"), "_x.first_line", "_x.last_line", "_x.passage", F.col("_o").alias("oversized"))
 
@@ -193,15 +214,15 @@ def line_chunks(df: DataFrame, keys: list[str], text: str, size: int = 2400) ->
     return rows.select(*keys, F.explode(bounds).alias("_b")).select(*keys, "_b.*")
 
 
-def overlap_anti(bare: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of ``bare`` that overlap no span of ``typed`` in the same text."""
-    b, t = bare.alias("b"), typed.alias("t")
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    meet = (F.col("b.start") < F.col("t.stop")) & (F.col("b.stop") > F.col("t.start"))
-    cond = meet
-    for s in same:
-        cond = s & cond
-    return b.join(t, cond, "left_anti")
+def outside(bare: Column, typed: Column) -> Column:
+    """The spans of one array that overlap none of another: a question inside one row."""
+    return F.filter(bare, lambda b: ~F.exists(typed, lambda t: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
+
+
+def overlap_anti(df: DataFrame, keys: list[str], text: str, bare: str, typed: str) -> DataFrame:
+    """``keys, hit, start, stop``: hits of the pattern ``bare`` that overlap no hit of ``typed`` in the same text. No shuffle."""
+    rows = df.select(*keys, F.struct(find_spans(F.col(text), bare).alias("b"), find_spans(F.col(text), typed).alias("t")).alias("_x"))
+    return rows.select(*keys, F.explode(outside(F.col("_x.b"), F.col("_x.t"))).alias("_s")).select(*keys, "_s.*")
 
 
 def greedy_chunks(units: DataFrame, keys: list[str], order: str, text: str, size: int = 2400) -> DataFrame:

@@ -141,10 +141,7 @@ def line_context_passages(spark: SparkSession, d: str) -> DataFrame:
  SELECT doc_id, hit, start FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = s.doc_id AND s.start < t.start + length(t.hit) AND s.start + length(s.hit) > t.start)"""
 )
 def span_overlap_anti(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    bare = spans.spans_of(docs, ["doc_id"], "text", "[0-9]{2,}").drop("text")
-    typed = spans.spans_of(docs, ["doc_id"], "text", CODE).drop("text")
-    return spans.overlap_anti(bare, typed, ["doc_id"]).select("doc_id", "hit", "start")
+    return spans.overlap_anti(table(spark, d, "documents"), ["doc_id"], "text", "[0-9]{2,}", CODE).select("doc_id", "hit", "start")
 
 
 @query(
@@ -432,7 +429,11 @@ def bag_intersect_except(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    f"WITH RECURSIVE v AS (SELECT row_no, list_sort(coalesce({_NUMBERS_SQL.format('weights_extracted')}, [])) p, list_sort(coalesce({_NUMBERS_SQL.format('weights_truth')}, [])) g, weights_extracted IS NULL OR weights_truth IS NULL blank FROM validation_gemma4_e4b), "
+    "w AS (SELECT row_no, p, g, 1 i, 1 j, 0 m FROM v UNION ALL SELECT row_no, p, g, CASE WHEN p[i] <= g[j] + 0.01 THEN i + 1 ELSE i END, CASE WHEN p[i] >= g[j] - 0.01 THEN j + 1 ELSE j END, m + (abs(p[i] - g[j]) <= 0.01)::INT FROM w WHERE i <= len(p) AND j <= len(g)), "
+    "b AS (SELECT row_no, max(m)::BIGINT matched FROM w GROUP BY 1) SELECT row_no, CASE WHEN blank THEN 0 ELSE matched END matched, len(p)::BIGINT n_pred, len(g)::BIGINT n_gold FROM v JOIN b USING (row_no)"
+)
 def tolerance_match(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "validation_gemma4_e4b")
     p, g = F.array_sort(_numbers("weights_extracted")), F.array_sort(_numbers("weights_truth"))
@@ -576,11 +577,16 @@ def review_summary(spark: SparkSession, d: str) -> DataFrame:
 _ACTIONS = {"view": "start", "click": "propose", "error": "pause", "purchase": "approve", "signup": "edit"}
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS \"day\", CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'propose' WHEN 'error' THEN 'pause' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'edit' END a, event_id, event_id::VARCHAR v, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) i FROM events), "
+    "f AS (SELECT user_id, \"day\", 0::BIGINT i, 'new' state, NULL::VARCHAR proposal, NULL::VARCHAR verdict, false edited, 0 pauses FROM (SELECT DISTINCT user_id, \"day\" FROM e) UNION ALL "
+    "SELECT f.user_id, f.\"day\", e.i, CASE WHEN a = 'pause' THEN 'pending' WHEN a IN ('approve', 'edit') THEN 'decided' WHEN a = 'start' THEN 'open' ELSE state END, CASE WHEN a = 'propose' THEN v ELSE proposal END, CASE WHEN a = 'edit' THEN v WHEN a = 'approve' AND NOT edited THEN proposal ELSE verdict END, edited OR coalesce(a = 'edit', false), pauses + coalesce(a = 'pause', false)::INT "
+    "FROM f JOIN e ON e.user_id = f.user_id AND e.\"day\" = f.\"day\" AND e.i = f.i + 1) SELECT user_id, \"day\", state, verdict, pauses, i n_events FROM f QUALIFY i = max(i) OVER (PARTITION BY user_id, \"day\")"
+)
 def review_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's session of a day as a review: the fold has no plain SQL twin (tests hold a brute-force one)."""
+    """Each user's session of a day as a review; proposals are called by their event."""
     action = F.create_map(*[F.lit(x) for kv in _ACTIONS.items() for x in kv])
-    e = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", action[F.col("event_type")].alias("action"), F.col("value").cast("string").alias("value"))
+    e = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", action[F.col("event_type")].alias("action"), F.col("event_id").cast("string").alias("value"))
     return runs.fold_session(e, ["user_id", "day"], "event_id", "action", "value")
 
 

@@ -83,9 +83,19 @@ def test_long_passages_stay(spark, rows, tmp_path):
 
 
 def test_overlap_anti(spark, rows):
-    b = spark.createDataFrame([(1, 0, 2), (1, 5, 9), (None, 0, 2)], "id int, start int, stop int")
-    t = spark.createDataFrame([(1, 2, 6), (None, 1, 3)], "id int, start int, stop int")
-    assert rows(spans.overlap_anti(b, t, ["id"])) == [(1, 0, 2)]
+    df = spark.createDataFrame([(1, "12345678-9 77 x12"), (2, None), (3, "")], "id int, t string")
+    assert rows(spans.overlap_anti(df, ["id"], "t", "[0-9]{2,}", "[0-9]{8}-[0-9]")) == [(1, "12", 15, 17), (1, "77", 11, 13)]
+
+
+def test_positions_of_many_hits(spark):
+    text = "ab " * 3000 + "ab"
+    got = spark.createDataFrame([(text,)], "t string").select(spans.find_spans(F.col("t"), "b").alias("s")).first()["s"]
+    assert [x["start"] for x in got] == [i for i, c in enumerate(text) if c == "b"]
+
+
+def test_stems_that_share_a_beginning(spark, rows):
+    df = spark.createDataFrame([(1, "Price list, priced; list"), (2, None), (3, "x")], "id int, t string")
+    assert rows(spans.folded_hits(df, ["id"], "t", {"p": "price", "pl": "price list", "l": "list"})) == [(1, "l", 2), (1, "p", 2), (1, "pl", 1)]
 
 
 def test_scoring(spark, rows):
