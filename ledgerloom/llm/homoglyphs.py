@@ -149,6 +149,7 @@ class Transducer:
         dashes = "".join(DASHES)
         self.suspect = re.compile(f"{_class(single | set(MARKS) | set(map(chr, range(0x370, 0x530))))}|[0-9][{INVISIBLE}]*[{dashes}]")
         join = f"{MARKS}{INVISIBLE}"
+        self.joined, self.dashes = set(join), set(DASHES) | {"-"}
         self.cluster = re.compile(f"[{INVISIBLE}]|[^\\W_][{join}]*|.", re.DOTALL)
         self.run = re.compile(f"(?:[\\w{join}]|[-{dashes}](?=[{join}]*[^\\W_]))+|.", re.DOTALL)
         self.code = re.compile("(?<![dlw])[dl]{8}-[dl](?![dlw])")
@@ -175,17 +176,38 @@ class Transducer:
         return found
 
     def __call__(self, text: str) -> str:
-        if not self.suspect.search(text):
+        """Only runs of words that hold something irregular are read; the search goes on behind each."""
+        found = self.suspect.search(text)
+        if found is None:
             return text
-        return self.run.sub(self._run, text)
-
-    def _run(self, m: re.Match) -> str:
-        whole = m[0]
+        out, done = [], 0
+        while found is not None:
+            start = self._begin(text, found.start(), done)
+            stop = self.run.match(text, start).end()
+            out += (text[done:start], self._run(text[start:stop]))
+            done = stop
+            found = self.suspect.search(text, done)
+        out.append(text[done:])
+        return "".join(out)
+
+    def _begin(self, text: str, at: int, least: int) -> int:
+        """Where the run of word characters, joined accents and dashes that holds a place begins."""
+        if not self._solid(text[at]) and text[at] not in self.dashes:
+            return at
+        while at > least:
+            c = text[at - 1]
+            if not self._solid(c) and not (c in self.dashes and self._solid(text[at])):
+                break
+            at -= 1
+        return at
+
+    def _solid(self, c: str) -> bool:
+        return c.isalnum() or c == "_" or c in self.joined
+
+    def _run(self, whole: str) -> str:
         if len(whole) == 1 and not whole.isalnum():
             r = self.table.get(whole)
             return whole if r is None or r.kind == DASH and whole in DASHES[:-1] else r.forms[""]
-        if not self.suspect.search(whole):
-            return whole
         readings: list[tuple[str, Reading]] = []
         for c in self.cluster.findall(whole):
             r = self.read(c)

@@ -493,6 +493,8 @@ def _pages(pages: DataFrame, states: DataFrame) -> DataFrame:
 
 def _broken_words(text: str) -> Iterator[str]:
     """Words that a line's end may have broken, put together: with the first word of each of the next lines, as furniture may stand between."""
+    if not any(h in text for h in BREAK_HYPHENS):
+        return
     lines = [x for x in text.split("\n") if x.strip()]
     for k, line in enumerate(lines):
         if line.rstrip()[-1:] in BREAK_HYPHENS and (m := _LINE_END.search(line.rstrip())):
@@ -510,10 +512,16 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             words: Counter = Counter()
             for kind, text in zip(batch["rec_table"], batch["text"], strict=True):
                 whole = regular_text(text)
-                words.update(dict.fromkeys(_broken_words(whole if whole == text else text + "\n" + whole), 0))
+                words.update(dict.fromkeys(_broken_words(text), 0))
+                if whole != text:
+                    words.update(dict.fromkeys(_broken_words(whole), 0))
                 if kind == "ocr_pages":  # without the edges, where furniture repeats its words
-                    tokens.update(dict.fromkeys(_TOKEN.findall(whole.lower()), 0))
-                    whole = regular_text("\n".join([x for x in text.split("\n") if x.strip()][ZONE:-ZONE]))
+                    lines = whole.split("\n")
+                    inside = [i for i, x in enumerate(text.split("\n")) if x.strip()][ZONE:-ZONE]
+                    edge = set(range(len(lines))).difference(inside)
+                    for t in _TOKEN.findall("\n".join([lines[i] for i in edge]).lower()):
+                        tokens.setdefault(t, 0)
+                    whole = "\n".join([lines[i] for i in inside])
                 tokens.update(_TOKEN.findall(whole.lower()))
             pairs: Counter = Counter()
             for token, n in tokens.items():
