@@ -205,8 +205,7 @@ class ScanModel:
     def repair(self, word: str, part: str = "whole") -> tuple[str, list[int]] | None:
         """``(right word, changed positions)`` of a misread word, or None. part: whole, start or end of a word."""
         if part == "whole":
-            mixed = any(c.isdigit() for c in word)
-            if mixed and _NUMBERLIKE.match(word) and len(word) < 12 and sum(c.isdigit() for c in word) * 2 >= len(word):
+            if not word.isalpha() and any(c.isdigit() for c in word) and _NUMBERLIKE.match(word) and len(word) < 12 and sum(c.isdigit() for c in word) * 2 >= len(word):
                 at = [i for i, c in enumerate(word) if not c.isdigit()]
                 return (word.translate(_TO_DIGITS), at) if at else None
             low = word.lower()
@@ -303,7 +302,7 @@ def line_features(line: str, place: str) -> list[str]:
     s = line.strip()
     words = re.sub(r"[0-9]+", "#", shape_key(s)).split()
     out = ["b", f"n{min(len(words), 9)}", f"e{s[-1:] if not s[-1:].isalnum() else 'a'}", f"u{s[:1].isupper()}", f"U{s.isupper()}", f"t{bool(_HEAD_NUMBER.search(s))}", f"L{min(len(s) // 10, 9)}"]
-    forms = ["#" if any(c.isdigit() for c in w) else "A" if w.isupper() and len(w) <= 4 else w.lower() for w in _HEAD_NUMBER.sub("", s).split()]
+    forms = ["#" if not w.isalpha() and any(c.isdigit() for c in w) else "A" if w.isupper() and len(w) <= 4 else w.lower() for w in _HEAD_NUMBER.sub("", s).split()]
     out += [f"w{w}" for w in set(words)] + [f"f{a}_{b}" for a, b in zip(forms, forms[1:], strict=False)]
     out += [f"s{'/' in s}{any('#' in w for w in words)}", f"1{words[0] if words else ''}", f"9{words[-1] if words else ''}"]
     if place:
