@@ -17,6 +17,26 @@ class ModelClient(Protocol):
     def complete(self, task: str, prompt: str) -> str: ...
 
 
+class Truncated(Exception):
+    """A client raises this where its answer ended at the limit of output."""
+
+
+def complete_within(client, task: str, prompt: str, limits: tuple[int, ...] = (2500, 4096)) -> str:  # noqa: ANN001
+    """An answer within the first limit of output tokens that suffices; Truncated where none does.
+
+    Clients without limits (no ``limit`` argument) are asked once.
+    """
+    if not hasattr(client, "complete_limited"):
+        return client.complete(task, prompt)
+    for k, limit in enumerate(limits):
+        try:
+            return client.complete_limited(task, prompt, limit)
+        except Truncated:
+            if k == len(limits) - 1:
+                raise
+    raise ValueError("no limit given")
+
+
 class RuleClient:
     """A deterministic stand-in: the first code of the prompt; no critique beyond its presence."""
 
@@ -46,7 +66,7 @@ def complete_column(df: DataFrame, client: ModelClient, task: str, prompt: str,
             answers = []
             for p in batch[prompt]:
                 try:
-                    answers.append(client.complete(task, p or ""))
+                    answers.append(complete_within(client, task, p or ""))
                 except Exception:  # noqa: BLE001  a model's failure is a result
                     answers.append(None)
             yield batch.assign(**{out: answers})[[*names, out]]

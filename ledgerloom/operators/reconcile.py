@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,25 @@ def lot_status(rows: DataFrame, keys: list[str], weight: str, scale: Column, fla
     return agg.select(*keys, "n_criteria", F.when(sole, 0).otherwise(F.col("missing")).cast("long").alias("missing"), total.alias("total"), target.alias("target"), status.alias("status"))
 
 
+def global_status(lots: DataFrame, keys: list[str], status: str, complete: Column) -> DataFrame:
+    """``keys, n_lots, reconciled``: true only where there are lots, the inventory is complete and every lot reconciles."""
+    all_good = F.bool_and(F.coalesce(F.col(status) == "reconciled", F.lit(False)))
+    return lots.groupBy(*keys).agg(F.count("*").alias("n_lots"), (all_good & F.coalesce(F.bool_and(complete), F.lit(False))).alias("reconciled"))
+
+
+def correct_once(first: DataFrame, failing: DataFrame, second: Callable[[DataFrame], DataFrame], key: str, fields: list[str]) -> DataFrame:
+    """``first`` with a second pass over the failing keys only: what it gives replaces the fields, what it leaves null stays.
+
+    ``second`` takes the failing rows and gives ``key`` and ``fields``, at most one row a key; it
+    sees no other rows. ``corrected`` tells which rows changed.
+    """
+    again = second(first.join(failing.select(key).distinct(), key, "left_semi")).select(key, F.struct(*fields).alias("_new"))
+    both = first.join(again, key, "left")
+    changed = reduce(lambda a, b: a | b, [F.col(f"_new.{f}").isNotNull() & ~F.col(f"_new.{f}").eqNullSafe(F.col(f)) for f in fields])
+    kept = [F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in first.columns]
+    return both.select(*kept, F.coalesce(changed, F.lit(False)).alias("corrected"))
+
+
 def reference_status(values: Column, expected: float = 100.0, tolerance: float = 0.5) -> Column:
     """missing, incomplete, available or total_mismatch of one lot's true weights (nulls: unparsable)."""
     total = F.aggregate(F.transform(values, lambda x: x.cast("decimal(18,6)")), F.lit(0).cast("decimal(28,6)"), lambda a, x: (a + x).cast("decimal(28,6)"))

@@ -82,3 +82,42 @@ def stage_totals(df: DataFrame, model: str, measures: Sequence[str]) -> DataFram
     sums = df.groupBy(model).agg(*[F.sum(m).cast("double").alias(m) for m in measures])
     args = ", ".join(f"'{m}', `{m}`" for m in measures)
     return sums.selectExpr(f"stack({len(measures)}, {args}) as (measure, value)", f"`{model}`").select("measure", model, "value")
+
+
+def run_audit(records: DataFrame, evaluation: DataFrame, log: DataFrame, traces: DataFrame, key: str = "eis_id") -> DataFrame:
+    """``key, problem, main_before, main_after``: each saved record against its evaluation row, its log and its traces.
+
+    ``records`` and ``evaluation`` hold ``main, additional`` (codes as an array), ``evaluation``
+    also ``truth``; ``log`` holds ``attempt, main, additional`` of every attempt, ``traces`` one
+    row a call. Problems, first rule that holds: missing_evaluation, missing_log, missing_trace,
+    log_disagrees (its last attempt isn't what was saved), evaluation_disagrees. ``main_before``
+    and ``main_after`` tell whether the first attempt and the saved record had the true code,
+    null where none is known. Keys must be unique in records and evaluation.
+    """
+    ordered = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    side = lambda df, tag, *more: df.select(key, F.coalesce("main", F.lit("")).alias(f"{tag}_main"), ordered(F.col("additional")).alias(f"{tag}_additional"), *more, F.lit(True).alias(f"_{tag}"))
+    row = F.struct("attempt", F.coalesce("main", F.lit("")).alias("main"), ordered(F.col("additional")).alias("additional"))
+    said = log.groupBy(key).agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    calls = traces.groupBy(key).agg(F.count("*").alias("_calls"))
+    all_ = side(records, "r").join(side(evaluation, "e", F.trim("truth").alias("_truth")), key, "left").join(said, key, "left").join(calls, key, "left")
+    same = lambda main, additional: (F.col("r_main") == main) & (F.col("r_additional") == additional)
+    problem = (
+        F.when(F.col("_e").isNull(), "missing_evaluation")
+        .when(F.col("_last").isNull(), "missing_log")
+        .when(F.col("_calls").isNull(), "missing_trace")
+        .when(~same(F.col("_last.main"), F.col("_last.additional")), "log_disagrees")
+        .when(~same(F.col("e_main"), F.col("e_additional")), "evaluation_disagrees")
+    )
+    known = F.col("_truth") != ""
+    return all_.select(key, problem.alias("problem"), F.when(known & (F.col("_first.attempt") == 1), F.col("_first.main") == F.col("_truth")).alias("main_before"), F.when(known, F.col("r_main") == F.col("_truth")).alias("main_after"))
+
+
+def markdown(df: DataFrame, labels: dict[str, str] | None = None, most: int = 1000) -> str:
+    """A small frame as a Markdown table, numbers right, nulls as ``Not available``; ValueError above ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    numeric = [f.dataType.typeName() in ("integer", "long", "double", "float", "decimal") for f in df.schema.fields]
+    show = lambda v: "Not available" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [[(labels or {}).get(c, c) for c in df.columns], ["---:" if n else "---" for n in numeric], *[[show(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"

@@ -6,6 +6,8 @@ shuffle. Positions count characters from 0; a span is [start, stop).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -267,6 +269,44 @@ def ranked_passages(passages: DataFrame, query: list[str], scores: list[str], te
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(*best, tie))).where(F.col("rank") <= k)
 
 
+def texts_with_tables(df: DataFrame, keys: list[str], text: str, tables: str) -> DataFrame:
+    """``keys, part, text``: the prose as part 0, then each table by itself (cells with bars between, a row a line), so that no hit spans both."""
+    line = lambda row: F.array_join(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), " | ")
+    shown = F.transform(F.coalesce(F.col(tables), F.array().cast("array<array<array<string>>>")), lambda t: F.array_join(F.transform(t, line), "\n"))
+    return df.select(*keys, F.posexplode(F.concat(F.array(F.col(text)), shown)).alias("part", "text")).where("text IS NOT NULL")
+
+
+def ranked_search(chunks: DataFrame, keys: list[str], terms: list[str], strength: Column, lots: Column, preferred: Column, k: int = 6) -> DataFrame:
+    """``keys, position, id``: the k best chunks of each query, the first one's continuation right behind it.
+
+    ``chunks`` holds ``id, source, section, start, heading, table_header, text, kind, lot_hint``;
+    ``lots`` is the array of lots asked for, ``preferred`` whether the source was named. A chunk
+    hinted to another lot leaves; one without a term and strength does too. Order: strength, lot
+    match, tables, number of terms, preferred source, then as written. Of chunks with the same
+    heading and text up to white space the best counts; the continuation (the next chunk of its
+    section) comes whatever it says, and once.
+    """
+    if not any(t.strip() for t in terms):
+        raise ValueError("no usable search term")
+    asked = F.coalesce(lots, F.array().cast("array<string>"))
+    mine = F.coalesce(F.array_contains(asked, F.col("lot_hint")), F.lit(False))
+    whole = F.lower(F.concat_ws("\n", F.coalesce("table_header", F.lit("")), "text"))
+    score = reduce(lambda a, b: a + b, [whole.contains(t.strip().lower()).cast("int") for t in terms if t.strip()])
+    rows = chunks.where((F.size(asked) == 0) | F.col("lot_hint").isNull() | (F.col("lot_hint") == "") | mine)
+    rows = rows.select("*", F.struct(strength.alias("a"), mine.alias("b"), (F.col("kind") == "table").alias("c"), score.alias("d"), preferred.alias("e")).alias("_rank"))
+    rows = rows.where((F.col("_rank.a") > 0) | (F.col("_rank.d") > 0))
+    order = [F.col("_rank").desc(), "source", "start", "id"]
+    twin = Window.partitionBy(*keys, F.coalesce("heading", F.lit("")), F.md5(collapse(F.col("text")))).orderBy(*order)
+    once = rows.withColumn("_twin", F.row_number().over(twin)).where("_twin = 1")
+    best = once.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k)
+    first = best.where("_r = 1").select(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(keys)], F.col("source").alias("_s"), F.col("section").alias("_c"), F.col("start").alias("_b"))
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(keys)] + [F.col("c.source").eqNullSafe(F.col("_s")), F.col("c.section").eqNullSafe(F.col("_c"))]
+    nexts = chunks.alias("c").join(first, same).where(F.col("c.start") > F.col("_b")).groupBy(*keys).agg(F.min(F.struct("start", "id"))["id"].alias("id"))
+    both = best.select(*keys, "id", F.when(F.col("_r") == 1, 0).otherwise(F.col("_r")).alias("_o")).unionByName(nexts.select(*keys, "id", F.lit(1).alias("_o")))
+    listed = both.groupBy(*keys, "id").agg(F.min("_o").alias("_o"))
+    return listed.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).where(F.col("position") <= k).select(*keys, "position", "id")
+
+
 def support_needle(text: Column, length: int = 80) -> Column:
     """The middle ``length`` characters of a normalised text of at least that length, else null."""
     n = F.length(text)

@@ -11,6 +11,7 @@ import html
 import io
 import posixpath
 import re
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -19,6 +20,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.sources.pdf import read_pdf
+
 # --- fixed values -----------------------------------------------------------------------------
 CONTAINERS = (".zip", ".edoc", ".7z")
 TEXTS = (".txt", ".csv")
@@ -29,7 +32,7 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # ----------------------------------------------------------------------------------------------
 
-READ_SCHEMA = "path string, chain string, text string, tables array<array<array<string>>>, reader string, reason string"
+READ_SCHEMA = "path string, chain string, text string, tables array<array<array<string>>>, reader string, reason string, seconds double"
 
 
 def extension(name: str) -> str:
@@ -87,8 +90,12 @@ def _seven(name: str, content: bytes, depth: int, budget: list[int]) -> Iterator
             for inner, data in sorted(z.readall().items()):
                 raw = data.read()
                 budget[0] -= len(raw)
-                if budget[0] < 0 or inner.startswith("/") or ".." in inner.split("/"):
+                if inner.startswith("/") or ".." in inner.split("/"):
+                    yield f"{name}/{posixpath.basename(inner)}", b"", "path leads out of the container"
                     continue
+                if budget[0] < 0:
+                    yield f"{name}/{inner}", b"", "unpacked size over the limit"
+                    return
                 for chain, leaf, reason in leaves(inner, raw, depth + 1, budget):
                     yield f"{name}/{chain}", leaf, reason
     except Exception:  # noqa: BLE001  a broken archive must not end the batch
@@ -252,7 +259,7 @@ def html_text(source: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-#: Readers by extension; more (pdf, doc, xls, OCR) can be registered by the caller.
+#: Readers by extension; more (doc, xls, OCR) can be registered by the caller.
 READERS: dict[str, Callable[[bytes], tuple[str, list]]] = {
     ".txt": read_plain,
     ".csv": read_plain,
@@ -260,24 +267,40 @@ READERS: dict[str, Callable[[bytes], tuple[str, list]]] = {
     ".xlsx": read_xlsx,
     ".xlsm": read_xlsx,
     ".html": lambda b: (html_text(b.decode("utf-8", "ignore")), html_tables(b.decode("utf-8", "ignore"))),
+    ".pdf": read_pdf,
     ".htm": lambda b: (html_text(b.decode("utf-8", "ignore")), html_tables(b.decode("utf-8", "ignore"))),
 }
 
 
-def read_leaf(chain: str, content: bytes, readers: dict) -> tuple[str, list, str, str | None]:
+#: fixed values: what is read without looking at pictures
+DIGITAL = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".txt", ".csv")
+MODES = ("all", "text", "digital", "tables")
+
+
+def read_leaf(chain: str, content: bytes, readers: dict, mode: str = "all") -> tuple[str, list, str, str | None]:
+    """``(text, tables, reader, reason)`` of one file; what a mode doesn't ask for is empty.
+
+    text: no tables. digital: text of formats that hold characters, nothing else. tables: no
+    text, and what can't be read has none.
+    """
     ext = extension(chain)
     reader = readers.get(ext)
-    if reader is None:
+    if reader is None or mode == "digital" and ext not in DIGITAL:
         return "", [], "none", f"unsupported format {ext or '(none)'}"
     try:
         text, tables = reader(content)
     except Exception as e:  # noqa: BLE001  one unreadable file must not end the batch
         return "", [], ext[1:], f"{type(e).__name__}: {e}"[:200]
-    return text, tables, ext[1:], None
+    return "" if mode == "tables" else text, [] if mode in ("text", "digital") else tables, ext[1:], None
+
 
+def read_documents(spark: SparkSession, path: str, readers: dict | None = None, mode: str = "all") -> DataFrame:
+    """``path, chain, text, tables, reader, reason, seconds`` of every leaf file under a path (glob).
 
-def read_documents(spark: SparkSession, path: str, readers: dict | None = None) -> DataFrame:
-    """``path, chain, text, tables, reader, reason`` of every leaf file under a path (glob)."""
+    ``mode`` is one of MODES (see ``read_leaf``); ``seconds`` is the time its reader took.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
     readers = dict(READERS if readers is None else readers)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -286,8 +309,9 @@ def read_documents(spark: SparkSession, path: str, readers: dict | None = None)
             for where, content in zip(batch["path"], batch["content"], strict=True):
                 out = []
                 for chain, data, reason in leaves(posixpath.basename(where), bytes(content)):
-                    text, tables, reader, why = ("", [], "none", reason) if reason else read_leaf(chain, data, readers)
-                    out.append((where, chain, text, tables, reader, why))
-                yield pd.DataFrame(out, columns=["path", "chain", "text", "tables", "reader", "reason"])
+                    began = time.perf_counter()
+                    text, tables, reader, why = ("", [], "none", reason) if reason else read_leaf(chain, data, readers, mode)
+                    out.append((where, chain, text, tables, reader, why, time.perf_counter() - began))
+                yield pd.DataFrame(out, columns=["path", "chain", "text", "tables", "reader", "reason", "seconds"])
 
     return files.mapInPandas(run, READ_SCHEMA)

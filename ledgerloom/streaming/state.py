@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +25,10 @@ def stream_sessions(events: DataFrame, keys: list[str], time: str, gap: str = "3
     return events.withWatermark(time, late).groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
 
 
-REVIEW_STATE = "state string, proposal string, verdict string, edited boolean, pauses int, seen string"
+REVIEW_STATE = "state string, proposal string, verdict string, edited boolean, pauses int, last long"
+
+
+_FIELDS = ("state", "proposal", "verdict", "edited", "pauses", "last")
 
 
 def step_review(s: dict, action: str, value: str | None) -> dict:
@@ -47,19 +49,26 @@ def step_review(s: dict, action: str, value: str | None) -> dict:
     return s
 
 
-def stream_reviews(events: DataFrame, key: str, order: str, action: str, value: str) -> DataFrame:
-    """``key, state, verdict, pauses`` of each session as its events arrive; repeats of an event are ignored."""
+def stream_reviews(events: DataFrame, key: str, order: str, action: str, value: str, idle_seconds: int = 7 * 24 * 3600) -> DataFrame:
+    """``key, state, verdict, pauses`` of each session as its events arrive.
+
+    Events of a session are numbered by ``order``; one that isn't above the last number taken is
+    a repeat, or too late, and ignored. So the state of a session is one row of fixed size; it
+    leaves after ``idle_seconds`` without events.
+    """
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(("state", "proposal", "verdict", "edited", "pauses", "seen"), state.get, strict=True)) if state.exists else {"state": "new", "proposal": None, "verdict": None, "edited": False, "pauses": 0, "seen": "[]"}
-        seen = set(json.loads(s.pop("seen")))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = dict(zip(_FIELDS, state.get, strict=True)) if state.exists else dict(zip(_FIELDS, ("new", None, None, False, 0, None), strict=True))
         rows = pd.concat(list(batches)).sort_values(order)
         for at, a, v in zip(rows[order], rows[action], rows[value], strict=True):
-            if int(at) not in seen:
-                seen.add(int(at))
-                s = step_review(s, a, v)
-        state.update((s["state"], s["proposal"], s["verdict"], s["edited"], s["pauses"], json.dumps(sorted(seen))))
+            if s["last"] is None or int(at) > s["last"]:
+                s = step_review(s, a, v) | {"last": int(at)}
+        state.update(tuple(s[f] for f in _FIELDS))
+        state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame([{key: keys[0], "state": s["state"], "verdict": s["verdict"], "pauses": s["pauses"]}])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, verdict string, pauses int", REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, verdict string, pauses int", REVIEW_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
