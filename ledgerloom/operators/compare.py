@@ -41,15 +41,17 @@ def canonical_numbers(c: Column) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, " "))
 
 
-def compare_copies(main: DataFrame, copy: DataFrame, keys: Sequence[str], fields: dict[str, object]) -> DataFrame:
+def compare_copies(main: DataFrame, copy: DataFrame, keys: Sequence[str], fields: dict[str, object], several: bool = False) -> DataFrame:
     """``keys, finding, main_value, copy_value``: what differs between two copies.
 
     ``fields`` maps a column name to the function that gives its canonical form (null and blank
     must both give null). ``finding`` is ``row_missing_in_main``, ``row_missing_in_copy`` or a
     field name; a missing row yields no field findings. Null keys match each other. Exact
     repeats of a row change nothing; of a key's different rows on one side the one with the
-    greatest canonical struct stands for it, so the result doesn't depend on order. Empty sides
-    are allowed, further columns of either side are ignored.
+    greatest canonical struct stands for it, so the result doesn't depend on order; with
+    ``several`` such keys also have a finding ``several_rows_in_main`` or ``several_rows_in_copy``
+    of their own, with the least struct as value. Empty sides are allowed, further columns of
+    either side are ignored.
     """
     for name in (*keys, *fields):
         if name in ("side", "finding", "main_value", "copy_value"):
@@ -60,11 +62,14 @@ def compare_copies(main: DataFrame, copy: DataFrame, keys: Sequence[str], fields
         return df.select(*[F.col(f"`{k}`") for k in keys], F.lit(tag).alias("side"), content.alias("content"))
 
     both = side(main, "m").unionByName(side(copy, "c"))
-    pair = both.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == t, F.col("content"))).alias(t) for t in "mc"])
+    pair = both.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == t, F.col("content"))).alias(t) for t in "mc"], *[F.min(F.when(F.col("side") == t, F.col("content"))).alias(f"{t}_least") for t in "mc" if several])
     listed = ", ".join(f"struct('{n}' AS finding, m.`{n}` AS main_value, c.`{n}` AS copy_value)" for n in fields)
     missing = "array(struct('{}' AS finding, CAST(NULL AS string) AS main_value, CAST(NULL AS string) AS copy_value))"
     found = F.expr(
         f"CASE WHEN m IS NULL THEN {missing.format('row_missing_in_main')} WHEN c IS NULL THEN {missing.format('row_missing_in_copy')} "
         f"ELSE filter(array({listed}), d -> NOT (d.main_value <=> d.copy_value)) END"
     )
+    if several:
+        more = [F.when(F.col(f"{t}_least") != F.col(t), F.struct(F.lit(f"several_rows_in_{name}").alias("finding"), *[(F.to_json(f"{t}_least") if u == t else F.lit(None).cast("string")).alias(v) for u, v in (("m", "main_value"), ("c", "copy_value"))])) for t, name in (("m", "main"), ("c", "copy"))]
+        found = F.concat(found, F.filter(F.array(*more), lambda d: d.isNotNull()))
     return pair.select(*keys, F.explode(found).alias("d")).select(*keys, "d.*")

@@ -18,6 +18,8 @@ def test_findings(spark, rows):
     copy = spark.createDataFrame([("a", 1, "1 – 1", "2|1", "x", "y"), ("c", 1, "x", "", "", ""), ("d", 1, "7-8", "1", "", ""), (None, None, "1", "1", "", "")], SCHEMA)
     got = rows(compare_copies(main, copy, ["k", "r"], FIELDS), "k", "finding")
     assert got == [("b", "row_missing_in_copy"), ("c", "row_missing_in_main"), ("d", "code"), ("d", "weights")]
+    double = main.unionByName(spark.createDataFrame([("b", 1, None, "6", "", "")], SCHEMA))
+    assert ("b", "several_rows_in_main") in rows(compare_copies(double, copy, ["k", "r"], FIELDS, several=True), "k", "finding") and rows(compare_copies(main, copy, ["k", "r"], FIELDS, several=True), "k", "finding") == got
     empty = main.limit(0)
     assert compare_copies(empty, empty, ["k", "r"], FIELDS).count() == 0
     assert {r["finding"] for r in compare_copies(empty, copy, ["k", "r"], FIELDS).collect()} == {"row_missing_in_main"}
