@@ -258,9 +258,11 @@ def group_paths(seen: Sequence[tuple[str, str]], levels: Levels = Levels()) -> d
     return out
 
 
-def grouped(triple: DataFrame, levels: Levels = Levels()) -> tuple[DataFrame, dict[str, Group]]:
+def grouped(triple: DataFrame, levels: Levels = Levels(), items_only: bool = False) -> tuple[DataFrame, dict[str, Group]]:
     """``uid, key, group, at, kind, column, value`` (``at``: ordinals of the repeated keys), and the groups.
 
+    With ``items_only`` only entries and items come out, not the fields inside them.
+
     Strings that hold JSON count as their content where their path repeats, else as strings.
     """
     # a list inside a string proves nothing about the key of that string
@@ -268,7 +270,7 @@ def grouped(triple: DataFrame, levels: Levels = Levels()) -> tuple[DataFrame, di
     seen = [(r["path"], r["kind"]) for r in triple.select("path", kind.alias("kind")).distinct().collect()]
     groups = group_paths(seen, levels)
     spark = triple.sparkSession
-    listed = [(p, STEP.join(g.keys), list(g.places), g.column, bool(g.keys) and not g.column) for p, g in groups.items()]
+    listed = [(p, STEP.join(g.keys), list(g.places), g.column, bool(g.keys) and not g.column) for p, g in groups.items() if not (items_only and g.column)]
     known = spark.createDataFrame(listed, "path string, group string, places array<int>, column string, item boolean")
     rows = triple.join(F.broadcast(known), "path")  # as many rows as there are different paths
     items = [p for p, _, _, _, item in listed if item]
@@ -351,7 +353,7 @@ def procurement_tables(df: DataFrame, key: str = "record_id", body: str = "body"
 
 def criterion_positions(df: DataFrame, key: str = "record_id", body: str = "body") -> DataFrame:
     """``key, lot_no, criterion_no, sub_no`` of each criterion and sub-criterion; what has none shows as 0."""
-    rows, _ = grouped(read_triples(df, key, body, PROCUREMENT), PROCUREMENT)
+    rows, _ = grouped(read_triples(df, key, body, PROCUREMENT), PROCUREMENT, items_only=True)
     chain = [STEP.join(PROCUREMENT.names[:n]) for n in range(4)]
     found = entries(rows.where(F.col("group").isin(chain)))
     at: list[Column] = [F.coalesce(F.get("at", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(("lot_no", "criterion_no", "sub_no"))]

@@ -177,6 +177,27 @@ def ranked_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return out.select("eis_id", "doc_id", "strength", "n_terms", F.col("rank").cast("long").alias("rank"))
 
 
+_ORDER_SQL = "strength DESC, n_terms DESC, source NULLS FIRST, start NULLS FIRST, id"
+
+
+@query(
+    "WITH c AS (SELECT eis_id, page_id id, name source, page_no start, text, CASE WHEN regexp_matches(text, '(?i)kopā [0-9]+ punkt|maximum') THEN 2 WHEN regexp_matches(text, '(?i)punkt|points') THEN 1 ELSE 0 END strength, "
+    "contains(lower(text), 'cena')::INT + contains(lower(text), 'price')::INT + contains(lower(text), 'kvalit')::INT n_terms FROM ocr_pages), "
+    f"o AS (SELECT * FROM c WHERE strength > 0 OR n_terms > 0 QUALIFY row_number() OVER (PARTITION BY eis_id, md5(trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g'))) ORDER BY {_ORDER_SQL}) = 1), "
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY eis_id ORDER BY {_ORDER_SQL}) r FROM o QUALIFY r <= 6), "
+    "n AS (SELECT r.eis_id, arg_min(c.id, struct_pack(a := c.start, b := c.id)) id FROM r JOIN c ON c.eis_id IS NOT DISTINCT FROM r.eis_id AND c.source IS NOT DISTINCT FROM r.source AND c.start > r.start WHERE r.r = 1 GROUP BY 1), "
+    "u AS (SELECT eis_id, id, CASE WHEN r = 1 THEN 0 ELSE r END o FROM r UNION ALL SELECT eis_id, id, 1 FROM n), l AS (SELECT eis_id, id, min(o) o FROM u GROUP BY ALL) "
+    "SELECT eis_id, row_number() OVER (PARTITION BY eis_id ORDER BY o) AS \"position\", id FROM l QUALIFY \"position\" <= 6"
+)
+def ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """The six best scanned pages per procurement, the best one's next page right behind it (a top-k is the feature)."""
+    t, none = F.col("text"), F.lit(None).cast("string")
+    pages = table(spark, d, "ocr_pages").select("eis_id", F.col("page_id").alias("id"), F.col("name").alias("source"), F.lit(1).alias("section"), F.col("page_no").alias("start"), none.alias("heading"), none.alias("table_header"), "text", F.lit("text").alias("kind"), none.alias("lot_hint"))
+    strength = F.when(t.rlike(_SCORES["strength"]), 2).when(t.rlike(_SCORES["weak"]), 1).otherwise(0)
+    out = spans.ranked_search(pages, ["eis_id"], ["cena", "price", "kvalit"], strength, F.array().cast("array<string>"), F.lit(False))
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
 @query(
     "WITH RECURSIVE c AS (SELECT finding_id, criterion_id, loaded_at, length(coalesce(name, ''))::BIGINT n, row_number() OVER (PARTITION BY finding_id ORDER BY criterion_id, loaded_at, length(coalesce(name, ''))) i FROM worker_criteria), "
     "r AS (SELECT finding_id, criterion_id, loaded_at, i, n <= 40 packed, CASE WHEN n <= 40 THEN n ELSE 0 END used FROM c WHERE i = 1 UNION ALL SELECT c.finding_id, c.criterion_id, c.loaded_at, c.i, r.used + c.n <= 40, CASE WHEN r.used + c.n <= 40 THEN r.used + c.n ELSE r.used END "
