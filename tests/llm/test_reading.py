@@ -43,3 +43,17 @@ def test_nodes_are_bounded_by_their_share(spark, monkeypatch):
     assert len(word_nodes(df, "text")) == 2  # gamma stands once
     monkeypatch.setattr(reading, "SHARE", 2)
     assert len(word_nodes(df, "text")) == 1 and len(word_nodes(df.limit(0), "text")) == 0
+
+
+def test_words_beyond_the_share_count_alike(spark, monkeypatch):
+    """Whether a word's level lies in arrays or in tables must not show: every word that occurs twice takes part."""
+    texts = ["easy cat dog. cat sat, mat.", "notwithstanding jurisdictional considerations, the aforementioned stipulations", "cat dog sat easy. once", "", None, "aforementioned stipulations, the easy cat", "mat mat dog sat.", "jurisdictional considerations lonely lonely"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "the dog sat, the mat")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 5), (1, 4), (6, 2)], "doc_id long, grade int")
+    found = lambda: sorted((r["doc_id"], r["level_band"] or 0, r["level"] or 0.0, r["support"], r["graded"]) for r in reading_levels(docs, labels).collect())
+    whole = found()
+    for share in (15, 2, 0.1):  # some words in tables, most, all
+        monkeypatch.setattr(reading, "SHARE", share)
+        part = found()
+        assert [(r[0], r[1], r[4]) for r in part] == [(r[0], r[1], r[4]) for r in whole]
+        assert np.allclose([r[2:4] for r in part], [r[2:4] for r in whole], atol=1e-6)
